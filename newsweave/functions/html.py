@@ -98,21 +98,27 @@ def _as_list(value: Column) -> Column:
     return F.coalesce(items, F.when(value.isNotNull(), F.array(value)), none)
 
 
+def _graph_of(node: Column) -> Column:
+    return F.flatten(
+        F.transform(_as_list(F.try_variant_get(node, '$["@graph"]', "variant")), _as_list)
+    )
+
+
+def _opened(node: Column, depth: int) -> Column:
+    """A node followed by the nodes of its graph."""
+    if depth == 0:
+        return F.array(node)
+    inner = F.transform(_graph_of(node), lambda n: _opened(n, depth - 1))
+    return F.concat(F.array(node), F.flatten(inner))
+
+
 def jsonld_nodes(html: Column, depth: int = 2) -> Column:
     """All linked-data nodes of a page, nested lists and graphs flattened in order."""
     nodes = F.flatten(
         F.transform(jsonld_scripts(html), lambda s: _as_list(F.try_parse_json(s)))
     )
-    for _ in range(depth):
-        nodes = F.flatten(F.transform(nodes, _as_list))
-        nodes = F.flatten(F.transform(nodes, _node_with_graph))
-    return nodes
-
-
-def _node_with_graph(node: Column) -> Column:
-    graph = F.try_variant_get(node, '$["@graph"]', "variant")
-    # A graph is opened once: its holder keeps only its own fields.
-    return F.when(graph.isNull(), F.array(node)).otherwise(_as_list(graph))
+    nodes = F.flatten(F.transform(nodes, _as_list))
+    return F.flatten(F.transform(nodes, lambda n: _opened(n, depth)))
 
 
 def _text_of(node: Column, key: str) -> Column:
