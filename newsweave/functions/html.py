@@ -8,6 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from newsweave import params as P
 from newsweave.functions import text as X, times as T, urls as U
+from newsweave.functions.core import let
 
 # Known article containers of common publishing systems, in order of trust (fixed values).
 CONTAINERS = (
@@ -32,7 +33,7 @@ def _unquote(value: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     found = _unquote(F.regexp_extract(tag, rf"(?i)[\s\"']{name}{_VALUE}", 1))
-    return F.when(found != "", found)
+    return F.nullif(found, F.lit(""))
 
 
 def tags(html: Column, name: str) -> Column:
@@ -75,13 +76,12 @@ def meta_tags(html: Column) -> Column:
 def meta_content(metas: Column, names: Sequence[str]) -> Column:
     """Content of the first name that has one, looked up as property, name and itemprop."""
 
+    def named(kind: str, name: str) -> Column:
+        return F.get(F.filter(metas, lambda m: m[kind] == name), F.lit(0))
+
     def content(name: str) -> Column:
-        first = [
-            F.get(F.filter(metas, lambda m, k=kind: m[k] == name), F.lit(0))
-            for kind in ("property", "name", "itemprop")
-        ]
-        value = F.coalesce(*first)["content"]
-        return F.when(F.trim(value) != "", X.strip_html(value))
+        tag = F.coalesce(*[named(k, name) for k in ("property", "name", "itemprop")])
+        return let(tag["content"], lambda v: F.when(F.trim(v) != "", X.strip_html(v)))
 
     return F.coalesce(*[content(n) for n in names])
 
@@ -123,7 +123,7 @@ def jsonld_nodes(html: Column, depth: int = 2) -> Column:
 
 def _text_of(node: Column, key: str) -> Column:
     value = F.try_variant_get(node, f'$["{key}"]', "string")
-    return F.when(F.trim(value) != "", value)
+    return let(value, lambda v: F.when(F.trim(v) != "", v))
 
 
 def article_body(nodes: Column) -> Column:
@@ -187,31 +187,37 @@ def container_text(html: Column, containers: Sequence[str] = CONTAINERS) -> Colu
     """Text of the first known container that holds enough words."""
     found = F.lit("")
     for selector in reversed(containers):
-        body = block_text(container_block(html, selector))
-        found = F.when(X.count_words(body) >= P.MIN_ARTICLE_WORDS, body).otherwise(found)
+        found = _long_enough_or(block_text(container_block(html, selector)), found)
     return found
 
 
+def _long_enough_or(text: Column, otherwise: Column) -> Column:
+    enough = lambda t: X.count_words(t) >= P.MIN_ARTICLE_WORDS
+    return let(text, lambda t: F.when(enough(t), t).otherwise(otherwise))
+
+
 def choose_text(candidates: Sequence[tuple[Column, str]]) -> Column:
     """Struct(text, method): the first candidate with enough words, else the longest, else none."""
     options = F.array(
         *[F.struct(t.alias("text"), F.lit(m).alias("method")) for t, m in candidates]
     )
-    enough = F.get(
-        F.filter(options, lambda o: X.count_words(o["text"]) >= P.MIN_ARTICLE_WORDS), F.lit(0)
-    )
     nothing = F.struct(F.lit("").alias("text"), F.lit("none").alias("method"))
-    longest = F.aggregate(
-        options,
-        nothing,
-        lambda best, o: F.when(F.length(o["text"]) > F.length(best["text"]), o).otherwise(best),
-    )
-    return F.coalesce(enough, longest)
+
+    def choose(found: Column) -> Column:
+        enough = F.filter(found, lambda o: X.count_words(o["text"]) >= P.MIN_ARTICLE_WORDS)
+        longest = F.aggregate(
+            found,
+            nothing,
+            lambda best, o: F.when(F.length(o["text"]) > F.length(best["text"]), o).otherwise(best),
+        )
+        return F.coalesce(F.get(enough, F.lit(0)), longest)
+
+    return let(options, choose)
 
 
 def page_title(html: Column) -> Column:
     found = X.strip_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return F.when(found != "", found)
+    return F.nullif(found, F.lit(""))
 
 
 def page_language(html: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from newsweave import params as P
+from newsweave.functions.core import let
 
 # Whitespace as browsers and feed readers see it; Java's own \s leaves out the
 # no-break space and the typographic spaces.
@@ -38,8 +39,10 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    clean = collapse_whitespace(F.coalesce(text, F.lit("")))
-    return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " ")))
+    return let(
+        collapse_whitespace(F.coalesce(text, F.lit(""))),
+        lambda clean: F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " "))),
+    )
 
 
 def strip_html(markup: Column) -> Column:
@@ -129,22 +132,23 @@ def entity_runs(text: Column, vp: P.VectorParams = P.VectorParams()) -> Column:
     )
     runs = F.split(F.array_join(marked, " "), f" ?{_BREAK} ?")
     runs = F.transform(runs, lambda r: F.trim(r))
-    return F.filter(
-        runs,
-        lambda r: (F.length(match_key(r)) >= 4) & ~match_key(r).isin(*vp.stop_words),
-    )
+    names = lambda key: (F.length(key) >= 4) & ~key.isin(*vp.stop_words)
+    return F.filter(runs, lambda r: let(match_key(r), names))
 
 
 def entity_counts(runs: Column) -> Column:
     """Array of (n, entity), most frequent first, name breaking ties."""
-    counted = F.transform(
-        F.array_distinct(runs),
-        lambda e: F.struct(
-            (-F.size(F.filter(runs, lambda r: r == e))).alias("neg_n"), e.alias("entity")
-        ),
-    )
+
+    def count(found: Column) -> Column:
+        return F.transform(
+            F.array_distinct(found),
+            lambda e: F.struct(
+                (-F.size(F.filter(found, lambda r: r == e))).alias("neg_n"), e.alias("entity")
+            ),
+        )
+
     return F.transform(
-        F.array_sort(counted),
+        F.array_sort(let(runs, count)),
         lambda s: F.struct((-s["neg_n"]).alias("n"), s["entity"].alias("entity")),
     )
 
@@ -159,8 +163,10 @@ def entities(text: Column, limit: int = 25, vp: P.VectorParams = P.VectorParams(
 
 def is_multi_event(title: Column) -> Column:
     """Round-up title: two or more statements joined by semicolons."""
-    parts = F.transform(F.split(title, ";"), collapse_whitespace)
-    return (F.size(parts) > 1) & F.forall(parts, lambda p: F.size(F.split(p, " ")) >= 4)
+    several = lambda parts: (F.size(parts) > 1) & F.forall(
+        parts, lambda p: F.size(F.split(p, " ")) >= 4
+    )
+    return let(F.transform(F.split(title, ";"), collapse_whitespace), several)
 
 
 def is_live_blog(title: Column) -> Column:
@@ -175,19 +181,27 @@ def unsuitable_as_topic_title(title: Column) -> Column:
 
 def clean_title(title: Column) -> Column:
     """Drop up to three trailing section or publisher names, keeping 20 characters."""
+
+    def cut_tail(current: Column) -> Column:
+        shorter = F.regexp_replace(current, r" +[|—–-] +[^|—–-]{2,40}$", "")
+        return let(shorter, lambda s: F.when(F.length(s) >= 20, s).otherwise(current))
+
     current = collapse_whitespace(title)
     for _ in range(3):
-        shorter = F.regexp_replace(current, r" +[|—–-] +[^|—–-]{2,40}$", "")
-        current = F.when(F.length(shorter) >= 20, shorter).otherwise(current)
-    return F.when(current != "", current)
+        current = let(current, cut_tail)
+    return let(current, lambda t: F.when(t != "", t))
 
 
 def clean_body(raw: Column) -> Column:
     """Drop a breadcrumb trail at the start and a leading comment counter."""
-    text = collapse_whitespace(F.coalesce(raw, F.lit("")))
-    from_end = F.instr(F.reverse(F.left(text, F.lit(250))), "»")
-    start = F.least(F.lit(250), F.length(text)) - from_end + 2
-    text = F.when(from_end > 0, F.ltrim(F.substring(text, start, F.length(text)))).otherwise(text)
+
+    def after_trail(text: Column) -> Column:
+        from_end = F.instr(F.reverse(F.left(text, F.lit(250))), "»")
+        start = F.least(F.lit(250), F.length(text)) - from_end + 2
+        rest = F.ltrim(F.substring(text, start, F.length(text)))
+        return F.when(from_end > 0, rest).otherwise(text)
+
+    text = let(collapse_whitespace(F.coalesce(raw, F.lit(""))), after_trail)
     counter = r"(?i)^[0-9]+ +komentar[ai]?([^a-z0-9_][ :.-]*|$)"
     return F.trim(F.regexp_replace(text, counter, ""))
 
@@ -202,8 +216,8 @@ def slugify(title: Column, day: Column) -> Column:
     folded = F.translate(F.replace(lowered, F.lit("đ"), F.lit("dj")), ACCENTED, BASE)
     base = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     base = F.regexp_replace(F.left(base, F.lit(70)), "-+$", "")
-    stamp = F.date_format(day, "yyyy-MM-dd")
-    return F.concat_ws("-", F.when(base == "", F.lit("clanak")).otherwise(base), stamp)
+    named = F.regexp_replace(base, "^$", "clanak")
+    return F.concat_ws("-", named, F.date_format(day, "yyyy-MM-dd"))
 
 
 def escape_html(text: Column) -> Column:
@@ -217,22 +231,27 @@ TRIM_NOTE = "\n\n[…tekst je skraćen za poruku; ceo je u bazi]"
 
 def trim_to_length(text: Column, limit: Column) -> Column:
     """Cut at the last sentence end past half of the limit and say so."""
-    cut = F.left(text, limit)
-    stop = F.length(F.regexp_extract(cut, r"(?s)^(.*[.])[ \n]", 1))
-    kept = F.when(stop - 1 > limit * 0.5, F.left(cut, stop)).otherwise(cut)
+
+    def whole_sentences(cut: Column) -> Column:
+        stop = F.length(F.regexp_extract(cut, r"(?s)^(.*[.])[ \n]", 1))
+        return F.when(stop - 1 > limit * 0.5, F.left(cut, stop)).otherwise(cut)
+
+    kept = let(F.left(text, limit), whole_sentences)
     shortened = F.concat(F.regexp_replace(kept, WS + "+$", ""), F.lit(TRIM_NOTE))
     return F.when(F.length(text) <= limit, text).otherwise(shortened)
 
 
 def fit_title(title: Column, limit: int = 150) -> Column:
     """Cut a long title at a word boundary past 60 % of the limit."""
-    clean = collapse_whitespace(title)
-    cut = F.left(clean, F.lit(limit))
-    head = F.regexp_extract(cut, "^(.*) ", 1)
-    kept = F.when(F.length(head) > limit * 0.6, head).otherwise(cut)
-    return F.when(F.length(clean) <= limit, clean).otherwise(
-        F.concat(F.regexp_replace(kept, "[,.;:–-]$", ""), F.lit("…"))
-    )
+
+    def fit(clean: Column) -> Column:
+        cut = F.left(clean, F.lit(limit))
+        head = F.regexp_extract(cut, "^(.*) ", 1)
+        kept = F.when(F.length(head) > limit * 0.6, head).otherwise(cut)
+        shortened = F.concat(F.regexp_replace(kept, "[,.;:–-]$", ""), F.lit("…"))
+        return F.when(F.length(clean) <= limit, clean).otherwise(shortened)
+
+    return let(collapse_whitespace(title), fit)
 
 
 def stable_bucket(key: Column, buckets: int = 3) -> Column:
@@ -250,10 +269,13 @@ def stable_bucket(key: Column, buckets: int = 3) -> Column:
 
 def normalize_category(raw: Column, synonyms: dict[str, str] = P.CATEGORY_SYNONYMS) -> Column:
     """Official category, or the one a known synonym stands for, else the raw value."""
-    key = collapse_whitespace(match_key(raw))
     table = F.create_map(*[F.lit(v) for pair in synonyms.items() for v in pair])
-    mapped = F.coalesce(table[key], table[F.get(F.split(key, "[ ,/]"), F.lit(0))])
-    return F.when(key.isin(*P.CATEGORIES), key).otherwise(F.coalesce(mapped, raw))
+
+    def official(key: Column) -> Column:
+        mapped = F.coalesce(table[key], table[F.get(F.split(key, "[ ,/]"), F.lit(0))])
+        return F.when(key.isin(*P.CATEGORIES), key).otherwise(F.coalesce(mapped, raw))
+
+    return let(collapse_whitespace(match_key(raw)), official)
 
 
 def merge_paragraphs(paragraphs: Column, min_chars: int = P.MIN_PARAGRAPH_CHARS) -> Column:
@@ -270,13 +292,13 @@ def merge_paragraphs(paragraphs: Column, min_chars: int = P.MIN_PARAGRAPH_CHARS)
             glue, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(last))
         ).otherwise(F.concat(done, F.array(text)))
 
-    merged = F.aggregate(clean, F.array().cast("array<string>"), step)
-    head = F.concat_ws(" ", F.get(merged, F.lit(0)), F.get(merged, F.lit(1)))
-    short_head = (F.size(merged) > 1) & (F.length(F.get(merged, F.lit(0))) < min_chars)
-    return F.when(
-        short_head,
-        F.concat(F.array(head), F.slice(merged, 3, F.greatest(F.size(merged) - 2, F.lit(0)))),
-    ).otherwise(merged)
+    def join_head(merged: Column) -> Column:
+        head = F.concat_ws(" ", F.get(merged, F.lit(0)), F.get(merged, F.lit(1)))
+        rest = F.slice(merged, 3, F.greatest(F.size(merged) - 2, F.lit(0)))
+        short_head = (F.size(merged) > 1) & (F.length(F.get(merged, F.lit(0))) < min_chars)
+        return F.when(short_head, F.concat(F.array(head), rest)).otherwise(merged)
+
+    return let(F.aggregate(clean, F.array().cast("array<string>"), step), join_head)
 
 
 def paragraphs_to_text(paragraphs: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from newsweave import params as P
+from newsweave.functions.core import let
 
 
 def reject_future(ts: Column, now: Column) -> Column:
@@ -40,9 +41,12 @@ def wall_clock_to_utc(
         + hour.cast("bigint") * 3600
         + minute.cast("bigint") * 60,
     )
-    first = _zone_offset(naive, zone)
-    second = _zone_offset(naive - first, zone)
-    return F.timestamp_seconds(naive - second)
+
+    def to_utc(wall: Column) -> Column:
+        guess = wall - _zone_offset(wall, zone)
+        return let(guess, lambda instant: F.timestamp_seconds(wall - _zone_offset(instant, zone)))
+
+    return let(naive, to_utc)
 
 
 _DATE = r"(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})\.?(?:[\s,]+(\d{1,2}):(\d{2}))?"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from newsweave.functions.core import let
+
 # Query parameters that only say where the visitor came from (fixed values).
 TRACKING = (
     r"(?i)^(utm_|fbclid$|gclid$|gbraid$|wbraid$|yclid$|msclkid$|igshid$|mc_|_ga$|ref$"
@@ -36,22 +38,27 @@ def path(url: Column) -> Column:
 
 def resolve(link: Column, base: Column) -> Column:
     """Absolute form of ``link`` seen on page ``base``; null unless it is http(s)."""
-    link = F.trim(link)
-    root = F.concat(F.regexp_extract(base, r"^((?i:https?):)", 1))
+    protocol = F.regexp_extract(base, r"^((?i:https?):)", 1)
     site = F.regexp_extract(base, r"^((?i:https?)://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^((?i:https?)://[^?#]*)", 1)
     # The page's folder: an address without a path ends in its host.
-    folder = F.concat(site, F.regexp_extract(F.concat(path(base)), "^(.*/)", 1))
-    absolute = (
-        F.when(link.rlike("^(?i:https?)://"), link)
-        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .when(link.startswith("//"), F.concat(root, link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .when(link.startswith("?"), F.concat(page, link))
-        .when((link == "") | link.startswith("#"), F.concat(page, link))
-        .otherwise(F.concat(folder, link))
-    )
-    return F.when(absolute.rlike("^(?i:https?)://[^/?#]"), _without_dots(absolute))
+    folder = F.concat(site, F.regexp_extract(path(base), "^(.*/)", 1))
+
+    def absolute(ref: Column) -> Column:
+        return (
+            F.when(ref.rlike("^(?i:https?)://"), ref)
+            .when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(ref.startswith("//"), F.concat(protocol, ref))
+            .when(ref.startswith("/"), F.concat(site, ref))
+            .when((ref == "") | ref.rlike("^[?#]"), F.concat(page, ref))
+            .otherwise(F.concat(folder, ref))
+        )
+
+    return let(let(F.trim(link), absolute), _usable)
+
+
+def _usable(url: Column) -> Column:
+    return F.when(url.rlike("^(?i:https?)://[^/?#]"), _without_dots(url))
 
 
 def _without_dots(url: Column) -> Column:
@@ -85,24 +92,22 @@ def canonical_query(url: Column) -> Column:
     )
     kept = F.array_sort(F.filter(named, lambda s: ~s["name"].rlike(TRACKING)))
     joined = F.array_join(F.transform(kept, lambda s: s["pair"]), "&")
-    return F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit("?"), joined))
+    return F.regexp_replace(joined, "^(?=.)", "?")
 
 
 def canonical_url(link: Column, base: Column | None = None) -> Column:
     """One spelling per article address; null when the address is unusable."""
-    url = F.trim(link) if base is None else resolve(link, base)
-    if base is None:
-        url = F.when(url.rlike("^(?i:https?)://[^/?#]"), _without_dots(url))
-    bare_path = F.regexp_replace(path(url), "/+$", "")
-    canonical = F.concat(
-        scheme(url),
-        F.lit("://"),
-        authority(url),
-        F.when(bare_path == "", F.lit("/")).otherwise(bare_path),
-        canonical_query(url),
-    )
-    valid = host(url).rlike(r"^[^ <>\[\]\\^|%]+$") & authority(url).rlike(r"^[^:]+(:[0-9]+)?$")
-    return F.when(valid, canonical)
+
+    def spell(url: Column) -> Column:
+        bare_path = F.regexp_replace(F.regexp_extract(url, _PARTS, 3), "/+$", "")
+        canonical = F.concat(
+            scheme(url), F.lit("://"), authority(url), F.regexp_replace(bare_path, "^$", "/"),
+            canonical_query(url),
+        )
+        valid = authority(url).rlike(r"^[^ :<>\[\]\\^|%]+(:[0-9]+)?$")
+        return F.when(valid, canonical)
+
+    return let(let(F.trim(link), _usable) if base is None else resolve(link, base), spell)
 
 
 def url_fingerprint(canonical: Column) -> Column:

@@ -166,12 +166,15 @@ def centroids(postings: DataFrame, links: DataFrame) -> DataFrame:
 
 def stored_centroids(mean: DataFrame, tp: P.TopicParams = P.TopicParams()) -> DataFrame:
     """What is kept of a centroid: its heaviest terms, as (topic_id, term, df, raw) in 1e-4."""
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("topic_id")))
+    # The vocabulary of one topic has no bound, so its length is a grouped sum.
+    lengths = mean.groupBy("topic_id").agg(
+        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length")
+    )
     order = Window.partitionBy("topic_id").orderBy(F.desc("raw"), "term")
     return (
-        mean.withColumn("length", length)
-        .withColumn("rank", F.row_number().over(order))
+        mean.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= tp.centroid_terms)
+        .join(lengths, "topic_id")
         .withColumn(
             "raw", F.floor(F.col("raw") * 10000 / F.col("length") + 0.5).cast("bigint")
         )

@@ -1 +1,6 @@
 """Registered queries over the shared tables, with the SQL each one is checked against."""
+
+from newsweave.plans import text_plans, ingest_plans  # noqa: F401
+from newsweave.plans.registry import CHECKS, PLANS, runner
+
+__all__ = ["CHECKS", "PLANS", "runner"]

@@ -113,7 +113,7 @@ TITLE = (
 )
 URL = (
     "concat('https://www.portal', CAST(n % 4 AS STRING), '.example/', lang, '/', "
-    "CAST(CAST(floor(doc_id / 3) AS BIGINT) AS STRING), '/', "
+    "CAST(CAST(floor(doc_id / 12) AS BIGINT) AS STRING), '/', "
     "CASE WHEN doc_id % 2 = 0 THEN '?utm_source=x&b=2&a=1' ELSE '#top' END)"
 )
 FETCHED = "1704067200 + (doc_id * 7919) % 2592000"
