@@ -180,7 +180,9 @@ def _opening(selector: str) -> str:
 def container_block(html: Column, selector: str) -> Column:
     """Markup from the container's opening tag to the end of the article or page body."""
     pattern = rf"(?is){_opening(selector)}(.*?)(?:</article>|<footer[ >]|</body>|$)"
-    return F.regexp_extract(html, pattern, 1)
+    # Most pages use none of the known containers: a plain search settles that.
+    hint = selector.rpartition(".")[2].rpartition("=")[2].strip('"')
+    return F.when(html.contains(hint), F.regexp_extract(html, pattern, 1)).otherwise("")
 
 
 def container_text(html: Column, containers: Sequence[str] = CONTAINERS) -> Column:

@@ -24,6 +24,16 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row (text, markup).
+
+        A small table may sit in fewer file splits than there are cores; only
+        then its rows are dealt out. A large one is read in place.
+        """
+        frame = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
     @property
     def events(self) -> DataFrame:
         # The stored times carry no zone; they are UTC instants.
@@ -31,7 +41,7 @@ class Corpus:
 
     @cached_property
     def items(self) -> DataFrame:
-        base = self.table("documents").selectExpr(
+        base = self.spread("documents").selectExpr(
             "*",
             "CAST(substr(source, 4) AS INT) AS n",
             f"{V.HEADLINE} AS headline",

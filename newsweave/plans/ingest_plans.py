@@ -166,7 +166,7 @@ _PAGE_TEXT = (
 def item_rows(c):
     from newsweave.sources import pages as PG
 
-    pages = PG.extract_articles(c.table("pages").select("page_id", "url", "html"), c.now).select(
+    pages = PG.extract_articles(c.spread("pages").select("page_id", "url", "html"), c.now).select(
         F.col("page_id").alias("doc_id"),
         F.col("text").alias("page_text"),
         F.col("method").alias("page_method"),
@@ -349,7 +349,7 @@ def source_verdict(c):
 )
 def feed_choice(c):
     url = F.col("url")
-    feeds = c.table("pages").select(
+    feeds = c.spread("pages").select(
         F.col("page_id").alias("feed_id"), U.root_domain(url).alias("source"), "url",
         (F.col("page_id") % 9).alias("item_count"),
     )

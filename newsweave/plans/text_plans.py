@@ -17,7 +17,7 @@ HEAD = "replace(coalesce(title, ''), '.', '')"
 
 @plan("canonical_urls", f"SELECT page_id, {V.canonical('url')} AS canonical FROM pages")
 def canonical_urls(c):
-    return c.table("pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
+    return c.spread("pages").select("page_id", U.canonical_url(F.col("url")).alias("canonical"))
 
 
 @plan(
@@ -62,7 +62,7 @@ def content_hash_groups(c):
     SELECT doc_id, h = hh AS item_on_site, ph = hh OR ph = h AS page_on_site FROM r""",
 )
 def same_site_links(c):
-    pages = c.table("pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("page"))
+    pages = c.spread("pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("page"))
     joined = (
         c.items.select("doc_id", "source_id", "url")
         .join(c.sources.select("source_id", "homepage"), "source_id")
@@ -155,7 +155,7 @@ def word_counts(c):
 
 @plan("strip_html", f"SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM (SELECT page_id, {V.strip_html('html')} AS t FROM pages)")
 def strip_html(c):
-    text = c.table("pages").select("page_id", X.strip_html(F.col("html")).alias("t"))
+    text = c.spread("pages").select("page_id", X.strip_html(F.col("html")).alias("t"))
     return text.select(
         "page_id", F.md5("t").alias("text_md5"), F.length("t").cast("bigint").alias("n_chars")
     )
@@ -446,7 +446,7 @@ _CLEAN_BLOCK = (
     FROM (SELECT page_id, block, {V.n_words('block')} AS w FROM v_page_text)""",
 )
 def container_text(c):
-    text = c.table("pages").select(
+    text = c.spread("pages").select(
         "page_id", H.container_text(F.col("html"), ["article"]).alias("text")
     )
     found = F.when(F.col("text") != "", F.md5("text"))
@@ -478,7 +478,7 @@ _PAGE_TITLE = V.strip_html("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>
       FROM ({_title_sql(_PAGE_TITLE)})))""",
 )
 def page_extract(c):
-    pages = c.table("pages").select("page_id", "url", "html")
+    pages = c.spread("pages").select("page_id", "url", "html")
     extracted = PG.extract_articles(pages, c.now)
     return extracted.select(
         "page_id", "title", "language", F.md5("text").alias("text_md5"),
@@ -502,7 +502,7 @@ def extract_method_counts(c):
             (H.visible_text(html), "readability"),
         ]
     )
-    picked = c.table("pages").select(chosen.alias("chosen"))
+    picked = c.spread("pages").select(chosen.alias("chosen"))
     return picked.groupBy(F.col("chosen.method").alias("method")).agg(
         F.count("*").alias("n"),
         F.sum(X.count_words(F.col("chosen.text"))).alias("n_words"),
@@ -527,7 +527,7 @@ _HREFS = (
     FROM d QUALIFY position < 40""",
 )
 def link_harvest(c):
-    listings = c.table("pages").select(F.col("page_id").alias("listing_id"), "url", "html")
+    listings = c.spread("pages").select(F.col("page_id").alias("listing_id"), "url", "html")
     links = PG.harvest_links(listings, "^/[A-Za-z]{3,}", 40)
     return links.select("listing_id", "link", F.col("position").cast("bigint").alias("position"))
 
@@ -544,7 +544,7 @@ def link_harvest(c):
 )
 def segment_stats(c):
     url = F.col("url")
-    links = c.table("pages").select(
+    links = c.spread("pages").select(
         U.root_domain(url).alias("domain"), F.col("page_id").alias("position"), url.alias("link")
     )
     return PG.section_statistics(links, "domain").withColumn("rank", F.col("rank").cast("bigint"))
