@@ -142,7 +142,7 @@ def top_terms(postings: DataFrame, key: str, limit: int) -> DataFrame:
 
 
 def centroids(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """Mean of the members' unit vectors, brought to length one: (topic_id, term, df, raw, w).
+    """Mean of the members' unit vectors: (topic_id, term, raw).
 
     A large topic is reduced per task before the shuffle; what is left per topic
     is its vocabulary.
@@ -151,12 +151,11 @@ def centroids(postings: DataFrame, links: DataFrame) -> DataFrame:
     mean = (
         postings.join(links.select("topic_id", "doc_id"), "doc_id")
         .groupBy("topic_id", "term")
-        .agg(F.sum("w").alias("total"), F.any_value("df").alias("df"))
+        .agg(F.sum("w").alias("total"))
         .join(sizes, "topic_id")
         .select(
             "topic_id",
             "term",
-            "df",
             F.floor(F.col("total") / F.col("size") + 0.5).cast("bigint").alias("raw"),
         )
         .filter("raw > 0")
@@ -165,7 +164,7 @@ def centroids(postings: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def stored_centroids(mean: DataFrame, tp: P.TopicParams = P.TopicParams()) -> DataFrame:
-    """What is kept of a centroid: its heaviest terms, as (topic_id, term, df, raw) in 1e-4."""
+    """What is kept of a centroid: its heaviest terms, as (topic_id, term, raw) in 1e-4."""
     # The vocabulary of one topic has no bound, so its length is a grouped sum.
     lengths = mean.groupBy("topic_id").agg(
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length")

@@ -1,6 +1,12 @@
 """Registered queries over the shared tables, with the SQL each one is checked against."""
 
-from newsweave.plans import text_plans, ingest_plans, topic_plans  # noqa: F401
+from newsweave.plans import (  # noqa: F401
+    editorial_plans,
+    ingest_plans,
+    streaming_plans,
+    text_plans,
+    topic_plans,
+)
 from newsweave.plans.registry import CHECKS, PLANS, runner
 
 __all__ = ["CHECKS", "PLANS", "runner"]

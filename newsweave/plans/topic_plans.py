@@ -138,7 +138,8 @@ class Vectors:
         stored = VC.stored_centroids(VC.centroids(self.postings, links))
         members = materialize(self.members(links), "members")
         times = members.groupBy("topic_id").agg(F.min("item_at").alias("first_item_at"))
-        nodes = TP.topic_nodes(stored, TP.topic_entities(members), times)
+        frequencies = self.postings.select("term", "df").distinct()
+        nodes = TP.topic_nodes(stored, frequencies, TP.topic_entities(members), times)
         return materialize(nodes, "topic-nodes")
 
 
