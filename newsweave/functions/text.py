@@ -84,7 +84,7 @@ def words(text: Column) -> Column:
 
 def _meaningful(vp: P.VectorParams):
     def keep(piece: Column) -> Column:
-        short_number = piece.rlike("^[0-9]+$") & (F.length(piece) < 4)
+        short_number = (F.length(piece) < 4) & piece.rlike("^[0-9]+$")
         return (F.length(piece) >= vp.min_word) & ~piece.isin(*vp.stop_words) & ~short_number
 
     return keep
@@ -96,9 +96,11 @@ def tokens(text: Column, vp: P.VectorParams = P.VectorParams()) -> Column:
     return F.transform(pieces, lambda piece: stem(piece, vp))
 
 
-def word_token(folded_word: Column, vp: P.VectorParams = P.VectorParams()) -> Column:
-    """Stem that stands for one already folded word, null when the word carries no topic."""
-    return stem(F.get(F.filter(F.split(folded_word, "[^a-z0-9]+"), _meaningful(vp)), F.lit(0)), vp)
+def first_piece(folded_word: Column, vp: P.VectorParams = P.VectorParams()) -> Column:
+    """Array with the part that stands for one already folded word, empty when it has no topic."""
+    plain = folded_word.rlike("^[a-z0-9]*$")
+    pieces = F.when(plain, F.array(folded_word)).otherwise(F.split(folded_word, "[^a-z0-9]+"))
+    return F.slice(F.filter(pieces, _meaningful(vp)), 1, 1)
 
 
 # --- named entities ----------------------------------------------------------------

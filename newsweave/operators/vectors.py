@@ -33,10 +33,11 @@ def term_frequencies(items: DataFrame, vp: P.VectorParams = P.VectorParams()) ->
         "doc_id",
         F.inline(_weighted_words(F.col("title"), F.col("content"), vp, X.match_key)),
     )
+    # Exploding the kept part drops words without one; a null filter would be
+    # pushed down and work every word out twice.
     return (
-        occurrences.select("doc_id", X.word_token(F.col("word"), vp).alias("term"), "weight")
-        .filter(F.col("term").isNotNull())
-        .groupBy("doc_id", "term")
+        occurrences.select("doc_id", F.explode(X.first_piece(F.col("word"), vp)).alias("piece"), "weight")
+        .groupBy("doc_id", X.stem(F.col("piece"), vp).alias("term"))
         .agg(F.sum("weight").alias("tf"))
     )
 
@@ -54,16 +55,19 @@ def surface_forms(items: DataFrame, vp: P.VectorParams = P.VectorParams()) -> Da
             "doc_id",
             "position",
             F.col("entry.word").alias("surface"),
-            X.word_token(F.lower(X.fold_diacritics(F.col("entry.word"))), vp).alias("term"),
+            F.explode(X.first_piece(F.lower(X.fold_diacritics(F.col("entry.word"))), vp)).alias(
+                "piece"
+            ),
         )
-        .filter(F.col("term").isNotNull())
-        .groupBy("doc_id", "term")
+        .groupBy("doc_id", X.stem(F.col("piece"), vp).alias("term"))
         .agg(F.min_by("surface", "position").alias("surface"))
     )
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting a column instead of rows keeps this plan's input identical to that of
+    # the weights, so Spark computes the term frequencies once and reuses them.
+    return tf.groupBy("term").agg(F.count("tf").alias("df"))
 
 
 def idf_weight(df: Column, n_docs: Column) -> Column:
