@@ -7,6 +7,6 @@ from newsweave.plans import (  # noqa: F401
     text_plans,
     topic_plans,
 )
-from newsweave.plans.registry import CHECKS, PLANS, runner
+from newsweave.plans.registry import PLANS, checks, runner
 
-__all__ = ["CHECKS", "PLANS", "runner"]
+__all__ = ["PLANS", "checks", "runner"]

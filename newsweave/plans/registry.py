@@ -20,7 +20,7 @@ def plan(name: str, sql: str | None = None):
     def add(build: Callable[[Corpus], DataFrame]):
         PLANS[name] = build
         if sql is not None:
-            CHECKS[name] = with_views(sql)
+            CHECKS[name] = sql
         return build
 
     return add
@@ -53,3 +53,8 @@ def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
         return PLANS[name](Corpus(spark, sf_dir))
 
     return run
+
+
+def checks() -> dict[str, str]:
+    """Checking SQL of every plan, complete with the views it needs."""
+    return {name: with_views(sql) for name, sql in CHECKS.items()}

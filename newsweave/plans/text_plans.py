@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave.functions import html as H, text as X, times as T, urls as U
-from newsweave.operators import scoring
 from newsweave.plans import views as V
 from newsweave.plans.registry import plan
 from newsweave.sources import pages as PG
@@ -271,13 +270,36 @@ def category_repair(c):
     )
 
 
-@plan("paragraph_merge")
+def merged_sql(paragraphs: str) -> str:
+    """Short paragraphs joined to the previous one, a short first one to the next."""
+    m = (
+        f"list_reduce(list_transform({paragraphs}, lambda p: [p]), lambda acc, x: "
+        "CASE WHEN length(x[1]) < 200 AND len(acc) > 0 THEN list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) "
+        "ELSE list_concat(acc, x) END, CAST([] AS VARCHAR[]))"
+    )
+    return (
+        f"list_transform([{m}], lambda m: CASE WHEN len(m) > 1 AND length(m[1]) < 200 "
+        "THEN list_concat([m[1] || ' ' || m[2]], m[3:]) ELSE m END)[1]"
+    )
+
+
+_PARAGRAPHS = (
+    f"list_filter(list_transform(string_split(content, chr(10)), lambda p: regexp_replace(p, '^{V.WS}+|{V.WS}+$', '', 'g')), "
+    "lambda p: p <> '')"
+)
+
+
+@plan(
+    "paragraph_merge",
+    f"""SELECT doc_id, len(m) AS n_paragraphs, md5(array_to_string(m, chr(10) || chr(10))) AS text_md5
+    FROM (SELECT doc_id, {merged_sql(_PARAGRAPHS)} AS m FROM v_items)""",
+)
 def paragraph_merge(c):
-    merged = X.merge_paragraphs(F.split("content", "\n"))
-    return c.items.select(
+    merged = c.items.select("doc_id", X.merge_paragraphs(F.split("content", "\n")).alias("m"))
+    return merged.select(
         "doc_id",
-        F.size(merged).alias("n_paragraphs"),
-        F.md5(X.paragraphs_to_text(merged)).alias("text_md5"),
+        F.size("m").cast("bigint").alias("n_paragraphs"),
+        F.md5(X.paragraphs_to_text(F.col("m"))).alias("text_md5"),
     )
 
 
