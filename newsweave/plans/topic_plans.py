@@ -320,7 +320,56 @@ def rebuild_topics(c):
     return TP.group_items(v.nodes()).select("doc_id", "topic_id", "similarity")
 
 
-@plan("merge_topics")
+# Topics that appeared after the known ones, against those and among themselves.
+V.VIEWS["v_fresh_links"] = (
+    "SELECT * FROM v_links WHERE topic_id NOT IN (SELECT topic_id FROM v_known_links)"
+)
+V.VIEWS["v_fresh_mean"] = V.VIEWS["v_mean"].replace("v_links", "v_fresh_links")
+V.VIEWS["v_fresh_stored"] = _stored("v_fresh_mean")
+V.VIEWS["v_fresh_unit"] = V.VIEWS["v_topic_unit"].replace("v_known_stored", "v_fresh_stored")
+V.VIEWS["v_fresh_names"] = V.VIEWS["v_topic_names"].replace(
+    f"v_members USING (doc_id) WHERE added_s < {V.KNOWN_UNTIL}",
+    "v_members USING (doc_id) WHERE topic_id IN (SELECT topic_id FROM v_fresh_links)",
+)
+V.VIEWS["v_fresh_start"] = (
+    "SELECT topic_id, min(item_s) AS start_s FROM v_members "
+    "WHERE topic_id IN (SELECT topic_id FROM v_fresh_links) GROUP BY 1"
+)
+
+
+def _topic_pairs(kind: str, also: str) -> str:
+    return f"""
+SELECT a, b, a_s, b_s FROM (
+  SELECT d.a, d.b, ta.start_s AS a_s, tb.start_s AS b_s, floor(dot / 1e10 + 0.5) / 1e6 AS text_sim,
+         {_overlap('na.names', 'nb.names')} AS entity_sim
+  FROM (SELECT x.topic_id AS a, y.topic_id AS b, CAST(sum(x.w * y.w) AS BIGINT) AS dot
+        FROM v_fresh_unit x JOIN v_{kind}_unit y USING (term) GROUP BY 1, 2) d
+  JOIN v_fresh_start ta ON ta.topic_id = d.a JOIN v_{kind}_start tb ON tb.topic_id = d.b
+  LEFT JOIN v_fresh_names na ON na.topic_id = d.a LEFT JOIN v_{kind}_names nb ON nb.topic_id = d.b)
+WHERE text_sim >= 0.15 AND floor((text_sim * 0.8 + entity_sim * 0.2) * 1000000 + 0.5) / 1000000 >= 0.3 {also}
+"""
+
+
+V.VIEWS["v_stored_pairs"] = _topic_pairs("topic", "")
+V.VIEWS["v_fresh_pairs"] = _topic_pairs("fresh", "AND (b_s, b) < (a_s, a)")
+
+
+@plan(
+    "merge_topics",
+    """WITH RECURSIVE ps AS MATERIALIZED (SELECT * FROM v_stored_pairs), pn AS MATERIALIZED (SELECT * FROM v_fresh_pairs),
+    nb AS MATERIALIZED (SELECT a, list(b) AS earlier, row_number() OVER (ORDER BY any_value(a_s), a) AS k
+      FROM pn WHERE a NOT IN (SELECT a FROM ps) GROUP BY a),
+    step(k, followers) AS (
+      SELECT CAST(0 AS BIGINT), coalesce((SELECT list(DISTINCT a) FROM ps), CAST([] AS BIGINT[]))
+      UNION ALL
+      SELECT nb.k, CASE WHEN len(list_filter(nb.earlier, lambda e: NOT list_contains(step.followers, e))) > 0
+        THEN list_append(step.followers, nb.a) ELSE step.followers END
+      FROM step JOIN nb ON nb.k = step.k + 1),
+    f AS MATERIALIZED (SELECT unnest(followers) AS topic_id FROM (SELECT followers FROM step ORDER BY k DESC LIMIT 1)),
+    o AS (SELECT a, b, b_s, 0 AS fresh FROM ps UNION ALL SELECT a, b, b_s, 1 FROM pn
+      WHERE a IN (SELECT topic_id FROM f) AND b NOT IN (SELECT topic_id FROM f))
+    SELECT a AS topic_id, b AS target_id FROM o QUALIFY row_number() OVER (PARTITION BY a ORDER BY fresh, b_s, b) = 1""",
+)
 def merge_topics(c):
     v = Vectors(c)
     fresh = c.links.join(v.known_links.select("topic_id").distinct(), "topic_id", "left_anti")
