@@ -220,6 +220,11 @@ def with_previous(rows: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def with_fetch_state(addresses: DataFrame, state: DataFrame) -> DataFrame:
+    """Addresses with the etag and last-modified value their next request should carry."""
+    return addresses.join(state.select("url", "etag", "last_modified"), "url", "left")
+
+
 def fetch_changes(fetches: DataFrame) -> DataFrame:
     """Per address: fetches, how many found the same version, when it last changed."""
     compared = with_previous(fetches, "url", "etag")

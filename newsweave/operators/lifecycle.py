@@ -7,7 +7,7 @@ how a dry run works.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsweave import params as P
 
@@ -330,6 +330,11 @@ def quality_report(rules: dict[str, DataFrame]) -> DataFrame:
 # --- run log ------------------------------------------------------------------------------------------
 
 
+def open_run(spark: SparkSession, command: str, now: Column) -> DataFrame:
+    """The log row of a run that starts."""
+    return spark.range(1).select(F.lit(command).alias("command"), now.alias("started_at"))
+
+
 def close_run(run: DataFrame, ok: bool, stats: dict[str, float], errors: list[str], now: Column):
     """The log row of a finished run; at most 50 error messages are kept."""
     pairs = [F.lit(v) for k, n in stats.items() for v in (k, float(n))]

@@ -42,3 +42,13 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     frame.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def write_report(report: DataFrame, path: str, by: str | None = None) -> None:
+    """A report as JSON lines, in one folder per topic or source when ``by`` names it.
+
+    Members stay one line each: a topic with very many of them is many lines, not
+    one huge nested row.
+    """
+    writer = report.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).json(path)

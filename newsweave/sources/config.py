@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsweave import schemas as S
+from newsweave.operators.lifecycle import upsert
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -44,3 +45,11 @@ def read_editorial(spark: SparkSession, path: str) -> DataFrame:
 
 def duplicate_ids(sources: DataFrame) -> DataFrame:
     return sources.groupBy("id").count().filter("count > 1")
+
+
+def sync_sources(stored: DataFrame, configured: DataFrame) -> DataFrame:
+    """Stored sources with name, angle, homepage and enabled taken from the configuration.
+
+    What the breaker keeps about a source stays as it is.
+    """
+    return upsert(stored, configured, ["id"], ["name", "angle", "homepage", "enabled"])

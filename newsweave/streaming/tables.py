@@ -50,10 +50,20 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, **options) ->
 
 
 def run_to_end(writer: DataStreamWriter, spark: SparkSession) -> None:
-    """Process everything that is there now, then stop."""
-    query = (
-        writer.option("checkpointLocation", work_path(spark, "offsets"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Process everything that is there now, then stop.
+
+    A stream fixes the number of its state partitions when it first starts, and
+    adaptive execution cannot merge them later, so they follow the cores at hand.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        query = (
+            writer.option("checkpointLocation", work_path(spark, "offsets"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)

@@ -295,3 +295,51 @@ def test_outcome_routing(spark):
     )
     assert rows(M.route_outcomes(frame), "id", "succeeded", "retryable") == [
         (1, False, False), (2, False, True), (3, False, True), (4, False, True), (5, False, True), (6, True, False)]
+
+
+# --- tables -------------------------------------------------------------------------------
+
+
+def test_sync_keeps_breaker_state(spark):
+    from newsweave.sources.config import sync_sources
+
+    stored = spark.createDataFrame(
+        [("a", "A", "agencija", "https://a.rs", True, 2), ("b", "B", "agencija", "https://b.rs", True, 1)],
+        "id STRING, name STRING, angle STRING, homepage STRING, enabled BOOLEAN, consecutive_failures INT",
+    )
+    configured = stored.filter("id = 'a'").withColumn("name", F.lit("Novi")).drop("consecutive_failures")
+    configured = configured.union(spark.sql("SELECT 'c', 'C', 'kriticki', 'https://c.rs', true"))
+    assert {r["id"]: (r["name"], r["consecutive_failures"]) for r in sync_sources(stored, configured).collect()} == {
+        "a": ("Novi", 2), "b": ("B", 1), "c": ("C", None)}
+
+
+def test_set_columns_and_remove_rows(spark):
+    topics = spark.createDataFrame([(1, "open", None), (2, "open", None)], "topic_id INT, status STRING, article_id INT")
+    hit = spark.createDataFrame([(2,), (2,)], "topic_id INT")
+    marked = L.set_columns(topics, hit, "topic_id", {"status": F.lit("covered"), "article_id": F.lit(9)})
+    assert {tuple(r) for r in marked.collect()} == {(1, "open", None), (2, "covered", 9)}
+    assert rows(L.remove_rows(topics, hit, "topic_id"), "topic_id") == [(1,)]
+
+
+def test_run_log_and_reports(spark, tmp_path):
+    from newsweave.sinks import write_report
+
+    run = L.close_run(L.open_run(spark, "ingest", F.lit(NOW)), True, {}, [], F.lit(NOW)).first()
+    assert run["command"] == "ingest" and run["ok"] and run["errors"] == [] and run["stats"] is None
+    report = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "topic_rank INT, doc_id INT")
+    write_report(report, str(tmp_path / "r"), "topic_rank")
+    assert spark.read.json(str(tmp_path / "r")).count() == 3
+
+
+def test_fetch_state_is_optional(spark):
+    addresses = spark.createDataFrame([("u",), ("v",)], "url STRING")
+    state = spark.createDataFrame([("u", "e1", None)], "url STRING, etag STRING, last_modified STRING")
+    assert {tuple(r) for r in I.with_fetch_state(addresses, state).collect()} == {("u", "e1", None), ("v", None, None)}
+
+
+def test_cascade_and_detach(spark):
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 12)], "topic_id INT, doc_id INT")
+    kept = L.cascade_links(links, spark.createDataFrame([(10,)], "doc_id INT"))
+    assert rows(kept, "topic_id", "doc_id") == [(1, 10)]
+    articles = spark.createDataFrame([(5, 1), (6, 2)], "article_id INT, topic_id INT")
+    assert {tuple(r) for r in L.detach_articles(articles, kept).select("article_id", "topic_id").collect()} == {(5, 1), (6, None)}
