@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsweave.llm import exact_dedup, quality
+from newsweave.llm import exact_dedup, mixing, packing, quality, simhash
+from newsweave.llm.queries import tokenizer_path
 from newsweave.sinks import materialize
 
 
@@ -18,9 +19,27 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one_copy(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose SimHash fingerprints are linked."""
+    return simhash.keep_one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in their target weights: documents repeated or cut to the words that the mix takes."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in training windows."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
     ("quality rules", quality_stage),
     ("exact dedup", exact_stage),
+    ("SimHash near-dedup", near_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 #: Fingerprints, index permutations and tokenizer ids are beyond SQL; tests hold the rows against plain loops.
