@@ -10,7 +10,7 @@ from newsweave.llm.common import SPACE_CLASS, SPACES, packed, same, whole_text,
 from newsweave.sinks import materialize
 
 #: Share of good documents of a stratum that all rules together may reject, and the risk that they reject more.
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA = 0.05, 0.05
 #: A cut-off is used only if it rejects labelled bad documents so many times as often as good ones.
 LIFT = 3.0
 #: A table of thresholds up to this many rows is broadcast.
@@ -21,7 +21,7 @@ RULES = [
     ("symbols", "n_symbols / greatest(word_chars, 1)", [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05]),
     ("repeats", "n_repeat_words / greatest(n_words, 1)", [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1]),
     ("dup_lines", "n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2]),
-    ("long_words", "word_chars / greatest(n_words, 1)", [40.0, 30.0, 20.0, 15.0, 12.0, 10.0]),
+    ("long_words", "word_chars / greatest(n_words, 1)", [40.0, 30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.0]),
     ("short_words", "-word_chars / greatest(n_words, 1)", [-1.5, -2.0, -2.5, -3.0]),
 ]
 
