@@ -64,12 +64,13 @@ def close_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints whose links have the components of all links within ``radius``.
 
     Each fingerprint emits every variant within half the radius; two fingerprints within the
-    radius share one. Fingerprints of one variant are put in order and each is paired with the
-    one before it, so a crowded variant gives a chain, not all pairs. Pairs are deduplicated
-    and verified. For an odd radius the ball is the larger half, and a chain may pass over a
-    pair one bit too far, so every member is paired with as many before it as the ball can hold.
+    radius share one, and all that share one are within the radius of each other. Fingerprints
+    of one variant are put in order and each is paired with the one before it, so a crowded
+    variant gives a chain, not all pairs. Pairs are deduplicated and verified. The radius is even.
     """
-    half = (radius + 1) // 2
+    if radius % 2:
+        raise ValueError("the radius must be even")
+    half = radius // 2
     masks = [0] + [sum(1 << b for b in c) for k in range(1, half + 1) for c in combinations(range(64), k)]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     distinct = prints.select("fingerprint").distinct()
@@ -77,11 +78,7 @@ def close_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
         "fingerprint", F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fingerprint").bitwiseXOR(m))).alias("variant")
     )
     order = Window.partitionBy("variant").orderBy("fingerprint")
-    if radius % 2 == 0:
-        met = variants.select(F.lag("fingerprint").over(order).alias("a"), F.col("fingerprint").alias("b"))
-    else:
-        before = F.collect_list("fingerprint").over(order.rowsBetween(-len(masks), -1))
-        met = variants.select(F.explode(before).alias("a"), F.col("fingerprint").alias("b"))
+    met = variants.select(F.lag("fingerprint").over(order).alias("a"), F.col("fingerprint").alias("b"))
     met = met.filter("a IS NOT NULL").distinct()
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 

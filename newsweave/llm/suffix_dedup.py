@@ -109,7 +109,7 @@ def repeated_windows(left: list[bytes], right: list[bytes], length: int = LENGTH
     return marks
 
 
-CONTEXTS = "lead binary, id_key long, version long, place int, before binary, after binary, heavy boolean"
+CONTEXTS = "lead binary, id_key long, version long, place int, lo int, hi int, before binary, after binary, heavy boolean"
 SPANS = "id_key long, version long, lo int, hi int"
 
 
@@ -123,7 +123,7 @@ def _contexts(length: int, gram: int):
                     at = row["place"]
                     after = data[at : at + length]
                     before = data[max(0, at - length + gram) : at][::-1]
-                    out.append((after[:LEAD], key, version, at, before, after, row["heavy"]))
+                    out.append((after[:LEAD], key, version, at, row["lo"], row["hi"], before, after, row["heavy"]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXTS.split(", ")])
 
     return run
@@ -163,18 +163,17 @@ def _sorted_buckets(length: int, gram: int, bucket: int):
 
 
 def _window_digests(length: int, gram: int):
-    """Every window around an anchor as a 128-bit digest, for anchors too frequent to be sorted in one place."""
+    """Every window that an anchor was chosen for as a 128-bit digest; for anchors too frequent to be sorted in one place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             out = []
-            for key, version, at, before, after in zip(*[batch[c] for c in ("id_key", "version", "place", "before", "after")]):
-                data, n = bytes(before)[::-1] + bytes(after), len(before)
-                for o in range(min(n, length - gram) + 1):
-                    if len(after) >= length - o:
-                        out.append((xxh3_128_digest(data[n - o : n - o + length]), key, version, at - o))
+            for key, version, at, lo, hi, before, after in zip(*[batch[c] for c in ("id_key", "version", "place", "lo", "hi", "before", "after")]):
+                data, first = bytes(before)[::-1] + bytes(after), at - len(before)
+                for start in range(lo, hi + 1):
+                    out.append((xxh3_128_digest(data[start - first : start - first + length]), key, version, start))
             yield pd.DataFrame(out, columns=["digest", "id_key", "version", "start"])
 
     return run
@@ -200,10 +199,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, supp
     leading gram never straddle ranges, except frequent ones: these are compared across all
     ranges by digests of their windows, which sum up in the tasks first.
     """
-    found = A.per_document(A.repeated(A.gram_rows(docs, _finder(length, gram)), support), "place", "heavy")
+    found = A.per_document(A.repeated(A.gram_rows(docs, _finder(length, gram)), support), "place", "lo", "hi", "heavy")
     contexts = A.with_texts(docs, found).mapInPandas(_contexts(length, gram), CONTEXTS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = contexts.filter("NOT heavy").drop("heavy").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    ranged = contexts.filter("NOT heavy").drop("heavy", "lo", "hi").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
     cold = ranged.mapInPandas(_sorted_buckets(length, gram, bucket), SPANS)
     windows = contexts.filter("heavy").mapInPandas(
         _window_digests(length, gram), "digest binary, id_key long, version long, start int"
