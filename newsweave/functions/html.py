@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsweave import params as P
 from newsweave.functions import text as X, times as T, urls as U
@@ -40,10 +40,20 @@ def tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0))
 
 
-def anchor_links(html: Column) -> Column:
-    """Every href of the page, in page order."""
-    raw = F.regexp_extract_all(html, F.lit(rf"(?i)<a\b[^>]*\bhref{_VALUE}"), F.lit(1))
-    return F.filter(F.transform(raw, _unquote), lambda h: h != "")
+def anchors(html: Column) -> Column:
+    """Links of the page in page order: struct(href, classes, title)."""
+    pattern = F.lit(r"(?is)(<a\b[^>]*>)(.*?)(?=</a>|<a\b|$)")
+    opened, inside = (F.regexp_extract_all(html, pattern, F.lit(g)) for g in (1, 2))
+    found = F.zip_with(
+        opened,
+        inside,
+        lambda tag, text: F.struct(
+            attribute(tag, "href").alias("href"),
+            F.coalesce(attribute(tag, "class"), F.lit("")).alias("classes"),
+            X.strip_html(text).alias("title"),
+        ),
+    )
+    return F.filter(found, lambda a: a["href"].isNotNull())
 
 
 def feed_links(html: Column, base: Column) -> Column:
@@ -112,8 +122,14 @@ def _opened(node: Column, depth: int) -> Column:
     return F.concat(F.array(node), F.flatten(inner))
 
 
+def deepest_graph(pages: DataFrame) -> int:
+    """How deep graphs can be nested in the linked data of any page; one filtered pass over the pages."""
+    nested = pages.filter(F.col("html").contains('"@graph"'))
+    return nested.agg(F.max(F.regexp_count("html", F.lit('"@graph"')))).first()[0] or 0
+
+
 def jsonld_nodes(html: Column, depth: int = 2) -> Column:
-    """All linked-data nodes of a page, nested lists and graphs flattened in order."""
+    """All linked-data nodes of a page, nested lists and up to ``depth`` nested graphs flattened in order."""
     nodes = F.flatten(
         F.transform(jsonld_scripts(html), lambda s: _as_list(F.try_parse_json(s)))
     )
@@ -177,12 +193,42 @@ def _opening(selector: str) -> str:
     return rf"<{outer}[ >].*?{own}" if outer else own
 
 
+def _until_closed(rest: Column, name: Column) -> Column:
+    """Markup up to the tag that closes an element of this name, counting those opened inside it."""
+    tag = F.concat(F.lit("(?i)</?"), name, F.lit(r"(?=[\s/>])[^>]*>"))
+    marks, gaps = F.regexp_extract_all(rest, tag, F.lit(0)), F.split(rest, tag, -1)
+    steps = F.transform(
+        marks,
+        lambda m, i: F.struct(
+            F.length(F.get(gaps, i)).alias("gap"),
+            F.length(m).alias("size"),
+            F.when(m.startswith("</"), -1).otherwise(1).alias("turn"),
+        ),
+    )
+    end = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end")),
+        lambda acc, s: F.struct(
+            (acc["depth"] + s["turn"]).alias("depth"),
+            (acc["at"] + s["gap"] + s["size"]).alias("at"),
+            F.when((acc["end"] < 0) & (acc["depth"] + s["turn"] < 0), acc["at"] + s["gap"])
+            .otherwise(acc["end"])
+            .alias("end"),
+        ),
+        lambda acc: acc["end"],
+    )
+    return let(end, lambda e: F.when(e >= 0, F.left(rest, e)).otherwise(rest))
+
+
 def container_block(html: Column, selector: str) -> Column:
-    """Markup from the container's opening tag to the end of the article or page body."""
-    pattern = rf"(?is){_opening(selector)}(.*?)(?:</article>|<footer[ >]|</body>|$)"
+    """Markup inside the first element that the selector names, up to its own end."""
+    opening = rf"(?is)({_opening(selector)})(.*)$"
     # Most pages use none of the known containers: a plain search settles that.
     hint = selector.rpartition(".")[2].rpartition("=")[2].strip('"')
-    return F.when(html.contains(hint), F.regexp_extract(html, pattern, 1)).otherwise("")
+    name = F.regexp_extract(F.regexp_extract(html, opening, 1), r"(?is)<([a-z0-9]+)[^<]*$", 1)
+    rest = F.regexp_extract(html, opening, 2)
+    inside = F.when(name == "", F.lit("")).otherwise(_until_closed(rest, name))
+    return F.when(html.contains(hint), inside).otherwise("")
 
 
 def container_text(html: Column, containers: Sequence[str] = CONTAINERS) -> Column:
@@ -244,7 +290,7 @@ def visible_text(html: Column) -> Column:
 
 def visible_publish_date(html: Column, now: Column) -> Column:
     """Date printed on the page, for sites without machine-readable dates."""
-    return T.visible_date(F.left(visible_text(html), F.lit(12000)), now)
+    return T.visible_date(visible_text(html), now)
 
 
 def time_element(html: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsweave import params as P
 from newsweave.functions import text as X, times as T, urls as U
+from newsweave.sinks import materialize
 
 
 def channel_fallback(candidates: DataFrame) -> DataFrame:
@@ -79,13 +80,27 @@ def new_only(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 def insert_ignore(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows an append may add under both unique keys of the item table.
 
-    url_hash is unique everywhere, content_hash per source. Of several new rows
-    with the same key the lowest id goes in.
+    url_hash is unique everywhere, content_hash per source. Rows go in by id, and a row is
+    skipped if it clashes with a stored row or with one that went in before it; a skipped row
+    stops no other. Each round settles the rows that are first under both of their keys and
+    what clashes with them, so rounds grow with the longest chain of clashes, not with the rows.
     """
-    lowest = [F.col("doc_id")]
-    by_url = first_wins(new_only(rows, stored, ["url_hash"]), ["url_hash"], lowest)
-    by_content = new_only(by_url, stored, ["source_id", "content_hash"])
-    return first_wins(by_content, ["source_id", "content_hash"], lowest)
+    content = ["source_id", "content_hash"]
+    open_rows = new_only(new_only(rows, stored, ["url_hash"]), stored, content)
+    open_rows = materialize(open_rows, "offered")
+    added = None
+    while True:
+        first_url = open_rows.groupBy("url_hash").agg(F.min("doc_id").alias("_url"))
+        first_content = open_rows.groupBy(*content).agg(F.min("doc_id").alias("_content"))
+        ranked = open_rows.join(first_url, "url_hash").join(first_content, content)
+        first = materialize(
+            ranked.filter("doc_id = _url AND doc_id = _content").select(*rows.columns), "added"
+        )
+        added = first if added is None else added.unionByName(first)
+        left = new_only(new_only(open_rows, first, ["url_hash"]), first, content)
+        open_rows = materialize(left.select(*rows.columns), "offered")
+        if open_rows.isEmpty():
+            return added
 
 
 def build_rows(candidates: DataFrame) -> DataFrame:
@@ -149,17 +164,18 @@ def with_angle(items: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+#: Counters that a source's log row carries and a run adds up.
+SUMMED = ("checked", "unchanged", "candidates", "new_urls", "extracted", "inserted", "duplicates", "errors")
+
+
 def run_totals(log: DataFrame, by: str) -> DataFrame:
-    """Totals of an ingest run from its per-fetch log rows."""
-    kind = F.col("event_type")
+    """The twelve totals of a run from log(by, channel, started_at, finished_at and the counters), a row per source."""
     return log.groupBy(by).agg(
-        F.count("*").alias("checked"),
-        F.count_if(kind == "view").alias("candidates"),
-        F.count_if(kind == "purchase").alias("inserted"),
-        F.count_if(kind == "click").alias("duplicates"),
-        F.count_if(kind == "signup").alias("unchanged"),
-        F.count_if(kind == "error").alias("errors"),
-        F.count_if((kind == "error") & (F.col("value") > 100)).alias("slow_errors"),
+        F.count("*").alias("sources"),
+        F.count_if(F.col("channel") == "sitemap").alias("by_sitemap"),
+        F.count_if(F.col("channel") == "none").alias("without_candidates"),
+        *[F.sum(c).alias(c) for c in SUMMED],
+        (F.unix_timestamp(F.max("finished_at")) - F.unix_timestamp(F.min("started_at"))).alias("seconds"),
     )
 
 

@@ -12,9 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from newsweave import params as P
 
 
-def upsert(target: DataFrame, changes: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Update ``columns`` of rows whose key is in ``changes``, keep the others, add new rows."""
-    fresh = changes.select(*key, *[F.col(c).alias(f"_new_{c}") for c in columns]).withColumn(
+def one_per_key(changes: DataFrame, key: list[str], order: Column | None = None) -> DataFrame:
+    """The last change of each key by ``order``; without one the largest row, so reruns agree."""
+    row = F.struct(*[c for c in changes.columns if c not in key])
+    last = changes.groupBy(*key).agg(F.max_by(row, row if order is None else order).alias("_row"))
+    return last.select(*key, "_row.*")
+
+
+def upsert(
+    target: DataFrame, changes: DataFrame, key: list[str], columns: list[str], order: Column | None = None
+) -> DataFrame:
+    """Update ``columns`` of rows whose key is in ``changes``, keep the others, add new rows.
+
+    Of several changes of one key the last by ``order`` counts.
+    """
+    fresh = one_per_key(changes, key, order).select(*key, *[F.col(c).alias(f"_new_{c}") for c in columns]).withColumn(
         "_changed", F.lit(True)
     )
     joined = target.join(fresh, key, "full")
@@ -92,15 +104,15 @@ def trailing_count(rows: DataFrame, key: str, at: str, hours: int, name: str) ->
 
 
 def apply_article_updates(
-    articles: DataFrame, updates: DataFrame, history: DataFrame, now: Column
+    articles: DataFrame, updates: DataFrame, history: DataFrame, now: Column, order: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """New article table and history after one update per article.
+    """New article table and history after one update per article, the last by ``order``.
 
     The replaced version goes to the history, the revision rises by one, cost
     adds up, and the slug (the public address) stays.
     """
     text = ["title", "lead", "body"]
-    fresh = updates.select(
+    fresh = one_per_key(updates, ["article_id"], order).select(
         "article_id",
         *[F.col(c).alias(f"_new_{c}") for c in text],
         F.col("cost_usd").alias("_new_cost"),
@@ -218,10 +230,9 @@ def articles_needing_cover(articles: DataFrame, now: Column, limit: int = 20) ->
     )
     week_ago = now - F.expr("INTERVAL 7 DAYS")
     outdated = (
-        live.filter(F.col("last_update_at") >= week_ago)
+        live.filter((F.col("last_update_at") >= week_ago) & F.col("cover_url").isNotNull() & cover_is_stale())
         .orderBy(F.desc("last_update_at"), "article_id")
         .limit(limit)
-        .filter(cover_is_stale() & F.col("cover_url").isNotNull())
         .select("article_id", F.lit(2).alias("turn"), F.col("last_update_at").alias("at"))
     )
     return missing.unionByName(outdated).orderBy("turn", F.desc("at"), "article_id").limit(limit)

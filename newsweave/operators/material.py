@@ -112,14 +112,15 @@ def request_batches(requests: DataFrame, per_batch: int) -> DataFrame:
     """Requests(topic_id, custom_id, model) to batches of one model each.
 
     A model with many requests gets as many batches as keep them near
-    ``per_batch``, so no batch row grows with the data.
+    ``per_batch``, so no batch row grows with the data. Batches are dealt by a
+    hash of the request's id, whatever pattern the ids have.
     """
     sizes = requests.groupBy("model").agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / per_batch)).alias("n_batches")
     )
     return (
-        requests.join(F.broadcast(sizes), "model")
-        .withColumn("batch_no", F.pmod(F.col("topic_id"), F.col("n_batches")))
+        requests.join(sizes, "model")
+        .withColumn("batch_no", F.pmod(F.conv(F.left(F.md5("custom_id"), F.lit(8)), 16, 10).cast("bigint"), F.col("n_batches")))
         .groupBy("model", "batch_no")
         .agg(
             F.count("*").alias("request_count"),
@@ -190,13 +191,18 @@ def repair_responses(responses: DataFrame) -> DataFrame:
         }
     )
     none = F.array().cast("array<string>")
+    translated = ~X.collapse_whitespace(X.match_key(F.col("r.category"))).isin(*P.CATEGORIES)
     empty_sides = F.get_json_object("raw", "$.bothSides") == "{}"
     note = lambda happened, text: F.when(happened, text)
     merged = F.size("r.body") - F.size("body")
     repairs = F.array(
         note(
             F.col("category") != F.col("r.category"),
-            F.concat(F.lit("kategorija „"), F.col("r.category"), F.lit('" u „'), F.col("category"), F.lit('"')),
+            F.concat(
+                F.lit("kategorija „"), F.col("r.category"),
+                F.when(translated, '" prevedena u „').otherwise('" svedena na „'),
+                F.col("category"), F.lit('"'),
+            ),
         ),
         note(merged > 0, F.concat(F.lit("spojeno "), merged, F.lit(" prekratkih pasusa"))),
         note(
@@ -207,7 +213,20 @@ def repair_responses(responses: DataFrame) -> DataFrame:
         note(F.col("r.keywords").isNull(), F.lit("polje keywords je izostalo, upisan prazan niz")),
         note(F.col("r.notes").isNull(), F.lit("polje notes je izostalo, upisan prazan niz")),
     )
-    missing = lambda name: F.when(F.col(f"r.{name}").isNull(), f"{name}: izostaje")
+    raw = F.try_parse_json("raw")
+
+    def typed(name: str, kind: str, nullable: bool = False) -> Column:
+        """Absent, or there with another JSON type: from_json reads numbers as text without a word."""
+        value = F.schema_of_variant(F.try_variant_get(raw, f"$.{name}", "variant"))
+        fine = value.rlike(rf"^({kind})$")
+        if nullable:
+            fine = value.isNull() | (value == "VOID") | fine
+        absent = value.isNull() | (value == "VOID")
+        return F.when(~F.coalesce(fine, F.lit(False)), F.when(absent, f"{name}: izostaje").otherwise(f"{name}: pogrešan tip"))
+
+    panels = F.col("r.bothSides")
+    sides = ("officialLabel", "officialText", "criticalLabel", "criticalText")
+    has_sides = panels.isNotNull() & ~F.coalesce(empty_sides, F.lit(False))
     n_parts = F.coalesce(F.size("body"), F.lit(0))
     short = F.transform(
         F.coalesce("body", none),
@@ -217,7 +236,11 @@ def repair_responses(responses: DataFrame) -> DataFrame:
     )
     checks = F.concat(
         F.array(
-            *[missing(n) for n in ("title", "lead", "sensitive", "sourcesDiverge")],
+            *[typed(n, "STRING") for n in ("title", "lead")],
+            *[typed(n, "BOOLEAN") for n in ("sensitive", "sourcesDiverge")],
+            typed("sensitivityReason", "STRING", nullable=True),
+            *[typed(n, r"ARRAY<(STRING|VOID)>", nullable=True) for n in ("body", "keywords", "notes")],
+            *[F.when(has_sides & panels[n].isNull(), F.lit(f"bothSides.{n}: izostaje")) for n in sides],
             F.when(
                 ~F.coalesce(F.col("category").isin(*P.CATEGORIES), F.lit(False)),
                 F.lit("category: van spiska"),
@@ -257,7 +280,7 @@ def article_rows(responses: DataFrame, now: Column) -> DataFrame:
         "category",
         "sensitive",
         F.when(F.col("sensitive"), "pending_review").otherwise("draft").alias("status"),
-        X.count_words(F.col("body")).alias("word_count"),
+        scoring.article_words().alias("word_count"),
         "model",
         F.lit(1).alias("revision"),
     )

@@ -88,12 +88,16 @@ def with_gates(topics: DataFrame, gates: P.GateParams = P.GateParams()) -> DataF
 
 def length_gate(articles: DataFrame, gates: P.GateParams = P.GateParams()) -> DataFrame:
     """Too short a text is not published and sends its topic to the stronger tier."""
-    short = X.count_words(F.col("body")) < gates.min_words
-    return articles.withColumn("word_count", X.count_words(F.col("body"))).withColumn(
-        "needs_flagship", short
+    return articles.withColumn("word_count", article_words()).withColumn(
+        "needs_flagship", F.col("word_count") < gates.min_words
     )
 
 
+def article_words() -> Column:
+    """Words of an article: its lead and its body."""
+    return X.count_words(F.concat_ws(" ", "lead", "body"))
+
+
 # --- daily counters and selection ----------------------------------------------------
 
 

@@ -253,10 +253,10 @@ def daily_output(c):
 @plan(
     "length_gate",
     f"""SELECT article_id, topic_id, w AS word_count, w < 350 AS needs_flagship
-    FROM (SELECT article_id, topic_id, {V.n_words('body')} AS w FROM v_articles)""",
+    FROM (SELECT article_id, topic_id, {V.n_words("concat(coalesce(lead, ''), ' ', coalesce(body, ''))")} AS w FROM v_articles)""",
 )
 def length_gate(c):
-    return SC.length_gate(c.articles.select("article_id", "topic_id", "body")).select(
+    return SC.length_gate(c.articles.select("article_id", "topic_id", "lead", "body")).select(
         "article_id", "topic_id", big("word_count"), "needs_flagship"
     )
 
@@ -369,7 +369,7 @@ def prompt_material(c):
 @plan(
     "batch_requests",
     """WITH n AS (SELECT model, greatest(1, CAST(ceil(count(*) / 20) AS BIGINT)) AS nb FROM v_batches GROUP BY 1)
-    SELECT b.model, b.topic_id % nb AS batch_no, count(*) AS request_count,
+    SELECT b.model, CAST(concat('0x', left(md5(custom_id), 8)) AS BIGINT) % nb AS batch_no, count(*) AS request_count,
       array_to_string(list_sort(list(custom_id)), ',') AS custom_ids
     FROM v_batches b JOIN n USING (model) GROUP BY 1, 2""",
 )
@@ -418,7 +418,8 @@ def awaiting_review(c):
     f"""WITH a AS (SELECT *, translate(replace(lower(title), 'đ', 'dj'), '{X.ACCENTED}', '{X.BASE}') AS t FROM v_articles),
     b AS (SELECT *, regexp_replace(left(regexp_replace(regexp_replace(t, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 70), '-+$', '') AS s FROM a)
     SELECT topic_id, concat(CASE WHEN s = '' THEN 'clanak' ELSE s END, '-2024-01-31') AS slug, category,
-      CASE WHEN sensitive THEN 'pending_review' ELSE 'draft' END AS status, {V.n_words('body')} AS word_count, model FROM b""",
+      CASE WHEN sensitive THEN 'pending_review' ELSE 'draft' END AS status,
+      {V.n_words("concat(coalesce(lead, ''), ' ', coalesce(body, ''))")} AS word_count, model FROM b""",
 )
 def article_rows(c):
     return M.article_rows(c.articles, c.now).select(
@@ -519,8 +520,8 @@ def review_outbox(c):
     "stale_covers",
     f"""WITH a AS (SELECT article_id, 1 AS turn, created_s AS at_s FROM v_articles WHERE status <> 'rejected' AND cover_url IS NULL
       ORDER BY created_s DESC, article_id LIMIT 20),
-    b AS (SELECT * FROM v_articles WHERE status <> 'rejected' AND last_update_s >= {V.NOW - 7 * V.DAY} ORDER BY last_update_s DESC, article_id LIMIT 20),
-    d AS (SELECT article_id, 2 AS turn, last_update_s AS at_s FROM b WHERE cover_url IS NOT NULL AND (cover_s IS NULL OR cover_s < last_update_s))
+    d AS (SELECT article_id, 2 AS turn, last_update_s AS at_s FROM v_articles WHERE status <> 'rejected' AND last_update_s >= {V.NOW - 7 * V.DAY}
+      AND cover_url IS NOT NULL AND (cover_s IS NULL OR cover_s < last_update_s) ORDER BY last_update_s DESC, article_id LIMIT 20)
     SELECT article_id, turn, at_s FROM (SELECT * FROM a UNION ALL SELECT * FROM d) ORDER BY turn, at_s DESC, article_id LIMIT 20""",
 )
 def stale_covers(c):
@@ -581,7 +582,7 @@ def retention_sweep(c):
 def retention_cascade(c):
     old = L.expired(c.items, "fetched_at", c.now, P.RetentionParams().item_days)
     items = c.items.select("doc_id", "fetched_at")
-    survivors = L.remove_rows(items, items.filter(old), "doc_id")
+    survivors = items.filter(~old)
     links = L.cascade_links(c.links, survivors)
     topics = links.groupBy("topic_id").agg(F.count("*").alias("n_links"))
     articles = L.detach_articles(c.articles.select("article_id", "topic_id"), topics)

@@ -106,14 +106,16 @@ def new_content(c):
 
 @plan(
     "insert_dedup_counts",
-    f"""WITH n AS (SELECT * FROM v_hashed WHERE fetched_s >= {V.KNOWN_UNTIL}),
-    k AS (SELECT * FROM v_hashed WHERE fetched_s < {V.KNOWN_UNTIL}),
-    u AS (SELECT * FROM n WHERE url_hash NOT IN (SELECT url_hash FROM k)
-      QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY doc_id) = 1),
-    t AS (SELECT * FROM u WHERE (source_id, content_hash) NOT IN (SELECT (source_id, content_hash) FROM k)
-      QUALIFY row_number() OVER (PARTITION BY source_id, content_hash ORDER BY doc_id) = 1)
-    SELECT n.source_id, count(t.doc_id) AS inserted, count(*) - count(t.doc_id) AS duplicates
-    FROM n LEFT JOIN t ON t.doc_id = n.doc_id GROUP BY 1""",
+    # The rows one after the other, each against what is stored and what went in before it.
+    f"""WITH RECURSIVE k AS (SELECT url_hash, concat(source_id, '/', content_hash) AS content FROM v_hashed WHERE fetched_s < {V.KNOWN_UNTIL}),
+    n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS step, url_hash NOT IN (SELECT url_hash FROM k) AND content NOT IN (SELECT content FROM k) AS fresh
+      FROM (SELECT *, concat(source_id, '/', content_hash) AS content FROM v_hashed WHERE fetched_s >= {V.KNOWN_UNTIL})),
+    walk(step, urls, contents, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false
+      UNION ALL SELECT n.step, CASE WHEN ok THEN list_append(urls, url_hash) ELSE urls END, CASE WHEN ok THEN list_append(contents, content) ELSE contents END, ok
+      FROM (SELECT n.*, w.urls, w.contents, n.fresh AND NOT list_contains(w.urls, n.url_hash) AND NOT list_contains(w.contents, n.content) AS ok
+        FROM walk w JOIN n ON n.step = w.step + 1) n)
+    SELECT n.source_id, count(*) FILTER (WHERE w.kept) AS inserted, count(*) FILTER (WHERE NOT w.kept) AS duplicates
+    FROM n JOIN walk w ON w.step = n.step GROUP BY 1""",
 )
 def insert_dedup_counts(c):
     stored, new = stored_and_new(c)
@@ -285,14 +287,34 @@ def storage_snapshot(c):
 
 @plan(
     "ingest_summary",
-    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS checked,
-    count(*) FILTER (WHERE event_type = 'view') AS candidates, count(*) FILTER (WHERE event_type = 'purchase') AS inserted,
-    count(*) FILTER (WHERE event_type = 'click') AS duplicates, count(*) FILTER (WHERE event_type = 'signup') AS unchanged,
-    count(*) FILTER (WHERE event_type = 'error') AS errors,
-    count(*) FILTER (WHERE event_type = 'error' AND value > 100) AS slow_errors FROM events GROUP BY 1""",
+    """WITH l AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS checked, min(ts) AS a, max(ts) AS z,
+      count(*) FILTER (WHERE event_type = 'signup') AS unchanged, count(*) FILTER (WHERE event_type = 'view') AS candidates,
+      count(*) FILTER (WHERE event_type = 'view' AND value > 50) AS new_urls, count(*) FILTER (WHERE event_type = 'view' AND value > 75) AS extracted,
+      count(*) FILTER (WHERE event_type = 'purchase') AS inserted, count(*) FILTER (WHERE event_type = 'click') AS duplicates,
+      count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1, 2)
+    SELECT day, count(*) AS sources, count(*) FILTER (WHERE candidates > 0 AND user_id % 3 = 0) AS by_sitemap,
+      count(*) FILTER (WHERE candidates = 0) AS without_candidates, CAST(sum(checked) AS BIGINT) AS checked, CAST(sum(unchanged) AS BIGINT) AS unchanged,
+      CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(new_urls) AS BIGINT) AS new_urls, CAST(sum(extracted) AS BIGINT) AS extracted,
+      CAST(sum(inserted) AS BIGINT) AS inserted, CAST(sum(duplicates) AS BIGINT) AS duplicates, CAST(sum(errors) AS BIGINT) AS errors,
+      CAST(floor(epoch(max(z))) - floor(epoch(min(a))) AS BIGINT) AS seconds FROM l GROUP BY 1""",
 )
 def ingest_summary(c):
-    return I.run_totals(c.events.withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day")
+    """Events stand for fetches: a user is a source, a day a run, an event's type what the fetch found."""
+    kind, value = F.col("event_type"), F.col("value")
+    log = c.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("user_id").alias("source_id")).agg(
+        F.count("*").alias("checked"),
+        F.count_if(kind == "signup").alias("unchanged"),
+        F.count_if(kind == "view").alias("candidates"),
+        F.count_if((kind == "view") & (value > 50)).alias("new_urls"),
+        F.count_if((kind == "view") & (value > 75)).alias("extracted"),
+        F.count_if(kind == "purchase").alias("inserted"),
+        F.count_if(kind == "click").alias("duplicates"),
+        F.count_if(kind == "error").alias("errors"),
+        F.min("ts").alias("started_at"),
+        F.max("ts").alias("finished_at"),
+    )
+    channel = F.when(F.col("candidates") == 0, "none").when(F.col("source_id") % 3 == 0, "sitemap").otherwise("feed")
+    return I.run_totals(log.withColumn("channel", channel), "day")
 
 
 @plan(

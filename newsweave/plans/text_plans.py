@@ -536,22 +536,36 @@ _HREFS = (
 )
 
 
+_SITE_SQL = f"regexp_extract({V.url_host('url')}, '[^.]*[.][^.]*$')"
+
+
 @plan(
     "link_harvest",
-    rf"""WITH h AS (SELECT page_id, url, unnest({_HREFS}) AS raw, generate_subscripts({_HREFS}, 1) AS i FROM pages),
-    a AS (SELECT page_id, i, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site,
+    # A source is a site; its budget of 40 links is spent over all its pages, in order.
+    rf"""WITH h AS (SELECT page_id, url, {_SITE_SQL} AS source_id, unnest({_HREFS}) AS raw, generate_subscripts({_HREFS}, 1) AS i FROM pages),
+    a AS (SELECT page_id, i, url, source_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS site,
       trim(regexp_replace(raw, '^["'']|["'']$', '', 'g')) AS href FROM h),
-    b AS (SELECT page_id, i, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE site || href END AS u FROM a
+    b AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE site || href END AS u FROM a
       WHERE regexp_matches(href, '^(https?:/)?/')),
-    d AS (SELECT page_id, min(i) AS i, {V.canonical('u')} AS link FROM b
-      WHERE regexp_matches({V.url_path('u')}, '^/[A-Za-z]{{3,}}') GROUP BY page_id, 3)
-    SELECT page_id AS listing_id, link, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS position
+    d AS (SELECT source_id, min((page_id, i)) AS first, {V.canonical('u')} AS link FROM b
+      WHERE regexp_matches({V.url_path('u')}, '^/[A-Za-z]{{3,}}')
+        AND regexp_extract({V.url_host('u')}, '[^.]*[.][^.]*$') = source_id GROUP BY source_id, 3)
+    SELECT source_id, link, row_number() OVER (PARTITION BY source_id ORDER BY first) - 1 AS position
     FROM d QUALIFY position < 40""",
 )
 def link_harvest(c):
-    listings = c.spread("pages").select(F.col("page_id").alias("listing_id"), "url", "html")
-    links = PG.harvest_links(listings, "^/[A-Za-z]{3,}", 40)
-    return links.select("listing_id", "link", F.col("position").cast("bigint").alias("position"))
+    listings = c.spread("pages").select(
+        U.root_domain(F.col("url")).alias("source_id"), F.col("page_id").alias("listing_id"), "url", "html"
+    )
+    rules = listings.select("source_id").distinct().select(
+        "source_id",
+        F.concat(F.lit("https://"), "source_id", F.lit("/")).alias("homepage"),
+        F.lit("^/[A-Za-z]{3,}").alias("link_pattern"),
+        F.lit(None).cast("string").alias("link_class"),
+        F.lit(40).alias("max_links"),
+    )
+    links = PG.harvest_links(listings, rules)
+    return links.select("source_id", "link", F.col("position").cast("bigint").alias("position"))
 
 
 @plan(

@@ -24,7 +24,7 @@ ATOM = (
 def looks_like_feed(body: Column, content_type: Column) -> Column:
     head = F.lower(F.ltrim(F.left(body, F.lit(1000))))
     is_page = head.startswith("<!doctype html") | head.startswith("<html")
-    has_root = F.left(body, F.lit(4000)).rlike(r"(?i)<(rss|feed|rdf:rdf)[\s>]")
+    has_root = body.rlike(r"(?i)<(rss|feed|rdf:rdf)[\s>]")
     declared = F.lower(F.coalesce(content_type, F.lit(""))).contains("xml")
     return ~is_page & (has_root | (declared & F.ltrim(body).startswith("<")))
 

@@ -20,7 +20,7 @@ def extract_articles(
     """
     html, url = F.col("html"), F.col("url")
     staged = pages.withColumn("_meta", H.meta_tags(html)).withColumn(
-        "_nodes", H.jsonld_nodes(html)
+        "_nodes", H.jsonld_nodes(html, H.deepest_graph(pages))
     )
     metas, nodes = F.col("_meta"), F.col("_nodes")
     meta = lambda *names: H.meta_content(metas, names)
@@ -57,18 +57,38 @@ def extract_articles(
     )
 
 
-def harvest_links(listings: DataFrame, link_pattern: str, max_links: int) -> DataFrame:
-    """Listing pages(listing_id, url, html) to distinct article links, in page order.
+def harvest_links(listings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Article links of listing pages within each source's crawl budget: source_id, position, link, title.
 
-    The cap per listing is the crawl budget of one run. Links are deduplicated
-    inside the row, so the page never leaves its task.
+    Listings(source_id, listing_id, url, html) are read in order of listing_id. Rules(source_id,
+    homepage, link_pattern, link_class, max_links) say which paths are articles, which class
+    links must carry (null: any) and how many links of all its listings a source may take. Links
+    must stay on the site of the homepage or of the listing. Each listing is cut to the budget
+    inside its row, so a source brings at most that many links per listing to its window.
     """
-    links = F.transform(
-        H.anchor_links(F.col("html")), lambda h: U.canonical_url(h, F.col("url"))
+    joined = listings.join(rules, "source_id")
+    matching = F.filter(
+        F.transform(
+            H.anchors(F.col("html")),
+            lambda a: F.struct(U.canonical_url(a["href"], F.col("url")).alias("link"), a["title"].alias("title"), a["classes"].alias("classes")),
+        ),
+        lambda a: a["link"].isNotNull()
+        & F.rlike(U.path(a["link"]), F.col("link_pattern"))
+        & (F.col("link_class").isNull() | F.array_contains(F.split(a["classes"], r"\s+"), F.col("link_class")))
+        & U.same_site(a["link"], F.col("homepage"), F.col("url")),
+    )
+    first = F.filter(
+        "_found", lambda a, i: ~F.exists(F.slice("_found", 1, i), lambda b: b["link"] == a["link"])
+    )
+    picked = joined.withColumn("_found", matching).withColumn("_first", F.slice(first, F.lit(1), F.col("max_links")))
+    offered = picked.select("source_id", "listing_id", "max_links", F.posexplode("_first").alias("_at", "a"))
+    order = F.struct("listing_id", "_at")
+    links = offered.groupBy("source_id", F.col("a.link").alias("link")).agg(
+        F.min_by("a.title", order).alias("title"), F.min(order).alias("_order"), F.first("max_links").alias("max_links")
     )
-    matching = F.filter(links, lambda u: u.isNotNull() & U.path(u).rlike(link_pattern))
-    capped = F.slice(F.array_distinct(matching), 1, max_links)
-    return listings.select("listing_id", F.posexplode(capped).alias("position", "link"))
+    by_source = Window.partitionBy("source_id").orderBy("_order")
+    ranked = links.withColumn("position", F.row_number().over(by_source) - 1)
+    return ranked.filter("position < max_links").select("source_id", "position", "link", "title")
 
 
 def section_statistics(

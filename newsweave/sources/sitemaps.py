@@ -14,7 +14,7 @@ INDEX = "sitemap ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 
 
 def looks_like_sitemap(body: Column) -> Column:
-    return F.left(body, F.lit(4000)).rlike(r"(?i)<(urlset|sitemapindex)[\s>]")
+    return body.rlike(r"(?i)<(urlset|sitemapindex)[\s>]")
 
 
 def sitemap_kind(body: Column) -> Column:
@@ -64,19 +64,21 @@ def sitemap_entries(documents: DataFrame) -> DataFrame:
 def expand_indexes(documents: DataFrame, children_per_index: int = 2) -> DataFrame:
     """Entries of the news-like children of sitemap indexes, plus those of plain sitemaps.
 
-    The children are looked up in the same table of fetched documents.
+    The children are looked up in the same table of fetched documents. A document that an
+    index lists is never a plain sitemap, also when it is not among the children to read.
     """
     entries = sitemap_entries(documents)
     urlset = entries.filter("kind = 'urlset'")
     order = Window.partitionBy("url").orderBy("position")
+    indexed = entries.filter("kind = 'index'")
     children = (
-        entries.filter("kind = 'index'")
+        indexed
         .filter(F.col("loc").rlike("(?i)news|vesti|latest|stories"))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= children_per_index)
         .select(F.col("url").alias("index_url"), F.col("loc").alias("url"))
     )
-    listed = children.select("url").distinct()
+    listed = indexed.select(F.col("loc").alias("url")).distinct()
     direct = urlset.join(listed, "url", "left_anti").withColumn("index_url", F.lit(None).cast("string"))
     nested = urlset.join(children, "url")
     return direct.unionByName(nested)

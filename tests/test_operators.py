@@ -257,9 +257,12 @@ def test_request_batches_stay_near_their_size(spark):
     requests = spark.range(250).select(
         F.col("id").alias("topic_id"), F.concat(F.lit("tema-"), "id").alias("custom_id"), F.lit("default").alias("model"))
     batches = M.request_batches(requests, 100).withColumn("status", F.lit("submitted")).withColumn("batch_id", F.col("batch_no"))
-    assert sorted(r["request_count"] for r in batches.collect()) == [83, 83, 84]
+    sizes = [r["request_count"] for r in batches.collect()]
+    assert len(sizes) == 3 and sum(sizes) == 250 and max(sizes) < 120
+    steps = requests.withColumn("topic_id", F.col("topic_id") * 1000)
+    assert M.request_batches(steps, 25).count() == 10
     assert M.topics_in_flight(batches).count() == 250
-    answers = spark.createDataFrame([(0, "tema-3")], "batch_id BIGINT, custom_id STRING")
+    answers = spark.createDataFrame([(b, "tema-3") for b in range(3)], "batch_id BIGINT, custom_id STRING")
     assert [r["topic_id"] for r in M.responses_with_topic(batches, answers).collect()] == [3]
 
 
@@ -343,3 +346,58 @@ def test_cascade_and_detach(spark):
     assert rows(kept, "topic_id", "doc_id") == [(1, 10)]
     articles = spark.createDataFrame([(5, 1), (6, 2)], "article_id INT, topic_id INT")
     assert {tuple(r) for r in L.detach_articles(articles, kept).select("article_id", "topic_id").collect()} == {(5, 1), (6, None)}
+
+
+@pytest.mark.parametrize(
+    "offered, inserted",
+    [
+        ([(1, "u1", "c0"), (2, "u1", "c9")], [2]),
+        ([(1, "u1", "c1"), (2, "u2", "c1"), (3, "u2", "c3")], [1, 3]),
+        ([(1, "u1", "c1"), (2, "u2", "c1"), (3, "u2", "c3"), (4, "u4", "c3"), (5, "u0", "c7")], [1, 3]),
+        ([], []),
+    ],
+)
+def test_a_skipped_row_stops_no_other(spark, offered, inserted):
+    schema = "doc_id INT, url_hash STRING, content_hash STRING, source_id STRING"
+    stored = spark.createDataFrame([(0, "u0", "c0", "s")], schema)
+    rows_in = spark.createDataFrame([(*r, "s") for r in offered], schema)
+    assert sorted(r["doc_id"] for r in I.insert_ignore(rows_in, stored).collect()) == inserted
+
+
+def test_the_last_of_several_changes_counts(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, v STRING")
+    changes = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "z", 1), (3, "w", 5)], "id INT, v STRING, at INT")
+    assert rows(L.upsert(target, changes, ["id"], ["v"], F.col("at")), "id", "v") == [(1, "x"), (2, "b"), (3, "w")]
+    articles = spark.createDataFrame([(1, 1, "t", "l", "b", 0.5, None)], "article_id INT, revision INT, title STRING, lead STRING, body STRING, cost_usd DOUBLE, last_update_at TIMESTAMP")
+    updates = spark.createDataFrame([(1, "t2", "l", "b", 0.1, "r", 1), (1, "t3", "l", "b", 0.2, "r", 2)], "article_id INT, title STRING, lead STRING, body STRING, cost_usd DOUBLE, reason STRING, at INT")
+    history = spark.createDataFrame([], "article_id INT, revision INT, title STRING, lead STRING, body STRING, reason STRING, cost_usd DOUBLE")
+    new, old = L.apply_article_updates(articles, updates, history, F.lit(NOW), F.col("at"))
+    assert rows(new, "article_id", "revision", "title") == [(1, 2, "t3")] and old.count() == 1
+
+
+def test_a_stale_cover_behind_many_fresh_ones_is_found(spark):
+    fresh = [(i, "published", "c", ago(1), ago(1), ago(50)) for i in range(30)]
+    stale = [(99, "published", "c", ago(30), ago(20), ago(60))]
+    frame = spark.createDataFrame(fresh + stale, "article_id INT, status STRING, cover_url STRING, cover_at TIMESTAMP, last_update_at TIMESTAMP, created_at TIMESTAMP")
+    assert [r["article_id"] for r in L.articles_needing_cover(frame, F.lit(NOW)).collect()] == [99]
+
+
+def test_the_lead_counts_towards_the_length(spark):
+    frame = spark.createDataFrame([(1, "x " * 100, "y " * 260), (2, None, "y " * 260)], "article_id INT, lead STRING, body STRING")
+    assert rows(S.length_gate(frame), "article_id", "word_count", "needs_flagship") == [(1, 360, False), (2, 260, True)]
+
+
+def test_response_types_and_both_panels(spark):
+    import json
+
+    good = {"title": "t", "lead": "l", "body": ["a" * 200] * 4, "category": "sport", "sensitive": False, "sensitivityReason": None,
+            "sourcesDiverge": True, "bothSides": {"officialLabel": "a", "officialText": "b", "criticalLabel": "c", "criticalText": "d"},
+            "keywords": ["x"], "notes": []}
+    half = {**good, "bothSides": {"officialLabel": "a", "officialText": "b"}}
+    typed = {**good, "title": 7, "sensitive": "da", "keywords": "x", "category": "Sport"}
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate((good, half, typed, {**good, "category": "vremeplov"}))], "id INT, raw STRING")
+    out = {r["id"]: r for r in M.repair_responses(frame).collect()}
+    assert out[0]["problems"] == []
+    assert out[1]["problems"] == ["bothSides.criticalLabel: izostaje", "bothSides.criticalText: izostaje"]
+    assert set(out[2]["problems"]) == {"title: pogrešan tip", "sensitive: pogrešan tip", "keywords: pogrešan tip"}
+    assert any("svedena na" in n for n in out[2]["repairs"]) and out[3]["problems"] == ["category: van spiska"]
