@@ -155,9 +155,10 @@ def entity_counts(runs: Column) -> Column:
     )
 
 
-def entities(text: Column, limit: int = 25, vp: P.VectorParams = P.VectorParams()) -> Column:
-    ranked = F.slice(entity_counts(entity_runs(text, vp)), 1, limit)
-    return F.transform(ranked, lambda s: s["entity"])
+def entities(text: Column, limit: int | None = None, vp: P.VectorParams = P.VectorParams()) -> Column:
+    """Names by frequency; all of them unless a limit is given."""
+    ranked = entity_counts(entity_runs(text, vp))
+    return F.transform(ranked if limit is None else F.slice(ranked, 1, limit), lambda s: s["entity"])
 
 
 # --- titles and bodies ----------------------------------------------------------------

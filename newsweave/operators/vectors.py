@@ -16,8 +16,13 @@ RAW = 100_000
 UNIT = 100_000_000
 
 
+def scored_body(content: Column, vp: P.VectorParams) -> Column:
+    body = F.coalesce(content, F.lit(""))
+    return body if vp.body_chars is None else F.left(body, F.lit(vp.body_chars))
+
+
 def _weighted_words(title: Column, content: Column, vp: P.VectorParams, prepare) -> Column:
-    body = F.left(F.coalesce(content, F.lit("")), F.lit(vp.body_chars))
+    body = scored_body(content, vp)
     entry = lambda weight: lambda w: F.struct(
         w.alias("word"), F.lit(weight).alias("weight")
     )
@@ -132,8 +137,7 @@ def item_postings(items: DataFrame, vp: P.VectorParams = P.VectorParams()) -> Da
 
 
 def item_entities(items: DataFrame, vp: P.VectorParams = P.VectorParams()) -> DataFrame:
-    body = F.left(F.coalesce(F.col("content"), F.lit("")), F.lit(vp.body_chars))
-    text = F.concat(F.col("title"), F.lit(". "), body)
+    text = F.concat(F.col("title"), F.lit(". "), scored_body(F.col("content"), vp))
     return items.withColumn("entities", X.entities(text, vp.max_entities, vp))
 
 

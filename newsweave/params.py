@@ -103,11 +103,12 @@ ANGLE_LABELS = {
 @dataclass(frozen=True)
 class VectorParams:
     title_weight: int = 3
-    # The lead carries the topic: only this much of the body is scored.
-    body_chars: int = 1500
+    # Characters of the body that are scored; None reads it whole.
+    body_chars: int | None = None
     min_word: int = 3
     min_stem: int = 4
-    max_entities: int = 15
+    # Names kept of an item; None keeps all, which is what comparisons want.
+    max_entities: int | None = None
     stop_words: tuple[str, ...] = STOP_WORDS
     suffixes: tuple[str, ...] = SUFFIXES
 
@@ -121,6 +122,7 @@ class TopicParams:
     min_title_chars: int = 20
     centroid_terms: int = 120
     keywords: int = 8
+    # Names of a topic that are shown; comparisons use all of them.
     topic_entities: int = 20
 
 

@@ -359,7 +359,7 @@ def prompt_material(c):
     keywords = ranked.groupBy("topic_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k")
     ).select("topic_id", F.transform("k", lambda s: s["keyword"]).alias("keywords"))
-    names = TP.topic_entities(VC.item_entities(c.members))
+    names = TP.topic_entities(VC.item_entities(c.members), 10)
     passing = SC.with_gates(c.rollup).filter("passes").select("topic_id", "title_sample")
     topics = passing.join(keywords, "topic_id", "left").join(names, "topic_id", "left")
     messages = M.prompt_messages(topics, members)

@@ -306,7 +306,7 @@ def paragraph_merge(c):
 # --- names -----------------------------------------------------------------------------------
 
 STOP_SQL = ", ".join(f"'{w}'" for w in X.P.STOP_WORDS)
-BODY = "left(coalesce(content, ''), 1500)"
+BODY = "coalesce(content, '')"
 V.VIEWS["v_entities"] = rf"""
 SELECT doc_id, e AS entity, count(*) AS n FROM (
   SELECT doc_id, trim(unnest(string_split_regex(array_to_string(list_transform(
@@ -322,14 +322,14 @@ GROUP BY doc_id, e
 """
 V.VIEWS["v_top_entities"] = """
 SELECT doc_id, entity, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, entity) AS rank
-FROM v_entities QUALIFY rank <= 15
+FROM v_entities
 """
 
 
 @plan("entity_counts", "SELECT doc_id, entity, n, rank FROM v_top_entities")
 def entity_counts(c):
-    text = F.concat(F.col("title"), F.lit(". "), F.left(F.coalesce("content", F.lit("")), F.lit(1500)))
-    counted = F.slice(X.entity_counts(X.entity_runs(text)), 1, 15)
+    text = F.concat(F.col("title"), F.lit(". "), F.coalesce("content", F.lit("")))
+    counted = X.entity_counts(X.entity_runs(text))
     return c.items.select("doc_id", F.posexplode(counted).alias("at", "c")).select(
         "doc_id", "c.entity", F.col("c.n").cast("bigint").alias("n"),
         (F.col("at") + 1).cast("bigint").alias("rank"),

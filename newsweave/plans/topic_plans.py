@@ -64,20 +64,17 @@ JOIN (SELECT topic_id, sqrt(CAST(sum(raw * raw) AS BIGINT)) AS len FROM {mean} G
 
 
 V.VIEWS["v_stored"] = _stored("v_mean")
-V.VIEWS["v_known_stored"] = _stored("v_known_mean")
 V.VIEWS["v_topic_unit"] = """
 SELECT topic_id, term, CAST(floor(raw * 100000000 / sqrt(ss) + 0.5) AS BIGINT) AS w
-FROM v_known_stored JOIN (SELECT topic_id, CAST(sum(raw * raw) AS BIGINT) AS ss FROM v_known_stored GROUP BY 1) USING (topic_id)
+FROM v_known_mean JOIN (SELECT topic_id, CAST(sum(raw * raw) AS BIGINT) AS ss FROM v_known_mean GROUP BY 1) USING (topic_id)
 """
 V.VIEWS["v_seen"] = """
 SELECT topic_id, entity, min((item_s, doc_id, rank)) AS seen, min(item_s) FILTER (WHERE added_s < {known}) AS k
 FROM v_top_entities JOIN v_members USING (doc_id) GROUP BY 1, 2
 """.format(known=V.KNOWN_UNTIL)
 V.VIEWS["v_topic_names"] = f"""
-SELECT topic_id, list_distinct(list(lower(entity))) AS names FROM (
-  SELECT topic_id, entity, row_number() OVER (PARTITION BY topic_id ORDER BY min((item_s, doc_id, rank)), entity) AS r
-  FROM v_top_entities JOIN v_members USING (doc_id) WHERE added_s < {V.KNOWN_UNTIL} GROUP BY 1, 2)
-WHERE r <= 20 GROUP BY 1
+SELECT topic_id, list_distinct(list(lower(entity))) AS names
+FROM v_top_entities JOIN v_members USING (doc_id) WHERE added_s < {V.KNOWN_UNTIL} GROUP BY 1
 """
 V.VIEWS["v_topic_start"] = (
     f"SELECT topic_id, min(item_s) AS start_s FROM v_members WHERE added_s < {V.KNOWN_UNTIL} GROUP BY 1"
@@ -135,11 +132,11 @@ class Vectors:
 
     def topic_nodes(self, links=None):
         links = self.known_links if links is None else links
-        stored = VC.stored_centroids(VC.centroids(self.postings, links))
+        means = VC.centroids(self.postings, links)
         members = materialize(self.members(links), "members")
         times = members.groupBy("topic_id").agg(F.min("item_at").alias("first_item_at"))
         frequencies = self.postings.select("term", "df").distinct()
-        nodes = TP.topic_nodes(stored, frequencies, TP.topic_entities(members), times)
+        nodes = TP.topic_nodes(means, frequencies, TP.topic_entities(members), times)
         return materialize(nodes, "topic-nodes")
 
 
@@ -187,7 +184,7 @@ def topic_centroids(c):
 )
 def topic_entities(c):
     named = VC.item_entities(c.members).select("topic_id", "doc_id", "item_at", "entities")
-    lists = TP.topic_entities(named)
+    lists = TP.topic_entities(named, TP_DEFAULT.topic_entities)
     return lists.select("topic_id", F.posexplode("entities").alias("at", "entity")).select(
         "topic_id", "entity", (F.col("at") + 1).cast("bigint").alias("rank")
     )
@@ -325,8 +322,7 @@ V.VIEWS["v_fresh_links"] = (
     "SELECT * FROM v_links WHERE topic_id NOT IN (SELECT topic_id FROM v_known_links)"
 )
 V.VIEWS["v_fresh_mean"] = V.VIEWS["v_mean"].replace("v_links", "v_fresh_links")
-V.VIEWS["v_fresh_stored"] = _stored("v_fresh_mean")
-V.VIEWS["v_fresh_unit"] = V.VIEWS["v_topic_unit"].replace("v_known_stored", "v_fresh_stored")
+V.VIEWS["v_fresh_unit"] = V.VIEWS["v_topic_unit"].replace("v_known_mean", "v_fresh_mean")
 V.VIEWS["v_fresh_names"] = V.VIEWS["v_topic_names"].replace(
     f"v_members USING (doc_id) WHERE added_s < {V.KNOWN_UNTIL}",
     "v_members USING (doc_id) WHERE topic_id IN (SELECT topic_id FROM v_fresh_links)",

@@ -198,9 +198,9 @@ class TopicTables:
     def nodes(self, before: int, frequencies: DataFrame) -> DataFrame:
         links = self.links.read(before)
         vectors = self.postings.read(before).select("doc_id", "term", "w")
-        stored = VC.stored_centroids(VC.centroids(vectors, links))
+        means = VC.centroids(vectors, links)
         times = links.groupBy("topic_id").agg(F.min("item_at").alias("first_item_at"))
-        return TP.topic_nodes(stored, frequencies, TP.topic_entities(links), times)
+        return TP.topic_nodes(means, frequencies, TP.topic_entities(links), times)
 
 
 def assign_topics(

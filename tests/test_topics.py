@@ -142,7 +142,7 @@ def stored_topics(spark, rows):
     frame = items(spark, rows, hours=-5)
     postings = V.item_postings(frame)
     links = frame.select("doc_id", (F.col("doc_id") * 100).alias("topic_id"))
-    stored = V.stored_centroids(V.centroids(postings, links))
+    stored = V.centroids(postings, links)
     named = V.item_entities(frame).join(links, "doc_id")
     times = named.groupBy("topic_id").agg(F.min("item_at").alias("first_item_at"))
     return stored, TP.topic_entities(named.select("topic_id", "doc_id", "item_at", "entities")), times
@@ -166,7 +166,7 @@ def test_merge_goes_to_the_earliest_and_never_joins_two_stored(spark):
     frequencies = postings.select("term", "df").distinct()
     named = V.item_entities(new).join(links, "doc_id").select("topic_id", "doc_id", "item_at", "entities")
     fresh = TP.topic_nodes(
-        V.stored_centroids(V.centroids(postings, links)), frequencies, TP.topic_entities(named),
+        V.centroids(postings, links), frequencies, TP.topic_entities(named),
         named.groupBy("topic_id").agg(F.min("item_at").alias("first_item_at")),
     ).cache()
     merged = TP.merge_topics(fresh, TP.topic_nodes(stored, frequencies, names, times).cache())
@@ -190,3 +190,12 @@ def test_rerun_gives_the_same_vectors(spark):
     one = sorted(map(str, V.item_postings(frame.repartition(3)).collect()))
     two = sorted(map(str, V.item_postings(frame.repartition(7)).collect()))
     assert one == two
+
+
+def test_terms_and_names_far_into_a_text_count(spark):
+    body = "rec " * 2000 + "dodekaedar je video " + " pa ".join(f"Osoba{chr(97 + i)}" for i in range(22)) + "."
+    frame = items(spark, [(1, "a", "agencija", "Naslov sa dovoljno reči", body, START)])
+    assert "dodekaedar" in {r["term"][:10] for r in V.term_frequencies(frame).collect()}
+    assert len(V.item_entities(frame).first()["entities"]) == 22
+    short = P.VectorParams(body_chars=1500, max_entities=15)
+    assert "dodekaedar" not in {r["term"][:10] for r in V.term_frequencies(frame, short).collect()}
