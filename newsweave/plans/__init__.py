@@ -3,6 +3,7 @@
 from newsweave.plans import (  # noqa: F401
     editorial_plans,
     ingest_plans,
+    source_plans,
     streaming_plans,
     text_plans,
     topic_plans,
