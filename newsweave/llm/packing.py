@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,18 +17,25 @@ from newsweave.llm.common import whole_text
 
 #: Tokens of a window; id that ends a document; tokens of open windows that are held before they are closed.
 WINDOW, END_ID, OPEN_TOKENS = 4096, 2, 1 << 22
-#: Words whose ids a task remembers.
-CACHE_WORDS = 1 << 19
+#: Words in each of the two generations whose ids a worker remembers.
+CACHE_WORDS = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters of lower-cased Latin-1, then ASCII marks.
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
+#: Byte-level vocabularies write bytes that print nothing as the characters from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class WordIds:
     """Token ids of whole texts, worked out once per distinct word.
 
-    For vocabularies that split at white space and drop it, a text's ids are its words' ids
-    in a row, so only words not seen before go to the tokenizer.
+    For vocabularies that lower-case, split at white space and drop it, a text's ids are its
+    words' ids in a row, so only words not seen before go to the tokenizer. Words are kept in
+    two generations: when the young one is full it becomes the old one, and an old word that
+    is met again is young again. At most 2 * CACHE_WORDS words are held.
     """
 
     def __init__(self, path: str):
@@ -34,20 +43,57 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def of(self, text: str) -> np.ndarray:
+        if "<|" not in text and _is_latin(text):  # special tokens know upper case from lower
+            text = text.lower()
         # str.split also cuts at four control characters that aren't white space to the tokenizer.
         words = re.split("[ \t\n\r\x0b\x0c]+", text) if _OTHER_SPACE.search(text) else text.split()
-        known = self.known
-        missing = [w for w in dict.fromkeys(words) if w not in known]
+        missing = set(words).difference(self.young)
         if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words))
-            for word, code in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+            if len(self.young) + len(missing) > CACHE_WORDS:
+                self.old, self.young = self.young, {}
+                missing = set(words)
+            old = self.old
+            self.young.update([(w, old[w]) for w in missing if w in old])
+            self._learn([w for w in missing if w not in old])
+        return np.frombuffer(b"".join(map(self.young.__getitem__, words)), "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        others, tokenize, young = [], self.tokenizer.model.tokenize, self.young
+        for word in words:
+            match = _PLAIN.fullmatch(word)
+            if match is None:
+                others.append(word)
+                continue
+            # Letters, then marks: two pieces to the tokenizer, each of which its model takes as it stands.
+            ids = b""
+            for piece in match.groups():
+                code = young.get(piece) if piece else b""
+                if code is None:
+                    octets = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+                    code = young[piece] = array("I", [t.id for t in tokenize(octets)]).tobytes()
+                ids += code
+            young[word] = ids
+        for word, code in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False)):
+            young[word] = array("I", code.ids).tobytes()
+
+
+def _is_latin(text: str) -> bool:
+    """No character past U+00FF: all letters then have a lower case of one character and no combining marks."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The words a worker process has learnt serve all tasks that it runs."""
+    return WordIds(path)
 
 
 class SumOfSquares:
@@ -153,7 +199,7 @@ def pack(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        ids, end = WordIds(tokenizer_path), np.array([end_id], "<u4")
+        ids, end = word_ids(tokenizer_path), np.array([end_id], "<u4")
         packer = SumOfSquares(TaskContext.get().partitionId() << 40, window, open_tokens)
         for batch in batches:
             rows: list[tuple] = []
