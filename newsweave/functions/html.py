@@ -22,6 +22,7 @@ CONTAINERS = (
     "div.text-content",
     "article .content",
 )
+# --- fixed values: article types and date keys of linked data ---
 ARTICLE_TYPES = "(?i)((News|Blog|Report|Live)?Article|VideoObject)"
 DATE_KEYS = ("datePublished", "dateCreated", "uploadDate", "dateModified")
 _VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""

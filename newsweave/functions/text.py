@@ -229,6 +229,7 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+# --- fixed value: what a shortened message ends with ---
 TRIM_NOTE = "\n\n[…tekst je skraćen za poruku; ceo je u bazi]"
 
 

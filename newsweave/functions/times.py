@@ -49,6 +49,7 @@ def wall_clock_to_utc(
     return let(naive, to_utc)
 
 
+# --- fixed value: how pages print dates ---
 _DATE = r"(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})\.?(?:[\s,]+(\d{1,2}):(\d{2}))?"
 
 

@@ -288,6 +288,7 @@ def article_rows(responses: DataFrame, now: Column) -> DataFrame:
 
 # --- review messages ----------------------------------------------------------------------------------
 
+# --- fixed values: texts of the review messages; those of prompts and repairs stand where they are used ---
 REVIEW_HEAD = "⚠️ <b>Osetljiv članak — čeka odobrenje</b>"
 REVIEW_NOTE = (
     "<i>Dugme će se nakratko vrteti — to je normalno. Odluka se upisuje kad pipeline "

@@ -90,7 +90,7 @@ def test_join_finds_exactly_the_similar_pairs(spark, threshold):
 
 
 # One step; many small steps; salting of every term.
-@pytest.mark.parametrize("meetings, salt", [(S.MEETINGS_PER_STEP, S.MEETINGS_PER_SALT), (150, 2_000_000), (10**9, 3)])
+@pytest.mark.parametrize("meetings, salt", [(None, S.MEETINGS_PER_SALT), (150, 2_000_000), (10**9, 3)])
 def test_grouping_equals_the_sequential_loop(spark, monkeypatch, meetings, salt):
     monkeypatch.setattr(S, "MEETINGS_PER_SALT", salt)
     nodes = nodes_of(corpus(spark, 60, seed=7, copies=25))
@@ -194,8 +194,32 @@ def test_rerun_gives_the_same_vectors(spark):
 
 def test_terms_and_names_far_into_a_text_count(spark):
     body = "rec " * 2000 + "dodekaedar je video " + " pa ".join(f"Osoba{chr(97 + i)}" for i in range(22)) + "."
-    frame = items(spark, [(1, "a", "agencija", "Naslov sa dovoljno reči", body, START)])
+    frame = items(spark, [(1, "a", "agencija", "Naslov sa dovoljno reči", body)])
     assert "dodekaedar" in {r["term"][:10] for r in V.term_frequencies(frame).collect()}
     assert len(V.item_entities(frame).first()["entities"]) == 22
     short = P.VectorParams(body_chars=1500, max_entities=15)
     assert "dodekaedar" not in {r["term"][:10] for r in V.term_frequencies(frame, short).collect()}
+
+
+def test_long_chains_settle_in_a_few_rounds(spark, monkeypatch):
+    import random as r
+
+    rng = r.Random(7)
+    n = 1000
+    edges = {(i, i - 1) for i in range(1, n)}  # a running story
+    edges |= {(i, i - 1) for i in range(2001, 2300)} | {(i, rng.randrange(2000, i)) for i in rng.sample(range(2010, 2300), 40)}
+    nodes = [*range(n), *range(2000, 2300)]
+    earlier = {}
+    for a, b in edges:
+        earlier.setdefault(a, []).append(b)
+    leads = {}
+    for i in sorted(nodes):
+        leads[i] = not any(leads[b] for b in earlier.get(i, []))
+    calls = []
+    plain = S._chain_leaders
+    monkeypatch.setattr(S, "_chain_leaders", lambda *a: calls.append(1) or plain(*a))
+    found = S.first_independent(
+        spark.createDataFrame(sorted(edges), "l_id BIGINT, r_id BIGINT"), spark.createDataFrame([(i,) for i in nodes], "id BIGINT")
+    )
+    assert sorted(r["id"] for r in found.collect()) == [i for i in sorted(nodes) if leads[i]]
+    assert len(calls) < 20
