@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsweave.llm import (
+    checks,
     exact_dedup,
     line_dedup,
     mixing,
@@ -48,7 +49,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-@query("op2_line_dedup")
+@query("op2_line_dedup", checks.LINES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.line_dedup(docs, min_docs=10))
@@ -89,19 +90,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", checks.PASSAGES)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op9_exact_dedup")
+@query("op9_exact_dedup", checks.COPIES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", checks.QUALITY)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rated.select(
