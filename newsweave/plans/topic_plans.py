@@ -346,6 +346,85 @@ WHERE text_sim >= 0.15 AND floor((text_sim * 0.8 + entity_sim * 0.2) * 1000000 +
 """
 
 
+# --- one run of the job: the unlinked items of the last four days, the covered topics in play, and what comes of them ---
+RUN_FROM = V.NOW - 4 * V.DAY
+V.VIEWS["v_run"] = f"""
+SELECT doc_id FROM v_items WHERE fetched_s >= {RUN_FROM} AND fetched_s <= {V.NOW} AND length(title) >= 20 AND NOT {MULTI_SQL}
+  AND doc_id NOT IN (SELECT doc_id FROM v_links WHERE added_s < {RUN_FROM})
+"""
+V.VIEWS["v_pool_links"] = f"""
+SELECT l.* FROM v_links l JOIN v_topics t USING (topic_id) WHERE t.status = 'covered' AND t.last_s >= {RUN_FROM} AND l.added_s < {RUN_FROM}
+"""
+V.VIEWS["v_pool_mean"] = V.VIEWS["v_mean"].replace("v_links", "v_pool_links")
+V.VIEWS["v_pool_unit"] = V.VIEWS["v_topic_unit"].replace("v_known_mean", "v_pool_mean")
+V.VIEWS["v_pool_names"] = (
+    "SELECT topic_id, list_distinct(list(lower(entity))) AS names FROM v_top_entities JOIN v_pool_links USING (doc_id) GROUP BY 1"
+)
+V.VIEWS["v_pool_start"] = (
+    "SELECT topic_id, min(item_s) AS start_s FROM v_timed JOIN v_pool_links USING (doc_id) GROUP BY 1"
+)
+
+
+def _run_pairs(unit: str, key: str, other: str, other_key: str, names: str, other_names: str, least: float, cut: float) -> str:
+    return f"""SELECT a, b, text_sim, floor((text_sim * 0.8 + entity_sim * 0.2) * 1000000 + 0.5) / 1000000 AS similarity FROM (
+      SELECT d.a, d.b, floor(dot / 1e10 + 0.5) / 1e6 AS text_sim, {_overlap('na.names', 'nb.names')} AS entity_sim
+      FROM (SELECT x.{key} AS a, y.{other_key} AS b, CAST(sum(x.w * y.w) AS BIGINT) AS dot FROM {unit} x JOIN {other} y USING (term) GROUP BY 1, 2) d
+      LEFT JOIN {names} na ON na.{key} = d.a LEFT JOIN {other_names} nb ON nb.{other_key} = d.b)
+    WHERE text_sim >= {cut} AND similarity >= {least}"""
+
+
+@plan(
+    "cluster_run",
+    f"""WITH RECURSIVE fr AS MATERIALIZED (SELECT doc_id, item_s FROM v_run JOIN v_timed USING (doc_id)),
+    fu AS MATERIALIZED (SELECT u.* FROM v_unit u JOIN fr USING (doc_id)),
+    ps AS MATERIALIZED ({_run_pairs("fu", "doc_id", "v_pool_unit", "topic_id", "v_names", "v_pool_names", 0.38, 0.19)}),
+    pn AS MATERIALIZED (SELECT p.*, x.item_s AS a_s, y.item_s AS b_s FROM ({_run_pairs("fu", "doc_id", "fu", "doc_id", "v_names", "v_names", 0.38, 0.19)}) p
+      JOIN fr x ON x.doc_id = p.a JOIN fr y ON y.doc_id = p.b WHERE (y.item_s, p.b) < (x.item_s, p.a)),
+    nb AS MATERIALIZED (SELECT a, list(b) AS earlier, row_number() OVER (ORDER BY any_value(a_s), a) AS k
+      FROM pn WHERE a NOT IN (SELECT a FROM ps) GROUP BY a),
+    step(k, followers) AS (
+      SELECT CAST(0 AS BIGINT), coalesce((SELECT list(DISTINCT a) FROM ps), CAST([] AS BIGINT[]))
+      UNION ALL
+      SELECT nb.k, CASE WHEN len(list_filter(nb.earlier, lambda e: NOT list_contains(step.followers, e))) > 0
+        THEN list_append(step.followers, nb.a) ELSE step.followers END FROM step JOIN nb ON nb.k = step.k + 1),
+    f AS MATERIALIZED (SELECT unnest(followers) AS doc_id FROM (SELECT followers FROM step ORDER BY k DESC LIMIT 1)),
+    op AS (SELECT a, b, similarity, false AS is_new, start_s AS b_s FROM ps JOIN v_pool_start ON topic_id = b
+      UNION ALL SELECT a, b, similarity, true, b_s FROM pn WHERE a IN (SELECT doc_id FROM f) AND b NOT IN (SELECT doc_id FROM f)),
+    g AS MATERIALIZED (SELECT a AS doc_id, b AS topic_id, similarity, is_new FROM op
+        QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, is_new, b_s, b) = 1
+      UNION ALL SELECT doc_id, doc_id, 1.0, true FROM fr WHERE doc_id NOT IN (SELECT doc_id FROM f)),
+    nl AS MATERIALIZED (SELECT topic_id, doc_id, item_s FROM g JOIN fr USING (doc_id) WHERE is_new),
+    nm AS MATERIALIZED (SELECT topic_id, term, CAST(floor(sum(w) / any_value(size) + 0.5) AS BIGINT) AS raw FROM v_unit JOIN nl USING (doc_id)
+      JOIN (SELECT topic_id, count(*) AS size FROM nl GROUP BY 1) USING (topic_id) GROUP BY 1, 2 HAVING raw > 0),
+    nu AS MATERIALIZED (SELECT topic_id, term, CAST(floor(raw * 100000000 / sqrt(ss) + 0.5) AS BIGINT) AS w
+      FROM nm JOIN (SELECT topic_id, CAST(sum(raw * raw) AS BIGINT) AS ss FROM nm GROUP BY 1) USING (topic_id)),
+    nn AS MATERIALIZED (SELECT topic_id, list_distinct(list(lower(entity))) AS names FROM v_top_entities JOIN nl USING (doc_id) GROUP BY 1),
+    ns AS MATERIALIZED (SELECT topic_id, min(item_s) AS start_s FROM nl GROUP BY 1),
+    ms AS MATERIALIZED ({_run_pairs("nu", "topic_id", "v_pool_unit", "topic_id", "nn", "v_pool_names", 0.3, 0.15)}),
+    mn AS MATERIALIZED (SELECT p.*, x.start_s AS a_s, y.start_s AS b_s FROM ({_run_pairs("nu", "topic_id", "nu", "topic_id", "nn", "nn", 0.3, 0.15)}) p
+      JOIN ns x ON x.topic_id = p.a JOIN ns y ON y.topic_id = p.b WHERE (y.start_s, p.b) < (x.start_s, p.a)),
+    mb AS MATERIALIZED (SELECT a, list(b) AS earlier, row_number() OVER (ORDER BY any_value(a_s), a) AS k
+      FROM mn WHERE a NOT IN (SELECT a FROM ms) GROUP BY a),
+    merge(k, gone) AS (
+      SELECT CAST(0 AS BIGINT), coalesce((SELECT list(DISTINCT a) FROM ms), CAST([] AS BIGINT[]))
+      UNION ALL
+      SELECT mb.k, CASE WHEN len(list_filter(mb.earlier, lambda e: NOT list_contains(merge.gone, e))) > 0
+        THEN list_append(merge.gone, mb.a) ELSE merge.gone END FROM merge JOIN mb ON mb.k = merge.k + 1),
+    mf AS MATERIALIZED (SELECT unnest(gone) AS topic_id FROM (SELECT gone FROM merge ORDER BY k DESC LIMIT 1)),
+    mo AS (SELECT a, b, start_s AS b_s, 0 AS fresh FROM ms JOIN v_pool_start ON topic_id = b
+      UNION ALL SELECT a, b, b_s, 1 FROM mn WHERE a IN (SELECT topic_id FROM mf) AND b NOT IN (SELECT topic_id FROM mf)),
+    mt AS (SELECT a, b FROM mo QUALIFY row_number() OVER (PARTITION BY a ORDER BY fresh, b_s, b) = 1)
+    SELECT g.doc_id, coalesce(mt.b, g.topic_id) AS topic_id, g.similarity, g.is_new FROM g LEFT JOIN mt ON mt.a = g.topic_id AND g.is_new""",
+)
+def cluster_run(c):
+    """The job over the last four days, whose items have no link yet, against topics that have an article."""
+    window = P.TopicParams(window_hours=4 * 24)
+    links = c.links.filter(F.col("added_at") < F.timestamp_seconds(F.lit(RUN_FROM)))
+    topics = c.topics.filter("status = 'covered'").select("topic_id", "status", "last_item_at")
+    items = c.timed.select("doc_id", "title", "content", "item_at", "fetched_at")
+    return TP.cluster_run(items, links, topics, c.now, window)
+
+
 V.VIEWS["v_stored_pairs"] = _topic_pairs("topic", "")
 V.VIEWS["v_fresh_pairs"] = _topic_pairs("fresh", "AND (b_s, b) < (a_s, a)")
 
