@@ -35,6 +35,25 @@ def stream_dedup(c):
     return sink.read().drop("batch")
 
 
+@plan(
+    "stream_item_dedup",
+    # The rows one after the other, each against what went in before it.
+    """WITH RECURSIVE n AS (SELECT doc_id, url_hash, concat(source_id, '/', content_hash) AS content, row_number() OVER (ORDER BY doc_id) AS step FROM v_hashed),
+    walk(step, urls, contents, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false
+      UNION ALL SELECT step, CASE WHEN ok THEN list_append(urls, url_hash) ELSE urls END, CASE WHEN ok THEN list_append(contents, content) ELSE contents END, ok
+      FROM (SELECT n.*, w.urls, w.contents, NOT list_contains(w.urls, n.url_hash) AND NOT list_contains(w.contents, n.content) AS ok
+        FROM walk w JOIN n ON n.step = w.step + 1))
+    SELECT doc_id FROM n JOIN walk USING (step) WHERE kept""",
+)
+def stream_item_dedup(c):
+    s = Streams(c)
+    schema = "doc_id BIGINT, url_hash STRING, source_id STRING, content_hash STRING"
+    sink = BatchTable(c.spark, schema, name="items")
+    items = ingest_plans.hashed(s).select("doc_id", "url_hash", "source_id", "content_hash")
+    run_to_end(J.append_items(items, sink), c.spark)
+    return sink.read().select("doc_id")
+
+
 @plan(
     "stream_late_data",
     f"""SELECT doc_id, source_id, item_s FROM v_timed WHERE fetched_s >= {V.NOW - 36 * 3600} AND fetched_s <= {V.NOW}""",
@@ -105,7 +124,7 @@ def stream_reviews(c):
 @plan(
     "stream_results",
     """SELECT q.conv_id, q.turn, length(q.text) AS n_asked, length(a.text) AS n_answered FROM conversations q
-    JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
+    LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
 )
 def stream_results(c):
     s = Streams(c)
@@ -127,9 +146,13 @@ def stream_results(c):
     )
     matched = J.match_responses(asked, answered).select("conv_id", "turn", "n_asked", "n_answered")
     run_to_end(matched.writeStream.foreachBatch(sink.write), c.spark)
-    # Requests whose answer never came carry nulls; whether their time is over
-    # depends on how far the log reaches, so only answered ones are reported.
-    return sink.read().drop("batch").filter("n_answered IS NOT NULL")
+    # Requests whose time is over come out of the stream with nulls; the last ones are still
+    # open when the log ends. Both are unanswered.
+    answers = sink.read().filter("n_answered IS NOT NULL").select("conv_id", "turn", "n_answered")
+    requests = c.table("conversations").filter("role = 'user'").select(
+        "conv_id", "turn", F.length("text").cast("bigint").alias("n_asked")
+    )
+    return requests.join(answers, ["conv_id", "turn"], "left")
 
 
 @plan("stream_topics")

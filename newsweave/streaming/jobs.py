@@ -34,6 +34,18 @@ def deduplicate(stream: DataFrame, keys: list[str], sink: BatchTable) -> DataStr
     return fresh.writeStream.foreachBatch(append)
 
 
+def append_items(stream: DataFrame, sink: BatchTable) -> DataStreamWriter:
+    """Append items(doc_id, url_hash, source_id, content_hash) under both unique keys of the item table.
+
+    What clashes with an earlier batch or with an item that goes in before it is skipped.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        sink.write(I.insert_ignore(batch, sink.read(batch_id).drop("batch")), batch_id)
+
+    return stream.writeStream.foreachBatch(append)
+
+
 def valid_recent_items(stream: DataFrame, now: Column, hours: int) -> DataFrame:
     """Items of the clustering window with a usable time; a missing or future one is replaced."""
     valid = T.reject_future(F.col("published_at"), now)

@@ -19,7 +19,7 @@ class BatchTable:
         self.spark = spark
         self.schema = schema
         self.path = path or work_path(spark, name)
-        # The first folder is empty and gives the table its schema.
+        # The first folder is empty and gives the table its schema; a table that is there already goes on.
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/batch=-1")
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
@@ -49,9 +49,12 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, **options) ->
     return spark.readStream.schema(schema).options(**options).parquet(f"{folder}/{name}.parque[t]")
 
 
-def run_to_end(writer: DataStreamWriter, spark: SparkSession) -> None:
+def run_to_end(writer: DataStreamWriter, spark: SparkSession, checkpoint: str | None = None) -> None:
     """Process everything that is there now, then stop.
 
+    ``checkpoint`` is the folder that remembers what was read and the state; a later call with the
+    same folder and tables goes on from there. Without one nothing is remembered.
+
     A stream fixes the number of its state partitions when it first starts, and
     adaptive execution cannot merge them later, so they follow the cores at hand.
     """
@@ -60,7 +63,7 @@ def run_to_end(writer: DataStreamWriter, spark: SparkSession) -> None:
     spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
     try:
         query = (
-            writer.option("checkpointLocation", work_path(spark, "offsets"))
+            writer.option("checkpointLocation", checkpoint or work_path(spark, "offsets"))
             .trigger(availableNow=True)
             .start()
         )

@@ -109,3 +109,28 @@ def test_topics_over_batches(spark, tmp_path):
     assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
     # The item that came twice is linked once.
     assert tables.links.read().count() == 5
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, corpus, tmp_path):
+    schema = "source_id BIGINT, failures BIGINT, last_failure_at TIMESTAMP, disabled_until TIMESTAMP"
+    source, table, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
+    early = corpus.attempts.filter("ts < TIMESTAMP '2024-01-15'")
+    run_to_end(J.track_breaker(in_files(early, source, 2, "ts"), BatchTable(spark, schema, table)), spark, checkpoint)
+    batches = BatchTable(spark, schema, table).read().select("batch").distinct().count()
+    late = corpus.attempts.filter("ts >= TIMESTAMP '2024-01-15'").orderBy("ts").collect()
+    spark.createDataFrame(late, corpus.attempts.schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(corpus.attempts.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    sink = BatchTable(spark, schema, table)
+    run_to_end(J.track_breaker(stream, sink), spark, checkpoint)
+    assert sink.read().select("batch").distinct().count() == batches + 1  # the old files are not read again
+    columns = ("source_id", "failures", "disabled_until")
+    assert as_set(sink.latest(["source_id"]).select(*columns)) == as_set(I.breaker_state(corpus.attempts).select(*columns))
+
+
+def test_items_are_appended_under_both_keys_over_batches(spark, tmp_path):
+    schema = "doc_id BIGINT, url_hash STRING, source_id STRING, content_hash STRING"
+    rows = [(1, "u1", "s", "c1"), (2, "u2", "s", "c1"), (3, "u2", "s", "c3"), (4, "u4", "t", "c1"), (5, "u1", "t", "c5"), (6, "u6", "s", "c3")]
+    frame = spark.createDataFrame(rows, schema)
+    sink = BatchTable(spark, schema)
+    run_to_end(J.append_items(in_files(frame, tmp_path / "in", 3, "doc_id"), sink), spark)
+    assert sorted(r["doc_id"] for r in sink.read().collect()) == [1, 3, 4]
