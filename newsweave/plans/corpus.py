@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsweave.functions import times as T, urls as U
 from newsweave.operators import scoring
+from newsweave.sinks import materialize
 from newsweave.plans import views as V
 
 
@@ -122,7 +123,8 @@ class Corpus:
         rolled = scoring.topic_rollup(
             self.members.select("topic_id", "source_id", "angle", "item_at"), self.now
         )
-        return rolled.join(extra, "topic_id")
+        # Read by topics, articles and reports of one query: worked out once.
+        return materialize(rolled.join(extra, "topic_id"), "rollup")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -148,7 +150,7 @@ class Corpus:
         t = F.col("topic_id")
         toxic = F.coalesce(F.col("toxic"), F.lit(0)) == 1
         hours = lambda h: F.col("first_added_at") + F.make_interval(hours=h)
-        return passing.join(material, "topic_id").select(
+        articles = passing.join(material, "topic_id").select(
             t.alias("article_id"),
             "topic_id",
             hours(F.lit(1)).alias("created_at"),
@@ -175,6 +177,7 @@ class Corpus:
                 F.array(*[F.lit(c) for c in scoring.P.CATEGORIES]), (t % 6 + 1).cast("int")
             ).alias("category"),
         )
+        return materialize(articles, "articles")
 
     @cached_property
     def costed(self) -> DataFrame:

@@ -13,6 +13,7 @@ from newsweave.plans import views as V
 from newsweave.plans.ingest_plans import hashed
 from newsweave.plans.registry import plan
 from newsweave.plans.topic_plans import Vectors
+from newsweave.sinks import materialize
 
 HOUR = 3600
 seconds = F.unix_timestamp
@@ -352,15 +353,22 @@ SELECT topic_id, string_agg(entity, ', ' ORDER BY rank) AS line FROM (
 )
 def prompt_material(c):
     v = Vectors(c)
-    members = c.members.withColumn("word_count", X.count_words(F.col("content")))
+    # Only topics that pass are written: everything below is worked out for their members alone.
+    passing = materialize(SC.with_gates(c.rollup).filter("passes").select("topic_id", "title_sample"), "passing")
+    members = c.members.join(passing.select("topic_id"), "topic_id", "left_semi").withColumn(
+        "word_count", X.count_words(F.col("content"))
+    )
+    own = members.select("doc_id")
+    links = c.links.join(passing.select("topic_id"), "topic_id", "left_semi")
     ranked = TP.topic_keywords(
-        members, VC.centroids(v.postings, c.links), VC.surface_forms(c.items)
+        members,
+        VC.centroids(v.postings.join(own, "doc_id", "left_semi"), links),
+        VC.surface_forms(c.items.join(own, "doc_id", "left_semi")),
     )
     keywords = ranked.groupBy("topic_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k")
     ).select("topic_id", F.transform("k", lambda s: s["keyword"]).alias("keywords"))
-    names = TP.topic_entities(VC.item_entities(c.members), 10)
-    passing = SC.with_gates(c.rollup).filter("passes").select("topic_id", "title_sample")
+    names = TP.topic_entities(VC.item_entities(members), 10)
     topics = passing.join(keywords, "topic_id", "left").join(names, "topic_id", "left")
     messages = M.prompt_messages(topics, members)
     return messages.select("topic_id", "n_reports", F.md5("message").alias("message_md5"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsweave.plans import views as V
 from newsweave.plans.corpus import Corpus
 from newsweave.plans.registry import CHECKS, plan
-from newsweave.plans import editorial_plans, ingest_plans, topic_plans  # noqa: F401
+from newsweave.plans import editorial_plans, ingest_plans, topic_plans  # noqa: F401  (their checks are reused below)
 from newsweave.sinks import ensure_checkpoint_dir
 from newsweave.streaming import jobs as J
 from newsweave.streaming.tables import BatchTable, read_table_stream, run_to_end
