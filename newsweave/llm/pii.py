@@ -27,7 +27,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What else may be personal data: words around an at sign, spelled out or not, and numbers of seven digits and more.
-_AT = re.compile(r"(?<![^\s@<>\"'(),;:\[\]])[^\s@<>\"'(),;:\[\]]++(?:\x20?(?:\[at\]|\(at\))\x20?|@)[^\s@<>\"'(),;:\[\]]+(?:\x20?(?:\[dot\]|\(dot\))\x20?[^\s@<>\"'(),;:\[\]]+)*")
+_PART = r"[^\s@<>\"'(),;:\[\]]"
+_AT = re.compile(
+    rf"(?<!{_PART}){_PART}++(?:\x20?(?:\[at\]|\(at\))\x20?|@){_PART}+(?:\x20?(?:\[dot\]|\(dot\))\x20?{_PART}+)*"
+)
 _NUMBER = re.compile(r"\+?\(?[0-9](?:[\x20().-]{0,2}[0-9])+")
 _NOT_DIGIT = re.compile("[^0-9]")
 
@@ -224,9 +227,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_mentions: int
     Only feature rows come to the driver, at most ``sample_mentions``. Without any, no field.
     """
     text = whole_text()
-    fitting = docs.filter(text.rlike(r"@|[0-9][0-9 ().-]{5,}[0-9]") & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"))
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    fitting = docs.filter(text.rlike(r"@|[0-9][0-9 ().-]{5,}[0-9]") & doc_id.isNotNull()).select(doc_id)
     chosen = fitting.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
+    sample = docs.select(doc_id, text.alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

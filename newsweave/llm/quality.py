@@ -120,8 +120,14 @@ def choose_thresholds(
     """
     marks = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality IS NOT NULL AND doc_id IS NOT NULL")
     held = stats.filter("NOT base_failed").join(marks, "doc_id").withColumn("good", F.col("quality") == 1)
-    measures = F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(f"CAST({e} AS DOUBLE)").alias("value"), F.array(*map(F.lit, cuts)).alias("cuts")) for r, e, cuts in rules])
-    tested = held.select("stratum", "good", F.explode(measures).alias("m")).select("stratum", "good", "m.rule", "m.value", F.posexplode("m.cuts").alias("step", "cutoff"))
+    measures = F.array(
+        *[
+            F.struct(F.lit(r).alias("rule"), F.expr(f"CAST({e} AS DOUBLE)").alias("value"), F.array(*map(F.lit, cuts)).alias("cuts"))
+            for r, e, cuts in rules
+        ]
+    )
+    measured = held.select("stratum", "good", F.explode(measures).alias("m"))
+    tested = measured.select("stratum", "good", "m.rule", "m.value", F.posexplode("m.cuts").alias("step", "cutoff"))
     hit = F.col("value") > F.col("cutoff")
     counts = tested.groupBy("stratum", "rule", "step", "cutoff").agg(
         F.count_if("good").alias("n"),

@@ -21,8 +21,7 @@ def words(text):
 
 def op2(rows, min_docs=10):
     def key(line):
-        line = re.sub(f"^{WS}+|{WS}+$", "", line) if False else line.strip(" \t\n\x0b\f\r")
-        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\f\r"))
 
     split = [(d, (t or "").split("\n")) for d, t in rows]
     found = Counter(k for _, lines in split for k in {key(x) for x in lines})
