@@ -22,7 +22,9 @@ _PLACE = np.uint64((1 << 24) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: Grams with more than this share of all rows are surely found as heavy, at most 1 / SUPPORT of them.
-SUPPORT = 1e-4
+SUPPORT = 1e-3
+#: Rows of one hash that a task compares; larger groups are compared by digests of their windows.
+MAX_GROUP = 20_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -81,29 +83,23 @@ def gram_rows(docs: DataFrame, grams: Callable[[], Callable[[str], Iterator[tupl
     return keyed(docs).mapInPandas(run, GRAMS)
 
 
-def repeated(grams: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """Grams whose hash occurs again, each with ``heavy``.
+def repeated(grams: DataFrame, support: float = SUPPORT, most: int = MAX_GROUP) -> tuple[DataFrame, DataFrame]:
+    """Grams whose hash occurs again, apart: those of groups one task can compare, and those of larger ones.
 
-    Frequent hashes are found by a Misra-Gries summary, counted exactly and broadcast (at most
-    1 / support of them), so their rows are never brought together. The other hashes are
-    shuffled once; a row stays if its neighbour in order has the same hash.
+    The most frequent hashes are found by a Misra-Gries summary, counted exactly and broadcast
+    (at most 1 / support of them), so their rows are never brought together. The other hashes
+    are shuffled once and counted.
     """
     grams = materialize(grams, "grams")
     spotted = grams.freqItems(["h"], support).select(F.explode("h_freqItems").alias("h"))
     counts = grams.join(F.broadcast(spotted), "h", "left_semi").groupBy("h").count()
-    total = grams.count()
-    least = max(int(total * support), 1000)
-    heavy = materialize(counts.filter(F.col("count") >= least).select("h"), "heavy")
-    hot = grams.join(F.broadcast(heavy), "h", "left_semi").withColumn("heavy", F.lit(True))
-    order = Window.partitionBy("h").orderBy("id_key", "version", "place")
-    cold = (
-        grams.join(F.broadcast(heavy), "h", "left_anti")
-        .withColumn("twin", F.lag("h").over(order).isNotNull() | F.lead("h").over(order).isNotNull())
-        .filter("twin")
-        .drop("twin")
-        .withColumn("heavy", F.lit(False))
+    heavy = materialize(counts.filter(F.col("count") > most).select("h"), "heavy")
+    hot = grams.join(F.broadcast(heavy), "h", "left_semi")
+    counted = grams.join(F.broadcast(heavy), "h", "left_anti").withColumn(
+        "n", F.count(F.lit(1)).over(Window.partitionBy("h"))
     )
-    return hot.unionByName(cold)
+    comparable = counted.filter((F.col("n") > 1) & (F.col("n") <= most)).drop("n")
+    return comparable, hot.unionByName(counted.filter(F.col("n") > most).drop("n"))
 
 
 def with_texts(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
@@ -115,8 +111,19 @@ def with_texts(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFram
 
 
 def per_document(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per document with its rows as an array; as long as the text at most."""
-    return rows.groupBy("id_key", "version").agg(F.collect_set(F.struct(*columns)).alias("rows"))
+    """One row per document with its distinct rows as parallel arrays; as long as the text at most."""
+    sets = rows.groupBy("id_key", "version").agg(F.collect_set(F.struct(*columns)).alias("rows"))
+    return sets.select("id_key", "version", *[F.col(f"rows.{c}").alias(c) for c in columns])
+
+
+def spread_join(rows: DataFrame, verdicts: DataFrame, key: str, how: str, lanes: int = 16) -> DataFrame:
+    """Join on a key of which one value may hold very many rows; ``verdicts`` has one row per key.
+
+    Rows are dealt over lanes by their document, verdicts are repeated for each lane.
+    """
+    dealt = rows.withColumn("lane", F.pmod(F.xxhash64("id_key", "version"), F.lit(lanes)))
+    copies = verdicts.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)).cast("array<bigint>")))
+    return dealt.join(copies, [key, "lane"], how).drop("lane")
 
 
 def spans_of(starts: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
@@ -127,10 +134,10 @@ def spans_of(starts: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
             yield int(run[0]), int(run[-1]) + length
 
 
-def covered(n: int, spans) -> np.ndarray:
-    """A mask of the places inside spans."""
+def covered(n: int, lo, hi) -> np.ndarray:
+    """A mask of the places inside spans, given as arrays of their ends or as None."""
     steps = np.zeros(n + 1, np.int32)
-    for span in spans:
-        steps[span["lo"]] += 1
-        steps[span["hi"]] -= 1
+    if lo is not None:
+        np.add.at(steps, lo, 1)
+        np.add.at(steps, hi, -1)
     return np.cumsum(steps[:n]) > 0

@@ -102,7 +102,7 @@ def _finder(length: int, gram: int):
     return make
 
 
-PASSAGES = "h long, id_key long, version long, lo int, passage binary, heavy boolean"
+PASSAGES = "h long, id_key long, version long, lo int, passage binary"
 SPANS = "id_key long, version long, lo int, hi int"
 
 
@@ -112,11 +112,10 @@ def _passages(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, version, text, rows in zip(batch["id_key"], batch["version"], batch["text"], batch["rows"]):
+            for key, version, text, *arrays in zip(*[batch[c] for c in ("id_key", "version", "text", "h", "lo", "hi")]):
                 words = text.encode().split()
-                for row in rows:
-                    passage = b" ".join(words[row["lo"] : row["hi"] + length])
-                    out.append((row["h"], key, version, row["lo"], passage, row["heavy"]))
+                for h, lo, hi in zip(*[a.tolist() for a in arrays]):
+                    out.append((h, key, version, lo, b" ".join(words[lo : hi + length])))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PASSAGES.split(", ")])
 
     return run
@@ -169,7 +168,7 @@ def _window_digests(length: int):
                 words = bytes(passage).split(b" ")
                 for i in range(len(words) - length + 1):
                     out.append((xxh3_128_digest(b" ".join(words[i : i + length])), key, version, lo + i))
-            yield pd.DataFrame(out, columns=["digest", "id_key", "version", "start"])
+            yield pd.DataFrame(out, columns=["digest", "id_key", "version", "lo"])
 
     return run
 
@@ -177,9 +176,9 @@ def _window_digests(length: int):
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for key, text, rows in zip(batch["id_key"], batch["text"], batch["rows"]):
+        for key, text, lo, hi in zip(*[batch[c] for c in ("id_key", "text", "lo", "hi")]):
             words = text.encode().split()
-            gone = A.covered(len(words), rows if rows is not None else ())
+            gone = A.covered(len(words), lo, hi)
             kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
             out.append((key, len(words), int(gone.sum()), b" ".join(kept).decode()))
         yield pd.DataFrame(out, columns=["id_key", "n_words", "n_removed", "kept"])
@@ -190,29 +189,46 @@ def _in_order(key: str = "id_key"):
     return F.col(key) == F.lit(-(1 << 63)), F.col(key), F.col("version")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, support: float = A.SUPPORT) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, support: float = A.SUPPORT, most: int = A.MAX_GROUP
+) -> DataFrame:
     """Stretches (id_key, version, lo, hi) of words covered by windows that start earlier too.
 
     The reference of a document is all documents before it, which has no size bound, so its
     automata are not broadcast: they are shards by anchor, and every stretch of a document is
-    sent to the one shard that can hold its windows. Passages of anchors too frequent for one
-    shard are compared by digests of their windows; their first places are found by an
-    aggregate that sums up in the tasks first.
+    sent to the one shard that can hold its windows. Passages of anchors with more than ``most``
+    rows are compared across all tasks by digests.
     """
-    found = A.per_document(A.repeated(A.gram_rows(docs, _finder(length, gram)), support), "h", "lo", "hi", "heavy")
-    passages = A.with_texts(docs, found).mapInPandas(_passages(length), PASSAGES)
+    rows, heavy = A.repeated(A.gram_rows(docs, _finder(length, gram)), support, most)
+
+    def passages(of: DataFrame) -> DataFrame:
+        return A.with_texts(docs, A.per_document(of, "h", "lo", "hi")).mapInPandas(_passages(length), PASSAGES)
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = passages.filter("NOT heavy").drop("heavy").repartition(parts, "h").sortWithinPartitions("h", *_in_order(), "lo")
-    cold = shards.mapInPandas(_matched(length), SPANS)
-    windows = passages.filter("heavy").mapInPandas(
-        _window_digests(length), "digest binary, id_key long, version long, start int"
-    )
-    place = F.struct(_in_order()[0].alias("late"), "id_key", "version", "start")
-    first = windows.groupBy("digest").agg(F.min(place).alias("first"))
-    hot = windows.withColumn("place", place).join(first, "digest").filter("place > first").select(
-        "id_key", "version", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")
+    shards = passages(rows).repartition(parts, "h").sortWithinPartitions("h", *_in_order(), "lo")
+    return shards.mapInPandas(_matched(length), SPANS).unionByName(_heavy_spans(passages(heavy), length))
+
+
+def _heavy_spans(passages: DataFrame, length: int) -> DataFrame:
+    """Repeated stretches around anchors too frequent for one shard.
+
+    Equal passages are one class, whose first row may stay; the windows of all others repeat
+    it. Windows of different classes are compared by digests; all firsts are found by
+    aggregates that combine in the tasks.
+    """
+    place = F.struct(_in_order()[0].alias("late"), "id_key", "version", "lo")
+    placed = passages.withColumn("digest", F.unhex(F.md5("passage"))).withColumn("place", place)
+    classes = placed.groupBy("digest").agg(F.min("place").alias("first"), F.first("passage").alias("passage"))
+    others = A.spread_join(placed, classes.select("digest", "first"), "digest", "inner").filter("place > first")
+    windows = classes.select("first.id_key", "first.version", "first.lo", "passage").mapInPandas(
+        _window_digests(length), "digest binary, id_key long, version long, lo int"
+    ).withColumn("place", place)
+    earliest = windows.groupBy("digest").agg(F.min("place").alias("first"))
+    later = A.spread_join(windows, earliest, "digest", "inner").filter("place > first")
+    words = F.length("passage") - F.length(F.translate(F.col("passage").cast("string"), " ", "")) + 1
+    return others.select("id_key", "version", "lo", (F.col("lo") + words).cast("int").alias("hi")).unionByName(
+        later.select("id_key", "version", "lo", (F.col("lo") + length).alias("hi"))
     )
-    return cold.unionByName(hot)
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
@@ -252,13 +268,14 @@ def remove_reference(docs: DataFrame, reference: DataFrame, length: int = LENGTH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            lo, hi = [], []
             for text in batch["text"]:
                 words = text.encode().split()
                 ends = {i for a in shared.value for i, size in enumerate(a.statistics(words)) if size >= length}
-                starts = np.array(sorted(ends), np.int64) - length + 1
-                found.append([{"lo": a, "hi": b} for a, b in A.spans_of(starts, length)])
-            yield from _kept(iter([batch.assign(rows=found)]))
+                spans = list(A.spans_of(np.array(sorted(ends), np.int64) - length + 1, length))
+                lo.append(np.array([a for a, _ in spans], np.int64))
+                hi.append(np.array([b for _, b in spans], np.int64))
+            yield from _kept(iter([batch.assign(lo=lo, hi=hi)]))
 
     return A.keyed(docs).mapInPandas(run, "id_key long, n_words long, n_removed long, kept string").select(
         A.doc_id(), "n_words", "n_removed", "kept"

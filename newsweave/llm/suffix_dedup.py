@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from newsweave.llm import anchors as A
 #: Length of a repeated string, length of the gram that chooses suffixes.
 LENGTH, GRAM = 400, 128
 #: Suffixes sorted at once; groups of one leading gram stay together.
-BUCKET = 40_000
+BUCKET = 20_000
 #: Leading bytes by which suffixes are dealt to ranges.
 LEAD = 32
 
@@ -109,7 +108,8 @@ def repeated_windows(left: list[bytes], right: list[bytes], length: int = LENGTH
     return marks
 
 
-CONTEXTS = "lead binary, id_key long, version long, place int, lo int, hi int, before binary, after binary, heavy boolean"
+CONTEXTS = "lead binary, id_key long, version long, place int, before binary, after binary"
+PASSAGES = "digest binary, id_key long, version long, lo int, passage binary"
 SPANS = "id_key long, version long, lo int, hi int"
 
 
@@ -117,13 +117,12 @@ def _contexts(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, version, text, rows in zip(batch["id_key"], batch["version"], batch["text"], batch["rows"]):
+            for key, version, text, places in zip(*[batch[c] for c in ("id_key", "version", "text", "place")]):
                 data = text.encode()
-                for row in rows:
-                    at = row["place"]
+                for at in places.tolist():
                     after = data[at : at + length]
                     before = data[max(0, at - length + gram) : at][::-1]
-                    out.append((after[:LEAD], key, version, at, row["lo"], row["hi"], before, after, row["heavy"]))
+                    out.append((after[:LEAD], key, version, at, before, after))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXTS.split(", ")])
 
     return run
@@ -162,56 +161,86 @@ def _sorted_buckets(length: int, gram: int, bucket: int):
     return run
 
 
-def _window_digests(length: int, gram: int):
-    """Every window that an anchor was chosen for as a 128-bit digest; for anchors too frequent to be sorted in one place."""
+def _passages(length: int):
+    """The bytes of all windows that an anchor was chosen for, and their 128-bit digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             out = []
-            for key, version, at, lo, hi, before, after in zip(*[batch[c] for c in ("id_key", "version", "place", "lo", "hi", "before", "after")]):
-                data, first = bytes(before)[::-1] + bytes(after), at - len(before)
-                for start in range(lo, hi + 1):
-                    out.append((xxh3_128_digest(data[start - first : start - first + length]), key, version, start))
-            yield pd.DataFrame(out, columns=["digest", "id_key", "version", "start"])
+            for key, version, text, *arrays in zip(*[batch[c] for c in ("id_key", "version", "text", "lo", "hi")]):
+                data = text.encode()
+                for lo, hi in zip(*[a.tolist() for a in arrays]):
+                    passage = data[lo : hi + length]
+                    out.append((xxh3_128_digest(passage), key, version, lo, passage))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in PASSAGES.split(", ")])
+
+    return run
+
+
+def _window_digests(length: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            out = []
+            for n, key, version, lo, passage in zip(*[batch[c] for c in ("n", "id_key", "version", "lo", "passage")]):
+                for i in range(len(passage) - length + 1):
+                    out.append((xxh3_128_digest(passage[i : i + length]), n, key, version, lo + i))
+            yield pd.DataFrame(out, columns=["digest", "n", "id_key", "version", "lo"])
 
     return run
 
 
+def _heavy_spans(passages: DataFrame, length: int) -> DataFrame:
+    """Repeated stretches around anchors too frequent to be sorted in one place.
+
+    Equal passages are one class: where a class has several, all its windows repeat. Windows
+    of different classes are compared by digests; both counts sum up in the tasks first.
+    """
+    classes = passages.groupBy("digest").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.struct("id_key", "version", "lo", "passage")).alias("row")
+    )
+    several = A.spread_join(passages, classes.filter("n > 1").select("digest"), "digest", "left_semi")
+    windows = classes.select("n", "row.*").mapInPandas(
+        _window_digests(length), "digest binary, n long, id_key long, version long, lo int"
+    )
+    again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("digest")
+    single = A.spread_join(windows.filter("n = 1"), again, "digest", "left_semi")
+    return several.select(
+        "id_key", "version", "lo", (F.col("lo") + F.length("passage")).alias("hi")
+    ).unionByName(single.select("id_key", "version", "lo", (F.col("lo") + length).alias("hi")))
+
+
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
-        for key, text, rows in zip(batch["id_key"], batch["text"], batch["rows"]):
+        for key, text, lo, hi in zip(*[batch[c] for c in ("id_key", "text", "lo", "hi")]):
             data = np.frombuffer(text.encode(), np.uint8)
-            gone = A.covered(len(data), rows if rows is not None else ())
+            gone = A.covered(len(data), lo, hi)
             edges = np.diff(np.concatenate([[0], gone.view(np.int8)]))
             out.append((key, len(data), int(gone.sum()), int((edges == 1).sum()), data[~gone].tobytes()))
         yield pd.DataFrame(out, columns=["id_key", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, support: float = A.SUPPORT, bucket: int = BUCKET) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, support: float = A.SUPPORT, most: int = A.MAX_GROUP, bucket: int = BUCKET
+) -> DataFrame:
     """Stretches (id_key, version, lo, hi) of bytes covered by strings of ``length`` bytes that occur elsewhere too.
 
     Only suffixes at anchors travel, and only those whose leading gram occurs again. Spark
     samples splitters of their leading bytes and deals them to ranges; each range is sorted by
     a multikey quicksort and equal windows are read off the shared lengths. Suffixes of one
-    leading gram never straddle ranges, except frequent ones: these are compared across all
-    ranges by digests of their windows, which sum up in the tasks first.
+    leading gram never straddle ranges, except those of more than ``most`` rows: these are
+    compared across all tasks by digests of their passages and windows.
     """
-    found = A.per_document(A.repeated(A.gram_rows(docs, _finder(length, gram)), support), "place", "lo", "hi", "heavy")
-    contexts = A.with_texts(docs, found).mapInPandas(_contexts(length, gram), CONTEXTS)
+    rows, heavy = A.repeated(A.gram_rows(docs, _finder(length, gram)), support, most)
+    contexts = A.with_texts(docs, A.per_document(rows, "place")).mapInPandas(_contexts(length, gram), CONTEXTS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = contexts.filter("NOT heavy").drop("heavy", "lo", "hi").repartitionByRange(parts, "lead").sortWithinPartitions("lead")
-    cold = ranged.mapInPandas(_sorted_buckets(length, gram, bucket), SPANS)
-    windows = contexts.filter("heavy").mapInPandas(
-        _window_digests(length, gram), "digest binary, id_key long, version long, start int"
-    )
-    again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    hot = windows.join(again, "digest", "left_semi").select(
-        "id_key", "version", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")
-    )
-    return cold.unionByName(hot)
+    ranged = contexts.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    passages = A.with_texts(docs, A.per_document(heavy, "lo", "hi")).mapInPandas(_passages(length), PASSAGES)
+    return ranged.mapInPandas(_sorted_buckets(length, gram, bucket), SPANS).unionByName(_heavy_spans(passages, length))
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:

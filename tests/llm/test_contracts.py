@@ -1,7 +1,6 @@
 """Every operator against plain loops, on hand-made rows and on the smallest tables."""
 
 import random
-import re
 import string
 
 import brute
@@ -12,7 +11,7 @@ from conftest import same_rows
 from pyspark.sql import functions as F
 
 from newsweave.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, secrets, simhash, substring_dedup, suffix_dedup
-from newsweave.llm.queries import QUERIES, tokenizer_path
+from newsweave.llm.queries import CHECKS, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -110,25 +109,16 @@ def spliced(seed, n, alphabet, piece, pieces):
     return texts
 
 
-def test_suffix_dedup_finds_every_window(spark, monkeypatch):
+def test_suffix_dedup_finds_every_window(spark):
     rows = list(enumerate(spliced(3, 40, "ab cdé", 900, 6)))
     rows += [(100, rows[0][1][:399]), (101, rows[0][1][:400]), (102, rows[1][1]), (103, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute.op5(rows)
-    for heavy in (False, True):
-        if heavy:
-            _make_all_heavy(monkeypatch)
-        found = suffix_dedup.remove_repeats(docs, bucket=7)
+    for most in (20_000, 3, 1):  # down to 1 all groups are heavy
+        found = suffix_dedup.remove_repeats(docs, bucket=7, most=most)
         same_rows(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)), expected)
 
 
-def _make_all_heavy(monkeypatch):
-    from newsweave.llm import anchors
-
-    plain = anchors.repeated
-    monkeypatch.setattr(anchors, "repeated", lambda grams, support: plain(grams, support).withColumn("heavy", F.lit(True)))
-
-
 def test_substring_dedup(nasty, pairs, empty):
     def run(docs):
         return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256))
@@ -137,7 +127,7 @@ def test_substring_dedup(nasty, pairs, empty):
     same_rows(run(empty), [])
 
 
-def test_substring_dedup_finds_every_window(spark, monkeypatch):
+def test_substring_dedup_finds_every_window(spark):
     rng = random.Random(5)
     rows = []
     pool = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(5)]
@@ -150,10 +140,8 @@ def test_substring_dedup_finds_every_window(spark, monkeypatch):
         rows.append((rng.randrange(10**6), " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute.op8(rows)
-    for heavy in (False, True):
-        if heavy:
-            _make_all_heavy(monkeypatch)
-        found = substring_dedup.remove_repeats(docs)
+    for most in (20_000, 3, 1):
+        found = substring_dedup.remove_repeats(docs, most=most)
         same_rows(found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)), expected)
 
 
@@ -500,3 +488,11 @@ def test_cut_offs_need_evidence(spark):
     rated = quality.quality_rules(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     got = {(r[0], r[1]): r[2] for r in rated.groupBy("lang", "quality").agg(F.min("kept")).collect()}
     assert got == {("en", 1): True, ("en", 0): False, ("xx", 1): True, ("xx", 0): True}
+
+
+@pytest.mark.parametrize("sf, name", [(SF, n) for n in sorted(CHECKS)] + [("/root/testdata/sf0.1", "op10_quality_rules")])
+def test_query_equals_its_sql(spark, sf, name):
+    import parity
+
+    found = parity.spark_rows(QUERIES[name](spark, sf))
+    assert found == parity.duck_rows(parity.connect(sf), CHECKS[name])
