@@ -79,7 +79,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, slices: int = SLICES) -> Dat
     text are one document; rows that share only the id are documents of their own.
     """
     occurrences = materialize(line_occurrences(docs), "lines")
-    frequent = frequent_keys(streamed(occurrences, slices), min_docs)
+    # Stored, so that a partition of one frequent key's lines can be split by the join.
+    frequent = materialize(frequent_keys(streamed(occurrences, slices), min_docs), "frequent-lines")
     return drop_bitmaps(occurrences.join(frequent, ["h1", "h2"], "left_semi"))
 
 
