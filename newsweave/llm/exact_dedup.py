@@ -68,6 +68,7 @@ def keep_one_copy(docs: DataFrame) -> DataFrame:
         docs, doc_id=F.col("doc_id"), n=F.length(whole_text()).cast("long"), text_sha256=digest(whole_text())
     )
     keys = ("doc_id", "n", "text_sha256")
+    decided = decided.hint("shuffle_hash")  # far smaller than the texts, which needn't be sorted
     left = tagged.join(decided, same(tagged, decided, *keys), "left_semi")
     repeats = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if repeats:  # only then rows can be equal in all keys

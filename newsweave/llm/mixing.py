@@ -10,7 +10,7 @@ from newsweave.sinks import materialize
 #: Weights of the sources in code point order, repeating; null is the last source.
 WEIGHTS = [3.0, 1.0, 2.0]
 #: Words of a block, documents of a chunk, slots of an output shard.
-BLOCK_WORDS, CHUNK_DOCS, SHARD_SLOTS = 64, 50_000, 65_536
+BLOCK_WORDS, CHUNK_DOCS, SHARD_SLOTS = 64, 2_000, 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -62,7 +62,9 @@ def place(sizes: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS,
     )
     placed = materialize(placed, "placed")
     held = placed.groupBy("src", "chunk").agg(
-        F.ceil(F.sum("size") / block_words).cast("long").alias("blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
+        F.ceil(F.sum("size") / block_words).cast("long").alias("blocks"),
+        F.first("source_size").alias("source_size"),
+        F.first("target").alias("target"),
     )
     upto = Window.partitionBy("src").orderBy("chunk")
     per_chunk = held.withColumn("first", F.sum("blocks").over(upto) - F.col("blocks")).withColumn(
@@ -71,15 +73,17 @@ def place(sizes: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS,
     return placed, materialize(per_chunk.filter("blocks > 0"), "chunks")
 
 
-def _permuted(slot: Column, wide: Column, high: Column, seed: int) -> Column:
-    """A permutation of 0 .. wide * high - 1: four rounds that add a hash of one half to the other."""
-    left, right = (slot % wide).cast("long"), F.floor(slot / wide).cast("long")
+def _permuted(slots: DataFrame, seed: int) -> DataFrame:
+    """Adds ``block``: a permutation of the slot numbers 0 .. wide * high - 1 of each source and pass.
+
+    Four rounds add a hash of one half of the number to the other half.
+    """
+    out = slots.withColumn("_left", F.col("slot") % F.col("wide")).withColumn("_right", F.expr("slot div wide"))
     for i in range(4):
-        if i % 2:
-            right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed + i), "src", "pass", left), high), high)
-        else:
-            left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed + i), "src", "pass", right), wide), wide)
-    return right * wide + left
+        half, other, size = ("_right", "_left", "high") if i % 2 else ("_left", "_right", "wide")
+        step = F.xxhash64(F.lit(seed + i), "src", "pass", other)
+        out = out.withColumn(half, F.pmod(F.col(half) + F.pmod(step, F.col(size)), F.col(size)))
+    return out.withColumn("block", F.col("_right") * F.col("wide") + F.col("_left")).drop("_left", "_right")
 
 
 def draw_slots(chunks: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0) -> DataFrame:
@@ -91,7 +95,8 @@ def draw_slots(chunks: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0)
     blocks are used before one is used again. Each chunk's row makes its share of the slots.
     The permuted range is the next rectangle of whole numbers; numbers past the last block are void.
     """
-    sized = chunks.withColumn("wide", F.ceil(F.sqrt("n_blocks")).cast("long")).withColumn("high", F.ceil(F.col("n_blocks") / F.col("wide")).cast("long"))
+    sized = chunks.withColumn("wide", F.ceil(F.sqrt("n_blocks")).cast("long"))
+    sized = sized.withColumn("high", F.ceil(F.col("n_blocks") / F.col("wide")).cast("long"))
     area = F.col("wide") * F.col("high")
     sized = sized.withColumn("area", area).withColumn("slots", F.round(F.col("target") / F.col("source_size") * area).cast("long"))
     share = F.col("slots") * F.col("blocks") / F.col("n_blocks")
@@ -103,10 +108,11 @@ def draw_slots(chunks: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 0)
 
     last = F.when(F.col("first") + F.col("blocks") == F.col("n_blocks"), F.col("slots")).otherwise(upto(F.col("first") + F.col("blocks")))
     own = sized.withColumn("from", upto(F.col("first"))).withColumn("to", last).filter("to > from")
-    own = own.repartition("src", "chunk")
+    # A fixed number of partitions: these few rows become very many, which adaptive planning doesn't foresee.
+    own = own.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src", "chunk")
     slots = own.select("src", "wide", "high", "area", "n_blocks", F.explode(F.sequence("from", F.col("to") - 1)).alias("number"))
-    slots = slots.withColumn("pass", F.floor(F.col("number") / F.col("area")).cast("int")).withColumn("slot", F.col("number") % F.col("area"))
-    slots = slots.withColumn("block", _permuted(F.col("slot"), F.col("wide"), F.col("high"), seed + 10)).filter("block < n_blocks")
+    slots = slots.withColumn("pass", F.expr("CAST(number div area AS INT)")).withColumn("slot", F.col("number") % F.col("area"))
+    slots = _permuted(slots, seed + 10).filter("block < n_blocks")
     return slots.select("src", "pass", "number", F.pmod(F.xxhash64(F.lit(seed + 2), "src", "number"), F.lit(shards)).alias("shard"), "block")
 
 
@@ -136,7 +142,8 @@ def mix(docs: DataFrame, seed: int = 0, **options):
         docs.select("doc_id", "source", word_count(whole_text()).alias("size"), F.xxhash64(whole_text()).alias("version")), "sizes"
     )
     placed, chunks = place(sizes, source_targets(sizes, **options), seed=seed)
-    return placed, pieces(placed, chunks).join(draw_slots(chunks, seed=seed), ["src", "block"])
+    # Both sides are large, whatever their sources' sizes suggest.
+    return placed, pieces(placed, chunks).join(draw_slots(chunks, seed=seed).hint("merge"), ["src", "block"])
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
@@ -163,7 +170,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("from", "to"))).alias("parts"), F.sum(F.col("to") - F.col("from")).alias("taken")
     )
     parts = parts.join(placed.select("src", "chunk", "rank", "doc_id", "version", "size"), ["src", "chunk", "rank"])
-    parts = parts.select("doc_id", "version", "size", "parts", "taken")
+    parts = parts.select("doc_id", "version", "size", "parts", "taken").hint("shuffle_hash")
     joined = tagged.join(parts, same(tagged, parts, "doc_id", "version"))
     cut = F.array_join(
         F.flatten(F.transform("parts", lambda p: F.slice("_words", (p["from"] + 1).cast("int"), (p["to"] - p["from"]).cast("int")))), " "

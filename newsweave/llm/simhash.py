@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsweave.llm.common import packed, same, whole_text
+from newsweave.llm.common import packed, whole_text
 from newsweave.llm.graph import components
 from newsweave.sinks import materialize
 
@@ -106,5 +106,6 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id names their component, all columns; rows without an id stay."""
     kept = materialize(near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
     tagged = packed(docs, doc_id=F.col("doc_id").cast("long"))
-    named = tagged.join(kept, "doc_id", "left_semi").select("row.*")
+    # The ids have no size bound but are far smaller than the texts, which needn't be sorted.
+    named = tagged.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select("row.*")
     return named.unionByName(docs.filter("doc_id IS NULL"))
