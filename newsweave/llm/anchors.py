@@ -54,7 +54,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """id_key, version, text: two columns without nulls that name a document (its id and its text)."""
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     return docs.select(
-        id_key.alias("id_key"), F.xxhash64(F.col("doc_id").isNull(), whole_text()).alias("version"), whole_text().alias("text")
+        id_key.alias("id_key"), F.hash(F.col("doc_id").isNull(), whole_text()).alias("version"), whole_text().alias("text")
     )
 
 
@@ -63,7 +63,8 @@ def doc_id() -> Column:
     return F.when(F.col("id_key") == F.lit(-(1 << 63)), F.lit(None)).otherwise(F.col("id_key")).alias("doc_id")
 
 
-GRAMS = "id_key long, version long, h long, place int, lo int, hi int"
+#: A row of an anchor; ``more`` holds its place and its last run start, counted from ``lo``: rows travel by the million.
+GRAMS = "id_key long, version int, h long, lo int, more int"
 
 
 def gram_rows(docs: DataFrame, grams: Callable[[], Callable[[str], Iterator[tuple]]]) -> DataFrame:
@@ -76,9 +77,10 @@ def gram_rows(docs: DataFrame, grams: Callable[[], Callable[[str], Iterator[tupl
             for key, version, text in zip(batch["id_key"], batch["version"], batch["text"]):
                 for h, place, lo, hi in find(text):
                     n = len(h)
-                    out.append((np.full(n, key, np.int64), np.full(n, version, np.int64), h.view(np.int64), place, lo, hi))
-            columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 6
-            yield pd.DataFrame(dict(zip(["id_key", "version", "h", "place", "lo", "hi"], columns)))
+                    more = (place - lo) * 1024 + (hi - lo)
+                    out.append((np.full(n, key, np.int64), np.full(n, version, np.int32), h.view(np.int64), lo, more))
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 5
+            yield pd.DataFrame(dict(zip(["id_key", "version", "h", "lo", "more"], columns)))
 
     return keyed(docs).mapInPandas(run, GRAMS)
 
@@ -99,7 +101,12 @@ def repeated(grams: DataFrame, support: float = SUPPORT, most: int = MAX_GROUP)
         "n", F.count(F.lit(1)).over(Window.partitionBy("h"))
     )
     comparable = counted.filter((F.col("n") > 1) & (F.col("n") <= most)).drop("n")
-    return comparable, hot.unionByName(counted.filter(F.col("n") > most).drop("n"))
+    return _unpacked(comparable), _unpacked(hot.unionByName(counted.filter(F.col("n") > most).drop("n")))
+
+
+def _unpacked(grams: DataFrame) -> DataFrame:
+    place, last = F.col("lo") + F.shiftright("more", 10), F.col("lo") + F.col("more").bitwiseAND(1023)
+    return grams.select("id_key", "version", "h", place.alias("place"), "lo", last.alias("hi"))
 
 
 def with_texts(docs: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:

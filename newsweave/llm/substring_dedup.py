@@ -102,8 +102,8 @@ def _finder(length: int, gram: int):
     return make
 
 
-PASSAGES = "h long, id_key long, version long, lo int, passage binary"
-SPANS = "id_key long, version long, lo int, hi int"
+PASSAGES = "h long, id_key long, version int, lo int, passage binary"
+SPANS = "id_key long, version int, lo int, hi int"
 
 
 def _passages(length: int):
@@ -221,11 +221,12 @@ def _heavy_spans(passages: DataFrame, length: int) -> DataFrame:
     classes = placed.groupBy("digest").agg(F.min("place").alias("first"), F.first("passage").alias("passage"))
     others = A.spread_join(placed, classes.select("digest", "first"), "digest", "inner").filter("place > first")
     windows = classes.select("first.id_key", "first.version", "first.lo", "passage").mapInPandas(
-        _window_digests(length), "digest binary, id_key long, version long, lo int"
+        _window_digests(length), "digest binary, id_key long, version int, lo int"
     ).withColumn("place", place)
     earliest = windows.groupBy("digest").agg(F.min("place").alias("first"))
     later = A.spread_join(windows, earliest, "digest", "inner").filter("place > first")
-    words = F.length("passage") - F.length(F.translate(F.col("passage").cast("string"), " ", "")) + 1
+    text = F.col("passage").cast("string")  # as text: a binary's length counts bytes
+    words = F.length(text) - F.length(F.translate(text, " ", "")) + 1
     return others.select("id_key", "version", "lo", (F.col("lo") + words).cast("int").alias("hi")).unionByName(
         later.select("id_key", "version", "lo", (F.col("lo") + length).alias("hi"))
     )

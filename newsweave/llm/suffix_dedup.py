@@ -108,9 +108,9 @@ def repeated_windows(left: list[bytes], right: list[bytes], length: int = LENGTH
     return marks
 
 
-CONTEXTS = "lead binary, id_key long, version long, place int, before binary, after binary"
-PASSAGES = "digest binary, id_key long, version long, lo int, passage binary"
-SPANS = "id_key long, version long, lo int, hi int"
+CONTEXTS = "lead binary, id_key long, version int, place int, before binary, after binary"
+PASSAGES = "digest binary, id_key long, version int, lo int, passage binary"
+SPANS = "id_key long, version int, lo int, hi int"
 
 
 def _contexts(length: int, gram: int):
@@ -204,7 +204,7 @@ def _heavy_spans(passages: DataFrame, length: int) -> DataFrame:
     )
     several = A.spread_join(passages, classes.filter("n > 1").select("digest"), "digest", "left_semi")
     windows = classes.select("n", "row.*").mapInPandas(
-        _window_digests(length), "digest binary, n long, id_key long, version long, lo int"
+        _window_digests(length), "digest binary, n long, id_key long, version int, lo int"
     )
     again = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("digest")
     single = A.spread_join(windows.filter("n = 1"), again, "digest", "left_semi")

@@ -130,13 +130,13 @@ def test_substring_dedup(nasty, pairs, empty):
 def test_substring_dedup_finds_every_window(spark):
     rng = random.Random(5)
     rows = []
-    pool = [[f"w{rng.randrange(40)}" for _ in range(60)] for _ in range(5)]
+    pool = [[f"ŵ{rng.randrange(40)}" for _ in range(60)] for _ in range(5)]
     for d in range(60):
         words = []
         for _ in range(3):
             part = rng.choice(pool)
             a = rng.randrange(30)
-            words += part[a : a + rng.randrange(15, 31)] + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(4))]
+            words += part[a : a + rng.randrange(15, 31)] + [f"ŵ{rng.randrange(40)}" for _ in range(rng.randrange(4))]
         rows.append((rng.randrange(10**6), " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute.op8(rows)
