@@ -54,7 +54,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """id_key, version, text: two columns without nulls that name a document (its id and its text)."""
     id_key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     return docs.select(
-        id_key.alias("id_key"), F.hash(F.col("doc_id").isNull(), whole_text()).alias("version"), whole_text().alias("text")
+        id_key.alias("id_key"), F.xxhash64(F.col("doc_id").isNull(), whole_text()).alias("version"), whole_text().alias("text")
     )
 
 
@@ -64,7 +64,7 @@ def doc_id() -> Column:
 
 
 #: A row of an anchor; ``more`` holds its place and its last run start, counted from ``lo``: rows travel by the million.
-GRAMS = "id_key long, version int, h long, lo int, more int"
+GRAMS = "id_key long, version long, h long, lo int, more int"
 
 
 def gram_rows(docs: DataFrame, grams: Callable[[], Callable[[str], Iterator[tuple]]]) -> DataFrame:
@@ -78,7 +78,7 @@ def gram_rows(docs: DataFrame, grams: Callable[[], Callable[[str], Iterator[tupl
                 for h, place, lo, hi in find(text):
                     n = len(h)
                     more = (place - lo) * 1024 + (hi - lo)
-                    out.append((np.full(n, key, np.int64), np.full(n, version, np.int32), h.view(np.int64), lo, more))
+                    out.append((np.full(n, key, np.int64), np.full(n, version, np.int64), h.view(np.int64), lo, more))
             columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 5
             yield pd.DataFrame(dict(zip(["id_key", "version", "h", "lo", "more"], columns)))
 

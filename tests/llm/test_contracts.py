@@ -496,3 +496,16 @@ def test_query_equals_its_sql(spark, sf, name):
 
     found = parity.spark_rows(QUERIES[name](spark, sf))
     assert found == parity.duck_rows(parity.connect(sf), CHECKS[name])
+
+
+def test_rows_without_id_are_told_apart_by_more_than_32_bits(spark):
+    shared = " ".join(f"w{i}" for i in range(200))
+    first, second = f"p013117 {shared}", f"p265384 {shared}"  # equal in Spark's 32-bit hash
+    rows = [(7, first), (None, first), (None, second)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert docs.filter("doc_id IS NULL").select(F.hash(F.lit(True), "text")).distinct().count() == 1
+    loops = [(i, t) for i, (_, t) in enumerate(rows)]
+    found = suffix_dedup.remove_repeats(docs).select("n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    same_rows(found, [r[1:] for r in brute.op5(loops)])
+    found = substring_dedup.remove_repeats(docs).select("n_words", "n_removed", F.sha2("kept", 256))
+    same_rows(found, [r[1:] for r in brute.op8(loops)])
