@@ -17,8 +17,11 @@ KINDS = ["email", "ip", "card", "phone"]
 SAMPLE_DOCS, SAMPLE_MENTIONS = 2_000, 50_000
 #: Probability from which a mention is added.
 LEAST = 0.8
-#: Places between neighbours on the chain; rounds of message passing.
-NEAR, ROUNDS = 60, 25
+#: Places between neighbours on the chain.
+NEAR = 60
+#: Messages pass until none changes by more than SETTLED over the links of a mention. No path is longer than the mentions
+#: are many, so the bound on the rounds grows with them.
+SETTLED, ROUNDS, ROUNDS_A_MENTION = 1e-3, 100, 4
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -124,7 +127,36 @@ def _keys(mention: Mention) -> list[str]:
 
 
 def edges(found: list[Mention]) -> np.ndarray:
-    """Links (i, j, type): 0 neighbours on the chain, 1 same, 2 similar. Repeats form chains, not all pairs."""
+    """Links (i, j, type): 0 neighbours on the chain, 1 same, 2 similar.
+
+    Mentions of one key are linked to one hub, its first base match or else its first mention, not
+    all pairs: however long the document, a base match is one link away. A mention that is the same
+    as a base match has no link to similar ones.
+    """
+    keys = [_keys(mention) for mention in found]
+    hubs: dict[str, int] = {}
+    for j, mention in enumerate(found):
+        for key in keys[j]:
+            if not found[hubs.setdefault(key, j)].label and mention.label:
+                hubs[key] = j
+    out = []
+    for j, mention in enumerate(found):
+        if j and mention.start - found[j - 1].end <= NEAR:
+            out.append((j - 1, j, 0))
+        same, similar = (hubs[key] for key in keys[j])
+        if same != j:
+            out.append((same, j, 1))
+        if len(keys[j][1]) >= 6 and similar not in (same, j) and not found[same].label:
+            out.append((similar, j, 2))
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _repeats(found: list[Mention]) -> np.ndarray:
+    """Links like those of ``edges``, but of each mention to the last one of its key.
+
+    Weights are per link and are learnt from these: no mention has more than a few, so one long
+    document doesn't set the scale of the counts.
+    """
     out, last = [], {}
     for j, mention in enumerate(found):
         if j and mention.start - found[j - 1].end <= NEAR:
@@ -149,12 +181,12 @@ def training_rows(text: str, rng: np.random.Generator) -> list[tuple]:
     the field learns how far a repeat speaks for a mention whose own marks are missing.
     """
     found = mentions(text, base_spans(text))
-    links = edges(found)
     near = np.zeros((len(found), N_TYPES, N_LABELS))
     doubtful = np.zeros(len(found), bool)
-    for i, j, t in links:
+    for i, j, t in _repeats(found):
         near[i, t, found[j].label] += 1
         near[j, t, found[i].label] += 1
+    for i, j, t in edges(found):
         if t and (found[i].label == 0) != (found[j].label == 0):
             doubtful[[i, j]] |= [found[i].label == 0, found[j].label == 0]
     out = []
@@ -188,7 +220,8 @@ class Field:
             table = self.pairs[np.concatenate([links[:, 2], links[:, 2]])]
             back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
             messages = np.zeros((len(source), N_LABELS))
-            for _ in range(ROUNDS):
+            settled = SETTLED / np.bincount(target).max()  # a hub adds up the errors of all its links
+            for _ in range(ROUNDS + ROUNDS_A_MENTION * len(found)):
                 belief = scores.copy()
                 np.add.at(belief, target, messages)
                 outgoing = (belief[source] - messages[back])[:, :, None] + table
@@ -196,7 +229,7 @@ class Field:
                 new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
                 change = np.abs(new - messages).max()
                 messages = 0.5 * messages + 0.5 * new  # damped, since loops may swing
-                if change < 1e-3:
+                if change < settled:
                     break
             np.add.at(scores, target, messages)
         return np.exp(scores - np.logaddexp.reduce(scores, axis=1, keepdims=True))

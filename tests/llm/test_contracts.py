@@ -509,3 +509,28 @@ def test_rows_without_id_are_told_apart_by_more_than_32_bits(spark):
     same_rows(found, [r[1:] for r in brute.op5(loops)])
     found = substring_dedup.remove_repeats(docs).select("n_words", "n_removed", F.sha2("kept", 256))
     same_rows(found, [r[1:] for r in brute.op8(loops)])
+
+
+def test_late_repeats_take_the_label_of_the_only_base_match(field):
+    filler = " and some words that stand between the numbers of this text, sixty places at the least,"
+    text = "call +1 (017) 555-7713" + (filler + " 1 017 555 7713") * 80
+    base = pii.base_spans(text)
+    assert len(base) == 1
+    added = pii.added_spans(text, base, field)
+    assert len(added) == 80 and all(kind == "phone" for kind, _, _ in added)
+    late = text.replace("+1 (017) 555-7713", "1 017 555 7713") + filler + " +1 (017) 555-7713"
+    assert len(pii.added_spans(late, pii.base_spans(late), field)) == 81
+
+
+def test_links_reach_a_base_match_and_stay_linear():
+    found = [pii.Mention(i * 100, i * 100 + 14, 4 * (i == 30), "1 017 555 7713") for i in range(60)]
+    assert sorted(map(tuple, pii.edges(found).tolist())) == sorted((30, j, 1) for j in range(60) if j != 30)
+
+
+def test_messages_pass_to_the_end_of_a_long_path():
+    pairs = np.zeros((pii.N_TYPES, pii.N_LABELS, pii.N_LABELS))
+    pairs[0] = 12 * np.eye(pii.N_LABELS)
+    field = pii.Field(np.zeros((pii.N_LABELS, pii.N_FEATURES)), pairs)
+    found = [pii.Mention(i * 20, i * 20 + 10, 4 * (i == 0), f"{12345678 + 1000 * i}") for i in range(200)]
+    links = np.array([(i, i + 1, 0) for i in range(199)])
+    assert field.probabilities(found, links)[-1, 4] > 0.98
