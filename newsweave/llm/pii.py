@@ -281,23 +281,18 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_mentions: int
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field | None, least: float = LEAST) -> list[tuple[str, int, int]]:
-    """Candidates that the field takes for personal data, among those that resemble a base match or each other.
+    """Candidates that the field takes for personal data, in any document that has candidates.
 
-    What nothing in the document resembles has no second opinion and is left alone.
+    The marginal alone decides, whether or not a mention resembles another one.
     """
-    if field is None or not base:
+    if field is None:
         return []
     found = mentions(text, base)
-    links = edges(found)
-    linked = np.zeros(len(found), bool)
-    linked[links[links[:, 2] > 0][:, :2].ravel()] = True
-    if all(m.label or not x for m, x in zip(found, linked)):
+    if all(m.label for m in found):
         return []
-    chances = field.probabilities(found, links)
+    chances = field.probabilities(found, edges(found))
     kinds = chances[:, 1:].argmax(axis=1)
-    return [
-        (KINDS[k], m.start, m.end) for m, x, p, k in zip(found, linked, chances, kinds) if x and not m.label and p[0] <= 1 - least
-    ]
+    return [(KINDS[k], m.start, m.end) for m, p, k in zip(found, chances, kinds) if not m.label and p[0] <= 1 - least]
 
 
 def find_personal_data(docs: DataFrame, least: float = LEAST, **options) -> DataFrame:

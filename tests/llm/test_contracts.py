@@ -534,3 +534,12 @@ def test_messages_pass_to_the_end_of_a_long_path():
     found = [pii.Mention(i * 20, i * 20 + 10, 4 * (i == 0), f"{12345678 + 1000 * i}") for i in range(200)]
     links = np.array([(i, i + 1, 0) for i in range(199)])
     assert field.probabilities(found, links)[-1, 4] > 0.98
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_the_field_decides_without_a_base_match_too(field, times):
+    address = "a.b55 [at] mail9.example [dot] com"
+    text = " and ".join([address] * times)
+    assert pii.base_spans(text) == []
+    assert [text[a:b] for _, a, b in pii.added_spans(text, [], field)] == [address] * times
+    assert pii.added_spans("order 88273645", [], field) == []
