@@ -14,8 +14,6 @@ from newsweave.llm import anchors as A
 LENGTH, GRAM = 400, 128
 #: Suffixes sorted at once; groups of one leading gram stay together.
 BUCKET = 20_000
-#: Leading bytes by which suffixes are dealt to ranges.
-LEAD = 32
 
 
 def byte_grams(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -108,7 +106,7 @@ def repeated_windows(left: list[bytes], right: list[bytes], length: int = LENGTH
     return marks
 
 
-CONTEXTS = "lead binary, id_key long, version long, place int, before binary, after binary"
+CONTEXTS = "id_key long, version long, place int, before binary, after binary"
 PASSAGES = "digest binary, id_key long, version long, lo int, passage binary"
 SPANS = "id_key long, version long, lo int, hi int"
 
@@ -122,14 +120,14 @@ def _contexts(length: int, gram: int):
                 for at in places.tolist():
                     after = data[at : at + length]
                     before = data[max(0, at - length + gram) : at][::-1]
-                    out.append((after[:LEAD], key, version, at, before, after))
+                    out.append((key, version, at, before, after))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXTS.split(", ")])
 
     return run
 
 
 def _sorted_buckets(length: int, gram: int, bucket: int):
-    """Sort what a range holds, bucket by bucket; a bucket ends only where the leading bytes change."""
+    """Sort what a range holds, bucket by bucket; a bucket ends only where the leading gram changes."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         marks = repeated_windows(list(frame["before"]), list(frame["after"]), length, gram)
@@ -148,9 +146,9 @@ def _sorted_buckets(length: int, gram: int, bucket: int):
             size += len(batch)
             if size >= bucket:
                 frame = pd.concat(held, ignore_index=True)
-                lead = frame["lead"].to_numpy()
-                cut = len(frame)
-                while cut and lead[cut - 1] == lead[-1]:
+                after = frame["after"].to_numpy()
+                cut, lead = len(frame), after[-1][:gram]
+                while cut and after[cut - 1][:gram] == lead:
                     cut -= 1
                 if cut:
                     yield solve(frame.iloc[:cut].reset_index(drop=True))
@@ -230,7 +228,7 @@ def repeated_spans(
     """Stretches (id_key, version, lo, hi) of bytes covered by strings of ``length`` bytes that occur elsewhere too.
 
     Only suffixes at anchors travel, and only those whose leading gram occurs again. Spark
-    samples splitters of their leading bytes and deals them to ranges; each range is sorted by
+    samples splitters of their leading grams and deals them to ranges; each range is sorted by
     a multikey quicksort and equal windows are read off the shared lengths. Suffixes of one
     leading gram never straddle ranges, except those of more than ``most`` rows: these are
     compared across all tasks by digests of their passages and windows.
@@ -238,7 +236,8 @@ def repeated_spans(
     rows, heavy = A.repeated(A.gram_rows(docs, _finder(length, gram)), support, most)
     contexts = A.with_texts(docs, A.per_document(rows, "place")).mapInPandas(_contexts(length, gram), CONTEXTS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = contexts.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
+    lead = F.substring("after", 1, gram)
+    ranged = contexts.repartitionByRange(parts, lead).sortWithinPartitions(lead)
     passages = A.with_texts(docs, A.per_document(heavy, "lo", "hi")).mapInPandas(_passages(length), PASSAGES)
     return ranged.mapInPandas(_sorted_buckets(length, gram, bucket), SPANS).unionByName(_heavy_spans(passages, length))
 

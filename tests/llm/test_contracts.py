@@ -543,3 +543,14 @@ def test_the_field_decides_without_a_base_match_too(field, times):
     assert pii.base_spans(text) == []
     assert [text[a:b] for _, a, b in pii.added_spans(text, [], field)] == [address] * times
     assert pii.added_spans("order 88273645", [], field) == []
+
+
+def test_buckets_end_between_grams_that_share_their_first_bytes(monkeypatch):
+    import pandas as pd
+
+    sizes = []
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda before, after, *_: sizes.append(len(after)) or np.zeros((1, len(after)), bool))
+    after = [b"-" * 64 + f"{i // 2:0400d}".encode()[::-1][:336] for i in range(100)]
+    frame = pd.DataFrame({"lead": [a[:32] for a in after], "id_key": 1, "version": 1, "place": range(100), "before": b"", "after": after})
+    list(suffix_dedup._sorted_buckets(400, 128, 10)(frame.iloc[i : i + 5] for i in range(0, 100, 5)))
+    assert sum(sizes) == 100 and max(sizes) <= 15
