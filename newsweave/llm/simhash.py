@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from newsweave.llm.common import packed, whole_text
+from newsweave.llm.common import packed, same, whole_text
 from newsweave.llm.graph import components
 from newsweave.sinks import materialize
 
@@ -102,10 +102,31 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataF
     return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, all columns; rows without an id stay."""
-    kept = materialize(near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    tagged = packed(docs, doc_id=F.col("doc_id").cast("long"))
-    # The ids have no size bound but are far smaller than the texts, which needn't be sorted.
-    named = tagged.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select("row.*")
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+def keep_one_of_each(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
+    """One row of ``docs`` per component, all columns: that of the smallest id, nulls last.
+
+    Rows are told apart by id and text, so rows without an id and rows that share one are
+    near copies like others; of rows equal in both one stays.
+    """
+    version = F.xxhash64(whole_text())
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), version.alias("version"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            prints = np.array([fingerprint(t, shingle) for t in batch["text"]], np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "version": batch["version"], "fingerprint": prints})
+
+    prints = materialize(keyed.mapInPandas(run, "doc_id long, version long, fingerprint long"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "version")
+    nodes = prints.groupBy("fingerprint").agg(F.min(order).alias("least"))
+    roots = materialize(components(close_pairs(prints, radius)), "roots")
+    rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left")
+    named = rooted.groupBy(F.coalesce("root", "fingerprint").alias("root")).agg(F.min("least").alias("least"))
+    kept = materialize(named.select("least.doc_id", "least.version"), "kept-rows")
+    # The rows' keys have no size bound but are far smaller than the texts, which needn't be sorted.
+    kept = kept.hint("shuffle_hash")
+    tagged = packed(docs, doc_id=F.col("doc_id").cast("long"), version=version)
+    left = tagged.join(kept, same(tagged, kept, "doc_id", "version"), "left_semi")
+    if prints.groupBy("doc_id", "version").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates(["doc_id", "version"])
+    return left.select("row.*")

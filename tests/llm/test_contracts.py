@@ -554,3 +554,13 @@ def test_buckets_end_between_grams_that_share_their_first_bytes(monkeypatch):
     frame = pd.DataFrame({"lead": [a[:32] for a in after], "id_key": 1, "version": 1, "place": range(100), "before": b"", "after": after})
     list(suffix_dedup._sorted_buckets(400, 128, 10)(frame.iloc[i : i + 5] for i in range(0, 100, 5)))
     assert sum(sizes) == 100 and max(sizes) <= 15
+
+
+def test_one_near_copy_stays_without_ids_and_with_shared_ones(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    spaced, other = long.replace(" ", "  "), " ".join(f"x{i}" for i in range(400))
+    rows = [(None, long), (None, long.upper()), (None, spaced), (5, other), (5, long + "\n"), (3, other + " "), (3, "own text"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [tuple(r) for r in simhash.keep_one_of_each(docs).collect()]
+    assert sorted(found, key=repr) == sorted([(5, long + "\n"), (3, other + " "), (3, "own text"), (None, "alone")], key=repr)
+    assert simhash.keep_one_of_each(docs.union(docs)).count() == 4
