@@ -73,3 +73,39 @@ QUALITY = f"""WITH {_STATS},
     JOIN h ON h.lang IS NOT DISTINCT FROM z.lang AND h.rule = z.e.rule GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM s LEFT JOIN v USING (doc_id)"""
+
+
+_TURNS = r"""k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda x: ascii(x)::BIGINT)),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS kind FROM conversations),
+  names AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+  d AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+      CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM k) x JOIN names ON x.conv_id IS NOT DISTINCT FROM names.conv_id),
+  o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+  rows_ AS MATERIALIZED (SELECT c, i, turn, role, text, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before,
+      CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault FROM o)"""
+
+CONVERSATIONS = f"""WITH RECURSIVE {_TURNS},
+  steps(q, initial, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+  gap(q, cost, audit, body, q2) AS (VALUES (0, 0, '', []::VARCHAR[], 0), (1, 0, '', [], 1), (2, 0, '', [], 2), (3, 0, '', [], 3),
+    (0, 3, 'I', ['user:'], 2), (1, 3, 'I', ['user:'], 2), (3, 3, 'I', ['user:'], 2), (2, 3, 'I', ['assistant:'], 3),
+    (0, 6, 'II', ['user:', 'assistant:'], 3), (1, 6, 'II', ['user:', 'assistant:'], 3)),
+  edits AS MATERIALIZED (
+    SELECT c, i, q, q AS q2, 4 AS cost, 'D' AS audit, []::VARCHAR[] AS body FROM rows_, (SELECT unnest([0, 1, 2, 3]) AS q)
+    UNION ALL SELECT c, i, q, q2, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', [concat(role, ':', text)]
+      FROM rows_ JOIN steps USING (initial) WHERE fault IN ('none', 'truncated')
+    UNION ALL SELECT c, i, q, q2, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', [concat(CASE steps.initial WHEN 'u' THEN 'user' ELSE 'assistant' END, ':', text)]
+      FROM rows_, steps WHERE fault IN ('none', 'truncated') AND steps.initial <> 's'),
+  walk(c, i, q, way) AS (SELECT c, 0::BIGINT, 0, {{'cost': 0, 'audit': '', 'body': []::VARCHAR[]}} FROM names
+    UNION ALL SELECT w.c, w.i + 1, e.q2, min({{'cost': w.way.cost + g.cost + e.cost, 'audit': concat(w.way.audit, g.audit, e.audit), 'body': w.way.body || g.body || e.body}})
+      FROM walk w JOIN gap g ON g.q = w.q JOIN edits e ON e.c = w.c AND e.i = w.i + 1 AND e.q = g.q2 GROUP BY 1, 2, 3),
+  r AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+      count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+      count(*) FILTER (WHERE i > 1 AND concat(before, initial) NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY c),
+  best AS (SELECT w.c, min({{'cost': w.way.cost + g.cost, 'audit': concat(w.way.audit, g.audit), 'body': w.way.body || g.body}}) AS way
+    FROM walk w LEFT JOIN r USING (c) JOIN gap g ON g.q = w.q WHERE w.i = coalesce(r.n, 0) AND g.q2 IN (0, 3) GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.way.cost AS BIGINT) AS cost, best.way.audit AS audit, sha256(array_to_string(best.way.body, chr(10))) AS repaired_sha256
+FROM names JOIN best USING (c) LEFT JOIN r USING (c)"""

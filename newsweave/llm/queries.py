@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsweave.llm import (
     checks,
+    conversations,
     exact_dedup,
     line_dedup,
     mixing,
@@ -18,6 +19,7 @@ from newsweave.llm import (
     simhash,
     substring_dedup,
     suffix_dedup,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +110,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversation_repair", checks.CONVERSATIONS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
