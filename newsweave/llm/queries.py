@@ -13,6 +13,7 @@ from newsweave.llm import (
     line_dedup,
     mixing,
     packing,
+    pieces,
     pii,
     quality,
     secrets,
@@ -40,10 +41,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_packing")
@@ -120,3 +121,14 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_conversation_repair", checks.CONVERSATIONS)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
