@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -71,20 +72,18 @@ class Chunker:
         return [c[1:] if c[0] == " " else c for c in re.findall("(?: +|\n)[^ \n]*", marked)]
 
     def encode(self, chunks: list[str]) -> list[list[int]]:
+        found = self.model.encode(chunks, num_threads=1)
         if not self.cuts:
-            return self.model.encode(chunks)
+            return found
         lone = self.model.encode("x ")[len(self.probe) :]
         skipped = len(lone)
-        return [
-            lone if not chunk else ids[skipped:] if chunk[0] == "\n" else ids
-            for chunk, ids in zip(chunks, self.model.encode(chunks))
-        ]
+        return [lone if not c else ids[skipped:] if c[0] == "\n" else ids for c, ids in zip(chunks, found)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """What the ids add to a text when others stand before them."""
         if not self.cuts:
-            return self.model.decode(ids)
-        return [t[len(self.shown) :] for t in self.model.decode([self.probe + i for i in ids])]
+            return self.model.decode(ids, num_threads=1)
+        return [t[len(self.shown) :] for t in self.model.decode([self.probe + i for i in ids], num_threads=1)]
 
 
 _CHUNKERS: dict[str, Chunker] = {}
@@ -272,14 +271,20 @@ def _joiner(path: str, name: str, sent: Broadcast):
         own, width, table = chunker(path), _width(path), _frequent(name, sent)
         end = np.array([own.model.eos_id()], np.int32)
         for batch in batches:
-            docs, parts, texts, held = [], [], [], 0
-            for doc, code, answers in zip(*(batch[c].to_pylist() for c in ("doc_id", "code", "answers"))):
+            # All rare chunks of the batch in order of row and place, decoded in one call.
+            rows = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(batch["answers"]), 0))
+            flat = batch["answers"].flatten()
+            order = np.lexsort((flat.field("at").to_numpy(zero_copy_only=False), rows))
+            answers = [np.frombuffer(i, width) for i in flat.field("ids").take(pa.array(order)).to_pylist()]
+            spelled = own.decode([a.tolist() for a in answers])
+            docs, parts, texts, held, at = [], [], [], 0, 0
+            for doc, code in zip(batch["doc_id"].to_pylist(), batch["code"].to_pylist()):
                 numbers = _numbers(code)
-                given = {a["at"]: a["ids"] for a in answers or ()}
-                rare = [np.frombuffer(given[at], width) for at in range(int((numbers == 0).sum()))]
-                ids, text = _spelled(own, table, numbers, rare)
+                upto = at + int((numbers == 0).sum())
+                ids, text = _spelled(own, table, numbers, answers[at:upto], spelled[at:upto])
+                at = upto
                 docs.append(doc)
-                parts.append(np.concatenate([ids.astype(np.int32), end]))
+                parts.append(np.concatenate([ids, end]))
                 texts.append(text)
                 held += len(ids)
                 if held > OUT_IDS:
@@ -290,7 +295,9 @@ def _joiner(path: str, name: str, sent: Broadcast):
     return join
 
 
-def _spelled(own: Chunker, table: Frequent, numbers: np.ndarray, rare: list[np.ndarray]) -> tuple[np.ndarray, str]:
+def _spelled(
+    own: Chunker, table: Frequent, numbers: np.ndarray, rare: list[np.ndarray], spelled: list[str]
+) -> tuple[np.ndarray, str]:
     if not len(numbers):
         return np.empty(0, np.int32), ""
     holes = np.flatnonzero(numbers == 0)
@@ -298,13 +305,15 @@ def _spelled(own: Chunker, table: Frequent, numbers: np.ndarray, rare: list[np.n
     sizes[holes] = [len(r) for r in rare]
     ends = np.cumsum(sizes)
     places = np.repeat(table.ends[numbers] - table.sizes[numbers] - (ends - sizes), sizes) + np.arange(int(ends[-1]))
-    known = np.repeat(numbers > 0, sizes)
-    ids = np.empty(len(places), np.int32)
-    ids[known] = table.ids[places[known]]
     if len(holes):
+        known = np.repeat(numbers > 0, sizes)
+        ids = np.empty(len(places), np.int32)
+        ids[known] = table.ids[places[known]]
         ids[~known] = np.concatenate(rare)
+    else:
+        ids = table.ids[places].astype(np.int32)
     pieces = [table.texts[n] for n in numbers.tolist()]
-    for at, text in zip(holes.tolist(), own.decode([r.tolist() for r in rare])):
+    for at, text in zip(holes.tolist(), spelled):
         pieces[at] = text
     pieces[0] = own.model.decode(ids[: ends[0]].tolist())  # with nothing before it, its marker is the one put in front
     return ids, "".join(pieces)
@@ -338,7 +347,7 @@ def encode(docs: DataFrame, model_path: str, most: int = FREQUENT) -> DataFrame:
     coded = texts.mapInArrow(_coder(model_path, *sent), CODED)
     asked = coded.filter("first").select("doc_id", "same", F.posexplode("rare").alias("at", "chunk"))
     answered = asked.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_answerer(model_path), ANSWERED)
-    answers = answered.groupBy("doc_id", "same").agg(F.collect_list(F.struct("at", "ids")).alias("answers"))
+    answers = answered.groupBy("doc_id", "same").agg(F.collect_set(F.struct("at", "ids")).alias("answers"))
     answers = answers.withColumnsRenamed({"doc_id": "doc", "same": "text"})
     met = coded.select("doc_id", "same", "code").join(
         answers, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("same") == F.col("text")), "left"
