@@ -77,30 +77,92 @@ def new_only(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(known.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Plain rounds of settling clashes before chains of them are looked for.
+PLAIN_ROUNDS = 2
+
+
 def insert_ignore(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows an append may add under both unique keys of the item table.
 
     url_hash is unique everywhere, content_hash per source. Rows go in by id, and a row is
     skipped if it clashes with a stored row or with one that went in before it; a skipped row
-    stops no other. Each round settles the rows that are first under both of their keys and
-    what clashes with them, so rounds grow with the longest chain of clashes, not with the rows.
+    stops no other. A null key clashes with nothing. Rows alone under both keys go in at once; the
+    others are settled in rounds, whose number grows with the logarithm of a chain of clashes.
     """
     content = ["source_id", "content_hash"]
-    open_rows = new_only(new_only(rows, stored, ["url_hash"]), stored, content)
-    open_rows = materialize(open_rows, "offered")
-    added = None
+    offered = materialize(new_only(new_only(rows, stored, ["url_hash"]), stored, content), "offered")
+    marked = offered
+    for keys, flag in ((["url_hash"], "_u"), (content, "_c")):
+        many = offered.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+        marked = marked.join(many.select(*keys, F.lit(True).alias(flag)), keys, "left")
+    clashing = F.coalesce("_u", "_c").isNotNull()
+    marked = materialize(marked.select(*rows.columns, clashing.alias("_clashing")), "marked")
+    added = marked.filter(~F.col("_clashing")).drop("_clashing")
+    open_rows, rounds = marked.filter("_clashing").drop("_clashing"), 0
+    while not open_rows.isEmpty():
+        rounds += 1
+        placed = materialize(_placed(open_rows, content), "placed")
+        ids = placed.filter("doc_id = _first_u AND doc_id = _first_c").select("doc_id")
+        if rounds > PLAIN_ROUNDS:
+            ids = ids.unionByName(_chained(placed, ids))
+        first = materialize(open_rows.join(ids, "doc_id", "left_semi"), "added")
+        added = added.unionByName(first)
+        # A row behind one that only its own group can stop is out: either of them has taken the group.
+        left = placed.filter("doc_id <= _until_u AND doc_id <= _until_c").select(*rows.columns)
+        left = left.join(first.select("doc_id"), "doc_id", "left_anti").select(*rows.columns)
+        open_rows = materialize(new_only(new_only(left, first, ["url_hash"]), first, content), "offered")
+    return added
+
+
+def _placed(rows: DataFrame, content: list[str]) -> DataFrame:
+    """Open rows with the first row of both of their groups, and the row with which each group is taken for sure.
+
+    A row that is first in one group can be stopped by the other group alone. If it is, that group is
+    taken; if not, it takes it. ``_until`` is the first such row of a group.
+    """
+    never = F.lit(2**63 - 1)
+    keys = {"u": ["url_hash"], "c": content}
+    placed = rows
+    for side, own in keys.items():
+        first = rows.filter(F.col(own[-1]).isNotNull()).groupBy(*own).agg(F.min("doc_id").alias(f"_first_{side}"))
+        placed = placed.join(first, own, "left").withColumn(f"_first_{side}", F.coalesce(f"_first_{side}", "doc_id"))
+    for side, other in (("u", "c"), ("c", "u")):
+        own = keys[side]
+        taken = F.min(F.when(F.col("doc_id") == F.col(f"_first_{other}"), F.col("doc_id")))
+        until = placed.groupBy(*own).agg(taken.alias(f"_until_{side}"))
+        placed = placed.join(until, own, "left").withColumn(f"_until_{side}", F.coalesce(f"_until_{side}", never))
+    return placed
+
+
+def _chained(placed: DataFrame, first: DataFrame) -> DataFrame:
+    """Ids of the rows that go in because the row before them in a chain of clashes does not.
+
+    A row that is first in one group and second in the other is the opposite of the row before it. Such
+    pointers are doubled until they reach the start of their chain; where that goes in, every row at an
+    even distance does.
+    """
+    pointers = None
+    for side, other, own in (("u", "c", ["url_hash"]), ("c", "u", ["source_id", "content_hash"])):
+        pairs = (
+            placed.filter(F.col("doc_id") > F.col(f"_first_{side}"))
+            .groupBy(*own)
+            .agg(F.min("doc_id").alias("id"), F.min(f"_first_{side}").alias("root"))
+            .select("id", "root")
+        )
+        single = placed.filter(F.col("doc_id") == F.col(f"_first_{other}")).select(F.col("doc_id").alias("id"))
+        pairs = pairs.join(single, "id", "left_semi")
+        pointers = pairs if pointers is None else pointers.unionByName(pairs)
+    pointers = materialize(pointers.withColumn("steps", F.lit(1).cast("bigint")), "chains")
     while True:
-        first_url = open_rows.groupBy("url_hash").agg(F.min("doc_id").alias("_url"))
-        first_content = open_rows.groupBy(*content).agg(F.min("doc_id").alias("_content"))
-        ranked = open_rows.join(first_url, "url_hash").join(first_content, content)
-        first = materialize(
-            ranked.filter("doc_id = _url AND doc_id = _content").select(*rows.columns), "added"
+        further = pointers.select(F.col("id").alias("root"), F.col("root").alias("_root"), F.col("steps").alias("_steps"))
+        moved = materialize(pointers.join(further, "root", "left"), "chains")
+        pointers = moved.select(
+            "id", F.coalesce("_root", "root").alias("root"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")
         )
-        added = first if added is None else added.unionByName(first)
-        left = new_only(new_only(open_rows, first, ["url_hash"]), first, content)
-        open_rows = materialize(left.select(*rows.columns), "offered")
-        if open_rows.isEmpty():
-            return added
+        if moved.filter("_root IS NOT NULL").isEmpty():
+            break
+    started = pointers.join(first.select(F.col("doc_id").alias("root")), "root", "left_semi")
+    return started.filter("steps % 2 = 0").select(F.col("id").alias("doc_id"))
 
 
 def build_rows(candidates: DataFrame) -> DataFrame:

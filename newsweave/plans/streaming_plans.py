@@ -5,33 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsweave.plans import views as V
-from newsweave.plans.corpus import Corpus
 from newsweave.plans.registry import CHECKS, plan
 from newsweave.plans import editorial_plans, ingest_plans, topic_plans  # noqa: F401  (their checks are reused below)
-from newsweave.sinks import ensure_checkpoint_dir
-from newsweave.streaming import jobs as J
-from newsweave.streaming.tables import BatchTable, read_table_stream, run_to_end
-
-
-class Streams(Corpus):
-    """The derived tables with every shared table read as a stream."""
-
-    def __init__(self, c: Corpus):
-        super().__init__(c.spark, c.dir)
-        ensure_checkpoint_dir(c.spark)
-
-    def table(self, name):
-        return read_table_stream(self.spark, self.dir, name)
-
-    def spread(self, name):
-        return self.table(name)
+from newsweave.sinks import materialize, work_path
+from newsweave.streaming import jobs as J, keyed as K
+from newsweave.streaming.tables import BatchTable, Landing, landed, run_to_end, slices_of
 
 
 @plan("stream_dedup", "SELECT DISTINCT url, etag FROM v_fetches")
 def stream_dedup(c):
-    s = Streams(c)
     sink = BatchTable(c.spark, "url STRING, etag BIGINT", name="dedup")
-    run_to_end(J.deduplicate(s.fetches.select("url", "etag", "ts"), ["url", "etag"], sink), c.spark)
+    run_to_end(J.deduplicate(landed(c.fetches.select("url", "etag", "ts"), "ts"), ["url", "etag"], sink), c.spark)
     return sink.read().drop("batch")
 
 
@@ -46,11 +30,10 @@ def stream_dedup(c):
     SELECT doc_id FROM n JOIN walk USING (step) WHERE kept""",
 )
 def stream_item_dedup(c):
-    s = Streams(c)
     schema = "doc_id BIGINT, url_hash STRING, source_id STRING, content_hash STRING"
     sink = BatchTable(c.spark, schema, name="items")
-    items = ingest_plans.hashed(s).select("doc_id", "url_hash", "source_id", "content_hash")
-    run_to_end(J.append_items(items, sink), c.spark)
+    items = materialize(ingest_plans.hashed(c).select("doc_id", "url_hash", "source_id", "content_hash"), "hashed")
+    run_to_end(J.append_items(landed(items, "doc_id"), sink), c.spark)
     return sink.read().select("doc_id")
 
 
@@ -59,11 +42,9 @@ def stream_item_dedup(c):
     f"""SELECT doc_id, source_id, item_s FROM v_timed WHERE fetched_s >= {V.NOW - 36 * 3600} AND fetched_s <= {V.NOW}""",
 )
 def stream_late_data(c):
-    s = Streams(c)
     sink = BatchTable(c.spark, "doc_id BIGINT, source_id STRING, item_s BIGINT", name="late")
-    items = J.valid_recent_items(
-        s.items.select("doc_id", "source_id", "fetched_at", "published_at"), c.now, 36
-    ).select("doc_id", "source_id", F.unix_timestamp("item_at").alias("item_s"))
+    arrived = landed(c.items.select("doc_id", "source_id", "fetched_at", "published_at"), "fetched_at")
+    items = J.valid_recent_items(arrived, c.now, 36).select("doc_id", "source_id", F.unix_timestamp("item_at").alias("item_s"))
     run_to_end(items.writeStream.foreachBatch(sink.write), c.spark)
     return sink.read().drop("batch")
 
@@ -75,18 +56,15 @@ def stream_late_data(c):
     GROUP BY 1, 2""",
 )
 def stream_velocity(c):
-    s = Streams(c)
     sink = BatchTable(c.spark, "user_id BIGINT, start_s BIGINT, n BIGINT", name="velocity")
-    run_to_end(J.sliding_counts(s.events.select("user_id", "ts"), "user_id", sink), c.spark)
+    run_to_end(J.sliding_counts(landed(c.events.select("user_id", "ts"), "ts"), "user_id", sink), c.spark)
     return sink.latest(["user_id", "start_s"])
 
 
 @plan("stream_breaker")
 def stream_breaker(c):
-    s = Streams(c)
-    schema = "source_id BIGINT, failures BIGINT, last_failure_at TIMESTAMP, disabled_until TIMESTAMP"
-    sink = BatchTable(c.spark, schema, name="breaker")
-    run_to_end(J.track_breaker(s.attempts, sink), c.spark)
+    sink = BatchTable(c.spark, K.BREAKER, name="breaker")
+    run_to_end(J.track_breaker(landed(c.attempts, "ts"), sink), c.spark)
     return sink.latest(["source_id"]).select(
         "source_id", "failures", F.unix_timestamp("disabled_until").alias("disabled_until_s")
     )
@@ -94,13 +72,8 @@ def stream_breaker(c):
 
 @plan("stream_changes")
 def stream_changes(c):
-    s = Streams(c)
-    schema = (
-        "url STRING, n_fetches BIGINT, n_unchanged BIGINT, last_changed_at TIMESTAMP, "
-        "last_etag BIGINT, last_seen_at TIMESTAMP, last_event BIGINT"
-    )
-    sink = BatchTable(c.spark, schema, name="changes")
-    run_to_end(J.track_changes(s.fetches, sink), c.spark)
+    sink = BatchTable(c.spark, K.CHANGES, name="changes")
+    run_to_end(J.track_changes(landed(c.fetches, "ts"), sink), c.spark)
     return sink.latest(["url"]).select(
         "url", "n_fetches", "n_unchanged",
         F.unix_timestamp("last_changed_at").alias("last_changed_s"), "last_etag",
@@ -109,14 +82,18 @@ def stream_changes(c):
 
 @plan("stream_reviews")
 def stream_reviews(c):
-    s = Streams(c)
-    queue = c.reviews.withColumn("article_id", F.col("article_id").cast("string"))
-    sink = BatchTable(
-        c.spark, "article_id STRING, decision STRING, decided_at TIMESTAMP", name="reviews"
+    """The log ends with a tick of the clock, which belongs to no article and lets the timers run until then."""
+    sink = BatchTable(c.spark, K.REVIEWS, name="reviews")
+    log = K.review_events(c.reviews, c.decisions, "desk")
+    tick = c.spark.range(1).select(
+        F.lit("").alias("article_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("tick").alias("decision"),
+        (c.now + F.expr("INTERVAL 1 SECOND")).alias("ts"),
+    )
+    known = log.filter(F.col("ts") <= c.now).join(
+        c.reviews.select(F.col("article_id").cast("string").alias("article_id")), "article_id", "left_semi"
     )
-    presses = s.decisions.select("event_id", "payload", "chat_id", "ts")
-    run_to_end(J.settle_reviews(presses, queue, "desk", sink), c.spark)
-    return J.close_reviews(queue, sink, c.now).select(
+    run_to_end(J.settle_reviews(landed(known.select(*tick.columns).unionByName(tick), "ts"), sink), c.spark)
+    return sink.latest(["article_id"]).select(
         "article_id", "status", F.unix_timestamp("sent_at").alias("sent_s")
     )
 
@@ -127,12 +104,11 @@ def stream_reviews(c):
     LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'""",
 )
 def stream_results(c):
-    s = Streams(c)
     at = lambda turn: F.timestamp_seconds(
         F.lit(1704067200) + F.col("conv_id") * 600 + turn * 60
     )
     key = lambda turn: F.concat_ws("-", F.col("conv_id"), turn)
-    turns = lambda role: s.table("conversations").filter(F.col("role") == role)
+    turns = lambda role: c.table("conversations").filter(F.col("role") == role)
     asked = turns("user").select(
         key(F.col("turn")).alias("request_id"), at(F.col("turn")).alias("asked_at"),
         "conv_id", "turn", F.length("text").cast("bigint").alias("n_asked"),
@@ -144,7 +120,7 @@ def stream_results(c):
     sink = BatchTable(
         c.spark, "conv_id BIGINT, turn BIGINT, n_asked BIGINT, n_answered BIGINT", name="results"
     )
-    matched = J.match_responses(asked, answered).select("conv_id", "turn", "n_asked", "n_answered")
+    matched = J.match_responses(landed(asked, "asked_at"), landed(answered, "answered_at")).select("conv_id", "turn", "n_asked", "n_answered")
     run_to_end(matched.writeStream.foreachBatch(sink.write), c.spark)
     # Requests whose time is over come out of the stream with nulls; the last ones are still
     # open when the log ends. Both are unanswered.
@@ -157,13 +133,38 @@ def stream_results(c):
 
 @plan("stream_topics")
 def stream_topics(c):
-    s = Streams(c)
     tables = J.TopicTables(c.spark)
-    items = s.timed.select("doc_id", "title", "content", "item_at")
-    run_to_end(J.assign_topics(items, tables), c.spark)
+    items = c.timed.select("doc_id", "title", "content", "item_at")
+    run_to_end(J.assign_topics(landed(items, "item_at", 1), tables), c.spark)
     return tables.links.read().select("doc_id", "topic_id", "similarity")
 
 
+@plan(
+    "stream_resume",
+    """WITH t AS (SELECT quantile_disc(epoch(ts), 0.5) AS half FROM v_attempts)
+    SELECT 1 AS run, count(*) AS n_read, count(*) FILTER (WHERE NOT ok) AS n_applied FROM v_attempts, t WHERE epoch(ts) <= half
+    UNION ALL SELECT 2, 0, 0
+    UNION ALL SELECT 3, count(*), count(*) FILTER (WHERE NOT ok) FROM v_attempts, t WHERE epoch(ts) > half""",
+)
+def stream_resume(c):
+    """One stream, stopped and started again over the same checkpoint: half the log, nothing new, the other half.
+
+    What was read is remembered also where nothing of it was applied.
+    """
+    slices = slices_of(c.attempts, "ts", 2)
+    landing = Landing(c.spark, c.attempts.schema, c.attempts.count(), 2)
+    read = BatchTable(c.spark, "run BIGINT, event_id BIGINT, applied BOOLEAN", name="offsets-read")
+    offsets = work_path(c.spark, "offsets")
+    for run, part in enumerate([slices[0], None, slices[1] if len(slices) > 1 else None], 1):
+        if part is not None:
+            landing.put(part)
+        rows = landing.stream().select(F.lit(run).cast("bigint").alias("run"), "event_id", (~F.col("ok")).alias("applied"))
+        run_to_end(rows.writeStream.foreachBatch(read.write), c.spark, offsets)
+    counted = read.read().groupBy("run").agg(F.count("*").alias("n_read"), F.count_if("applied").alias("n_applied"))
+    runs = c.spark.range(1, 4).withColumnRenamed("id", "run")
+    return runs.join(counted, "run", "left").na.fill(0)
+
+
 # A stream that has seen everything must agree with the batch job on the same rows.
 for stream, batch in (
     ("stream_breaker", "breaker_replay"),

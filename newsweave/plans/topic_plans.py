@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsweave import params as P
 from newsweave.functions.times import round_half_up
-from newsweave.operators import topics as TP, vectors as VC
+from newsweave.operators import moving, topics as TP, vectors as VC
 from newsweave.plans import views as V
 from newsweave.plans.registry import plan
 from newsweave.plans.text_plans import BODY, LIVE_SQL, MULTI_SQL, STEM_SQL, STOP_SQL
@@ -449,3 +449,45 @@ def merge_topics(c):
     v = Vectors(c)
     fresh = c.links.join(v.known_links.select("topic_id").distinct(), "topic_id", "left_anti")
     return TP.merge_topics(v.topic_nodes(fresh), v.topic_nodes())
+
+
+# The loop itself: item after item against every topic as it stands, stored topics counting as members of their size.
+_MEAN_TEXT = "floor(CAST(list_sum(list_transform(range(1, len(js) + 1), lambda i: CASE WHEN home[js[i]] = t THEN ds[i] ELSE 0 END)) AS DOUBLE) / {size} / 1e10 + 0.5) / 1e6"
+_SIZE_OF = "list_sum(list_transform(range(1, p), lambda q: CASE WHEN home[q] = t THEN al.weights[q] ELSE 0 END))"
+_NAMES_OF = "list_distinct(flatten(list_transform(list_filter(range(1, p), lambda q: home[q] = t), lambda q: al.names[q])))"
+
+
+@plan(
+    "moving_topics",
+    f"""WITH RECURSIVE sizes AS (SELECT topic_id, count(*) AS size FROM v_known_links GROUP BY 1),
+    st AS MATERIALIZED (SELECT topic_id, size, coalesce(names, []) AS names, row_number() OVER (ORDER BY start_s, topic_id) AS p
+      FROM v_topic_start JOIN sizes USING (topic_id) LEFT JOIN v_topic_names USING (topic_id) WHERE topic_id IN (SELECT topic_id FROM v_topic_unit)),
+    nw AS MATERIALIZED (SELECT doc_id, coalesce(names, []) AS names, (SELECT count(*) FROM st) + row_number() OVER (ORDER BY item_s, doc_id) AS p
+      FROM v_new JOIN v_timed USING (doc_id) LEFT JOIN v_names USING (doc_id)),
+    nu AS MATERIALIZED (SELECT p, term, w FROM v_unit JOIN nw USING (doc_id)),
+    dots AS (SELECT x.p AS a, y.p AS b, sum(x.w::HUGEINT * y.w) AS dot, 1 AS weight FROM nu x JOIN nu y ON x.term = y.term AND y.p < x.p GROUP BY 1, 2
+      UNION ALL SELECT x.p, st.p, sum(x.w::HUGEINT * c.w) * any_value(size), any_value(size) FROM nu x JOIN v_topic_unit c USING (term) JOIN st USING (topic_id) GROUP BY 1, 2),
+    asks AS MATERIALIZED (SELECT a AS p, list(b) AS js, list(dot) AS ds, list(b) FILTER (WHERE dot >= 1.8e15 * weight) AS near FROM dots GROUP BY 1),
+    al AS MATERIALIZED (SELECT list(weight ORDER BY p) AS weights, list(names ORDER BY p) AS names
+      FROM (SELECT p, size AS weight, names FROM st UNION ALL SELECT p, 1, names FROM nw)),
+    walk(p, home, sims) AS (
+      SELECT (SELECT count(*) FROM st), (SELECT coalesce(list(p ORDER BY p), []) FROM st), (SELECT coalesce(list(1.0::DOUBLE), []) FROM st)
+      UNION ALL
+      SELECT p, list_append(home, CASE WHEN best.s >= 0.38 THEN -best.m ELSE p END), list_append(sims, CASE WHEN best.s >= 0.38 THEN best.s ELSE 1.0 END) FROM (
+        SELECT p, home, sims, list_aggregate(list_transform(list_filter(scored, lambda x: x.text >= 0.19),
+          lambda x: {{'s': floor((x.text * 0.8 + x.overlap * 0.2) * 1000000 + 0.5) / 1000000, 'm': -x.t}}), 'max') AS best FROM (
+          SELECT p, home, sims, list_transform(near_topics, lambda t: {{'t': t, 'text': {_MEAN_TEXT.format(size=_SIZE_OF)},
+            'overlap': {_overlap("al.names[p]", _NAMES_OF)}}}) AS scored FROM (
+            SELECT w.p + 1 AS p, w.home, w.sims, asks.js, asks.ds,
+              list_distinct(list_transform(coalesce(asks.near, []), lambda j: w.home[j])) AS near_topics
+            FROM walk w JOIN nw ON nw.p = w.p + 1 LEFT JOIN asks ON asks.p = w.p + 1), al))),
+    done AS MATERIALIZED (SELECT home, sims FROM walk ORDER BY p DESC LIMIT 1),
+    placed AS (SELECT nw.doc_id, nw.p, done.home[nw.p] AS h, done.sims[nw.p] AS similarity FROM nw, done)
+    SELECT placed.doc_id, coalesce(st.topic_id, opener.doc_id) AS topic_id, similarity, st.topic_id IS NULL AS is_new
+    FROM placed LEFT JOIN st ON st.p = h LEFT JOIN nw opener ON opener.p = h""",
+)
+def moving_topics(c):
+    """New items against the known topics and each other, every mean moving with the items that join."""
+    v = Vectors(c)
+    sizes = v.known_links.groupBy(F.col("topic_id").alias("id")).agg(F.count("*").alias("size"))
+    return moving.group_items_moving(v.nodes(v.new), v.postings, v.topic_nodes().join(sizes, "id"))

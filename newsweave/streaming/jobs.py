@@ -10,8 +10,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from newsweave import params as P
 from newsweave.functions import times as T
-from newsweave.operators import ingest as I, lifecycle as L, topics as TP, vectors as VC
+from newsweave.operators import ingest as I, topics as TP, vectors as VC
 from newsweave.sinks import materialize
+from newsweave.streaming import keyed as K
 from newsweave.streaming.tables import BatchTable
 
 
@@ -70,112 +71,22 @@ def sliding_counts(stream: DataFrame, key: str, sink: BatchTable) -> DataStreamW
 
 
 def track_breaker(
-    stream: DataFrame, sink: BatchTable, breaker: P.BreakerParams = P.BreakerParams()
+    stream: DataFrame, sink: BatchTable, breaker: P.BreakerParams = P.BreakerParams(), lateness: str = "2 hours"
 ) -> DataStreamWriter:
-    """Consecutive failures per source across batches.
-
-    A batch is first reduced to one row per source: the failures after its last
-    success, or all of them when it had none and the stored run goes on.
-    """
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        state = I.breaker_state(batch, breaker).select("source_id", "failures")
-        seen = batch.groupBy("source_id").agg(
-            F.max("ok").alias("recovered"),
-            F.max(F.when(~F.col("ok"), F.col("ts"))).alias("last_failure_at"),
-        )
-        before = sink.latest(["source_id"], batch_id).select(
-            "source_id", F.col("failures").alias("stored"), F.col("last_failure_at").alias("stored_at")
-        )
-        carried = F.when(F.col("recovered"), F.lit(0)).otherwise(F.coalesce("stored", F.lit(0)))
-        failures = F.col("failures") + carried
-        merged = state.join(seen, "source_id").join(before, "source_id", "left")
-        last = F.greatest("last_failure_at", "stored_at")
-        off = last + F.expr(f"INTERVAL {breaker.disable_hours} HOURS")
-        sink.write(
-            merged.select(
-                "source_id",
-                failures.alias("failures"),
-                last.alias("last_failure_at"),
-                F.when(failures >= breaker.max_failures, off).alias("disabled_until"),
-            ),
-            batch_id,
-        )
-
-    return stream.writeStream.foreachBatch(merge)
-
-
-def track_changes(stream: DataFrame, sink: BatchTable) -> DataStreamWriter:
-    """Per address the last version seen and when it last changed, across batches."""
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = sink.latest(["url"], batch_id)
-        # The stored version takes part as the address's earliest fetch.
-        old = stored.select(
-            "url", F.col("last_etag").alias("etag"), F.col("last_seen_at").alias("ts"),
-            F.col("last_event").alias("event_id"), F.lit(True).alias("stored"),
-        )
-        now = batch.select("url", "etag", "ts", "event_id", F.lit(False).alias("stored"))
-        compared = I.with_previous(now.unionByName(old), "url", "etag")
-        same = F.col("previous").isNotNull() & (F.col("previous") == F.col("etag"))
-        fresh = ~F.col("stored")
-        rows = compared.groupBy("url").agg(
-            F.count_if(fresh).alias("n_fetches"),
-            F.count_if(fresh & same).alias("n_unchanged"),
-            F.max(F.when(fresh & ~same, F.col("ts"))).alias("changed_at"),
-            F.max_by("etag", F.struct("ts", "event_id")).alias("last_etag"),
-            F.max("ts").alias("last_seen_at"),
-            F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"),
-        )
-        before = stored.select(
-            "url", F.col("n_fetches").alias("b_fetches"), F.col("n_unchanged").alias("b_unchanged"),
-            F.col("last_changed_at").alias("b_changed"),
-        )
-        zero = F.lit(0)
-        touched = rows.filter("n_fetches > 0").join(before, "url", "left")
-        sink.write(
-            touched.select(
-                "url",
-                (F.col("n_fetches") + F.coalesce("b_fetches", zero)).alias("n_fetches"),
-                (F.col("n_unchanged") + F.coalesce("b_unchanged", zero)).alias("n_unchanged"),
-                F.coalesce("changed_at", "b_changed").alias("last_changed_at"),
-                "last_etag", "last_seen_at", "last_event",
-            ),
-            batch_id,
-        )
-
-    return stream.writeStream.foreachBatch(merge)
+    """Consecutive failures per source, from state that is kept by source; the newest batch of a source holds them."""
+    return K.breaker_runs(stream, breaker, lateness).writeStream.outputMode("update").foreachBatch(sink.write)
 
 
-def settle_reviews(
-    decisions: DataFrame, queue: DataFrame, chat_id: str, sink: BatchTable
+def track_changes(
+    stream: DataFrame, sink: BatchTable, idle_days: int = 90, lateness: str = "2 hours"
 ) -> DataStreamWriter:
-    """First valid decision per queued article; a later batch never replaces an earlier decision.
-
-    What was not decided within the time-out is found by closing the queue at a
-    given time (``close_reviews``).
-    """
-
-    def decide(batch: DataFrame, batch_id: int) -> None:
-        done = sink.read(batch_id).select("article_id")
-        waiting = queue.join(done, "article_id", "left_anti")
-        deadline = F.col("sent_at") + F.expr(f"INTERVAL {P.REVIEW_TIMEOUT_HOURS} HOURS")
-        in_time = (
-            L.parse_decisions(batch, chat_id)
-            .join(waiting, "article_id")
-            .filter((F.col("ts") >= F.col("sent_at")) & (F.col("ts") < deadline))
-        )
-        sink.write(L.first_decision(in_time), batch_id)
-
-    return decisions.writeStream.foreachBatch(decide)
+    """Per address the last version seen and when it last changed, from state that is kept by address."""
+    return K.change_states(stream, idle_days, lateness).writeStream.outputMode("update").foreachBatch(sink.write)
 
 
-def close_reviews(queue: DataFrame, sink: BatchTable, now: Column) -> DataFrame:
-    """Every queued article with its final state at ``now``."""
-    deadline = F.col("sent_at") + F.expr(f"INTERVAL {P.REVIEW_TIMEOUT_HOURS} HOURS")
-    settled = queue.join(sink.read().drop("batch"), "article_id", "left")
-    late = F.when(deadline <= now, "expired").otherwise("pending")
-    return settled.withColumn("status", F.coalesce("decision", late))
+def settle_reviews(log: DataFrame, sink: BatchTable, lateness: str = "0 seconds") -> DataStreamWriter:
+    """State of each review of a log (``keyed.review_events``); timers expire what nobody decided."""
+    return K.review_states(log, lateness=lateness).writeStream.outputMode("update").foreachBatch(sink.write)
 
 
 def match_responses(requests: DataFrame, responses: DataFrame, hours: int = 24) -> DataFrame:

@@ -49,6 +49,48 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, **options) ->
     return spark.readStream.schema(schema).options(**options).parquet(f"{folder}/{name}.parque[t]")
 
 
+def slices_of(frame: DataFrame, at: str, slices: int) -> list[DataFrame]:
+    """A log cut by time into so many parts, oldest first; rows without a time come first."""
+    moment = F.col(at).cast("timestamp").cast("double") if dict(frame.dtypes)[at].startswith("timestamp") else F.col(at).cast("double")
+    shares = [i / slices for i in range(1, slices)]
+    cuts = frame.agg(F.percentile_approx(moment, shares, 100_000).alias("cuts")).first()["cuts"] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    parts = []
+    for low, high in zip(bounds, bounds[1:]):
+        after = F.lit(True) if low is None else moment > low
+        until = F.lit(True) if high is None else moment <= high
+        parts.append(frame.filter((after & until) | (moment.isNull() if low is None else F.lit(False))))
+    return parts
+
+
+class Landing:
+    """A folder into which a log's files are put slice after slice, and the stream that reads it so.
+
+    Every slice is the same number of files and every batch of the stream takes that many, so batches
+    follow the log's time as they would if it was written while the stream ran.
+    """
+
+    def __init__(self, spark: SparkSession, schema, rows: int, slices: int, path: str | None = None):
+        self.spark, self.schema = spark, schema
+        self.path = path or work_path(spark, "landing")
+        # Small slices are one file: each file must have a row, or it isn't written.
+        self.files = spark.sparkContext.defaultParallelism if rows >= 100_000 * slices else 1
+
+    def put(self, part: DataFrame) -> None:
+        part.repartition(self.files).write.mode("append").parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(self.path)
+
+
+def landed(frame: DataFrame, at: str, slices: int = 4) -> DataFrame:
+    """A table as a stream of so many batches in order of ``at``."""
+    landing = Landing(frame.sparkSession, frame.schema, frame.count(), slices)
+    for part in slices_of(frame, at, slices):
+        landing.put(part)
+    return landing.stream()
+
+
 def run_to_end(writer: DataStreamWriter, spark: SparkSession, checkpoint: str | None = None) -> None:
     """Process everything that is there now, then stop.
 

@@ -401,3 +401,40 @@ def test_response_types_and_both_panels(spark):
     assert out[1]["problems"] == ["bothSides.criticalLabel: izostaje", "bothSides.criticalText: izostaje"]
     assert set(out[2]["problems"]) == {"title: pogrešan tip", "sensitive: pogrešan tip", "keywords: pogrešan tip"}
     assert any("svedena na" in n for n in out[2]["repairs"]) and out[3]["problems"] == ["category: van spiska"]
+
+
+def one_after_the_other(rows_in):
+    urls, contents, kept = set(), set(), []
+    for doc, source, url, content in sorted(rows_in):
+        if (url is None or url not in urls) and (content is None or (source, content) not in contents):
+            urls.add(url)
+            contents.add((source, content))
+            kept.append(doc)
+    return kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_insert_ignore_equals_row_by_row(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    keys = 8 + seed * 20
+    rows_in = [
+        (i, rng.choice("ab"), f"u{rng.randrange(keys)}", None if rng.random() < 0.03 else f"c{rng.randrange(keys)}") for i in range(120)
+    ]
+    schema = "doc_id INT, source_id STRING, url_hash STRING, content_hash STRING"
+    offered = spark.createDataFrame(rows_in, schema)
+    found = I.insert_ignore(offered, offered.limit(0))
+    assert [r["doc_id"] for r in found.orderBy("doc_id").collect()] == one_after_the_other(rows_in)
+
+
+def test_a_long_chain_of_clashes_is_settled_in_few_rounds(spark, monkeypatch):
+    rows_in = [(i, "s", f"u{i // 2}", f"c{(i + 1) // 2}") for i in range(1000)]  # each row clashes with the next
+    rows_in += [(2000 + i, "t", f"x{i}", f"y{i}") for i in range(50)]  # clash with nothing
+    calls, plain = [], I._placed
+    monkeypatch.setattr(I, "_placed", lambda rows, keys: calls.append(rows.count()) or plain(rows, keys))
+    schema = "doc_id INT, source_id STRING, url_hash STRING, content_hash STRING"
+    offered = spark.createDataFrame(rows_in, schema)
+    found = I.insert_ignore(offered, offered.limit(0))
+    assert [r["doc_id"] for r in found.orderBy("doc_id").collect()] == one_after_the_other(rows_in)
+    assert len(calls) < 20 and max(calls) <= 1000

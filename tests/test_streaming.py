@@ -1,13 +1,14 @@
 """Streaming jobs over several micro-batches agree with the batch operators."""
 
 import os
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsweave.operators import ingest as I, lifecycle as L
 from newsweave.plans.corpus import Corpus
-from newsweave.streaming import jobs as J
+from newsweave.streaming import jobs as J, keyed as K
 from newsweave.streaming.tables import BatchTable, run_to_end
 
 SF = "/root/testdata/sf0.001"
@@ -18,13 +19,13 @@ def corpus(spark):
     return Corpus(spark, SF)
 
 
-def in_files(frame, folder, n, by):
+def in_files(frame, folder, n, by, sizes=None):
     """Write a table as n files in order of ``by`` and read it back one file per batch."""
     spark = frame.sparkSession
     ordered = frame.orderBy(by).collect()
-    size = -(-len(ordered) // n)
+    sizes = sizes or [-(-len(ordered) // n)] * n
     for i in range(n):
-        part = spark.createDataFrame(ordered[i * size : (i + 1) * size], frame.schema)
+        part = spark.createDataFrame(ordered[sum(sizes[:i]) : sum(sizes[: i + 1])], frame.schema)
         part.coalesce(1).write.mode("append").parquet(str(folder))
         for name in os.listdir(folder):  # the file source takes older files first
             if name.endswith(".parquet") and not name.startswith("b"):
@@ -38,31 +39,81 @@ def as_set(frame):
 
 
 def test_breaker(spark, corpus, tmp_path):
-    schema = "source_id BIGINT, failures BIGINT, last_failure_at TIMESTAMP, disabled_until TIMESTAMP"
-    sink = BatchTable(spark, schema)
+    sink = BatchTable(spark, K.BREAKER)
     run_to_end(J.track_breaker(in_files(corpus.attempts, tmp_path / "in", 4, "ts"), sink), spark)
     columns = ("source_id", "failures", "disabled_until")
     assert sink.read().select("batch").distinct().count() >= 4
     assert as_set(sink.latest(["source_id"]).select(*columns)) == as_set(I.breaker_state(corpus.attempts).select(*columns))
 
 
+def attempts(spark, rows):
+    frame = spark.createDataFrame(rows, "at INT, source_id BIGINT, event_id BIGINT, ok BOOLEAN, minute INT")
+    return frame.withColumn("ts", F.expr("TIMESTAMP '2026-09-01 10:00:00'") + F.make_interval(mins="minute")).drop("minute")
+
+
+def test_late_attempts_take_their_place_and_timers_enable_again(spark, tmp_path):
+    rows = [
+        (1, 7, 1, False, 0), (1, 7, 2, False, 10), (1, 7, 3, False, 20),  # off until 16:20
+        (1, 8, 4, False, 0), (1, 8, 5, False, 30), (1, 8, 6, True, 40),
+        (2, 8, 7, False, 35),  # came late, before the stored success: says nothing
+        (2, 9, 8, False, 30), (2, 9, 9, False, 50),
+        (3, 9, 10, True, 40),  # a late success between two failures
+        (4, 5, 11, True, 60 * 12),  # the clock goes on
+        (5, 5, 12, True, 60 * 12 + 1),
+    ]
+    sink = BatchTable(spark, K.BREAKER)
+    stream = in_files(attempts(spark, rows), tmp_path / "in", 5, "at", [6, 3, 1, 1, 1]).drop("at")
+    run_to_end(J.track_breaker(stream, sink), spark)
+    seen = [(r["batch"], r["source_id"], r["failures"], r["enabled"]) for r in sink.read().orderBy("batch").collect()]
+    last = {r["source_id"]: r for r in sink.latest(["source_id"]).collect()}
+    assert {k: r["failures"] for k, r in last.items()} == {5: 0, 7: 3, 8: 0, 9: 1}
+    assert [e for _, s, _, e in seen if s == 7] == [False, True]  # off, then enabled by the timer
+    assert last[7]["disabled_until"] == last[7]["last_failure_at"] + timedelta(hours=6)
+
+
 def test_changes(spark, corpus, tmp_path):
-    schema = ("url STRING, n_fetches BIGINT, n_unchanged BIGINT, last_changed_at TIMESTAMP, "
-              "last_etag BIGINT, last_seen_at TIMESTAMP, last_event BIGINT")
-    sink = BatchTable(spark, schema)
+    sink = BatchTable(spark, K.CHANGES)
     run_to_end(J.track_changes(in_files(corpus.fetches, tmp_path / "in", 3, "ts"), sink), spark)
     columns = ("url", "n_fetches", "n_unchanged", "last_changed_at", "last_etag")
     assert as_set(sink.latest(["url"]).select(*columns)) == as_set(I.fetch_changes(corpus.fetches).select(*columns))
 
 
+def test_a_late_fetch_counts_where_it_belongs_and_idle_addresses_are_forgotten(spark, tmp_path):
+    rows = [(1, "u", 1, 5, 0), (1, "u", 2, 6, 20), (2, "u", 3, 6, 10), (2, "v", 4, None, 11), (3, "v", 5, None, 30), (4, "w", 6, 1, 60 * 24 * 3), (5, "w", 7, 1, 60 * 24 * 3 + 1)]
+    frame = spark.createDataFrame(rows, "at INT, url STRING, event_id BIGINT, etag BIGINT, minute INT")
+    fetches = frame.withColumn("ts", F.expr("TIMESTAMP '2026-09-01 10:00:00'") + F.make_interval(mins="minute")).drop("minute")
+    sink = BatchTable(spark, K.CHANGES)
+    run_to_end(J.track_changes(in_files(fetches, tmp_path / "in", 5, "at", [2, 2, 1, 1, 1]).drop("at"), sink, idle_days=2), spark)
+    columns = ("url", "n_fetches", "n_unchanged", "last_changed_at", "last_etag")
+    latest = sink.latest(["url"])
+    assert as_set(latest.select(*columns)) == as_set(I.fetch_changes(fetches.drop("at")).select(*columns))
+    assert {r["url"] for r in latest.filter("idle").collect()} == {"u", "v"}
+
+
 def test_reviews(spark, corpus, tmp_path):
     queue = corpus.reviews.withColumn("article_id", F.col("article_id").cast("string")).cache()
     presses = corpus.decisions.select("event_id", "payload", "chat_id", "ts")
-    sink = BatchTable(spark, "article_id STRING, decision STRING, decided_at TIMESTAMP")
-    run_to_end(J.settle_reviews(in_files(presses, tmp_path / "in", 3, "ts"), queue, "desk", sink), spark)
-    closed = J.close_reviews(queue, sink, corpus.now).select("article_id", "status")
+    log = K.review_events(queue, presses, "desk").join(queue.select("article_id"), "article_id", "left_semi")
+    log = log.filter(F.col("ts") <= corpus.now).select("article_id", "event_id", "decision", "ts")
+    tick = spark.range(1).select(F.lit("").alias("article_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("tick").alias("decision"), (corpus.now + F.expr("INTERVAL 1 SECOND")).alias("ts"))
+    sink = BatchTable(spark, K.REVIEWS)
+    run_to_end(J.settle_reviews(in_files(log.unionByName(tick), tmp_path / "in", 3, "ts"), sink), spark)
     settled = L.settle_reviews(queue, L.parse_decisions(presses, "desk"), corpus.now)
-    assert as_set(closed) == as_set(settled.select("article_id", "status"))
+    assert as_set(sink.latest(["article_id"]).select("article_id", "status")) == as_set(settled.select("article_id", "status"))
+
+
+def test_reviews_expire_by_timer_and_the_first_decision_stays(spark, tmp_path):
+    rows = [
+        (1, "a", -1, None, 0), (1, "b", -1, None, 0), (1, "c", 1, "approved", 5),  # c is pressed before it is known
+        (2, "c", -1, None, 3), (2, "a", 2, "rejected", 60), (2, "a", 3, "approved", 61),
+        (3, "a", 4, "approved", 70), (4, "d", -1, None, 300), (5, "d", 5, "approved", 301), (6, "b", 6, "approved", 302), (7, "x", 7, "approved", 900),
+    ]
+    frame = spark.createDataFrame(rows, "at INT, article_id STRING, event_id BIGINT, decision STRING, minute INT")
+    log = frame.withColumn("ts", F.expr("TIMESTAMP '2026-09-01 10:00:00'") + F.make_interval(mins="minute")).drop("minute")
+    sink = BatchTable(spark, K.REVIEWS)
+    run_to_end(J.settle_reviews(in_files(log, tmp_path / "in", 7, "at", [3, 3, 1, 1, 1, 1, 1]).drop("at"), sink, "10 minutes"), spark)
+    final = {r["article_id"]: r["status"] for r in sink.latest(["article_id"]).collect()}
+    assert final == {"a": "rejected", "b": "expired", "c": "approved", "d": "approved"}
 
 
 def test_each_key_is_stored_once_over_batches(spark, corpus, tmp_path):
@@ -112,7 +163,7 @@ def test_topics_over_batches(spark, tmp_path):
 
 
 def test_a_stopped_stream_goes_on_where_it_was(spark, corpus, tmp_path):
-    schema = "source_id BIGINT, failures BIGINT, last_failure_at TIMESTAMP, disabled_until TIMESTAMP"
+    schema = K.BREAKER
     source, table, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
     early = corpus.attempts.filter("ts < TIMESTAMP '2024-01-15'")
     run_to_end(J.track_breaker(in_files(early, source, 2, "ts"), BatchTable(spark, schema, table)), spark, checkpoint)
