@@ -115,27 +115,30 @@ def _graph_of(node: Column) -> Column:
     )
 
 
-def _opened(node: Column, depth: int) -> Column:
-    """A node followed by the nodes of its graph."""
-    if depth == 0:
-        return F.array(node)
-    inner = F.transform(_graph_of(node), lambda n: _opened(n, depth - 1))
-    return F.concat(F.array(node), F.flatten(inner))
+def jsonld_nodes(html: Column) -> Column:
+    """All linked-data nodes of a page: lists flattened, each node followed by the nodes of its graph.
 
-
-def deepest_graph(pages: DataFrame) -> int:
-    """How deep graphs can be nested in the linked data of any page; one filtered pass over the pages."""
-    nested = pages.filter(F.col("html").contains('"@graph"'))
-    return nested.agg(F.max(F.regexp_count("html", F.lit('"@graph"')))).first()[0] or 0
-
-
-def jsonld_nodes(html: Column, depth: int = 2) -> Column:
-    """All linked-data nodes of a page, nested lists and up to ``depth`` nested graphs flattened in order."""
+    A page is opened one level a step, as many steps as it spells a graph. The expression is of one
+    size, whatever the pages hold, and a deeply nested page costs only its own row.
+    """
     nodes = F.flatten(
         F.transform(jsonld_scripts(html), lambda s: _as_list(F.try_parse_json(s)))
     )
     nodes = F.flatten(F.transform(nodes, _as_list))
-    return F.flatten(F.transform(nodes, lambda n: _opened(n, depth)))
+    entry = lambda node, closed: F.struct(node.alias("node"), F.lit(closed).alias("closed"))
+
+    def opened(s: Column) -> Column:
+        inner = F.transform(_graph_of(s["node"]), lambda n: entry(n, False))
+        return F.when(s["closed"], F.array(s)).otherwise(F.concat(F.array(entry(s["node"], True)), inner))
+
+    depth = F.regexp_count(html, F.lit('"@graph"'))
+    steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    found = F.aggregate(
+        steps,
+        F.transform(nodes, lambda n: entry(n, False)),
+        lambda acc, _: F.flatten(F.transform(acc, opened)),
+    )
+    return F.transform(found, lambda s: s["node"])
 
 
 def _text_of(node: Column, key: str) -> Column:

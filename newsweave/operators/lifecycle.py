@@ -314,27 +314,41 @@ def detach_articles(articles: DataFrame, topics: DataFrame) -> DataFrame:
     ).drop("_alive")
 
 
-def rule_violations(name: str, bad: DataFrame) -> DataFrame:
-    return bad.agg(F.count("*").alias("n_violations")).select(F.lit(name).alias("rule"), "n_violations")
+def not_in(column: str, allowed: tuple[str, ...]) -> Column:
+    """Rule broken by rows whose value is missing or none of those allowed."""
+    return F.col(column).isNull() | ~F.col(column).isin(*allowed)
 
 
-def not_in(rows: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
-    return rows.filter(F.col(column).isNull() | ~F.col(column).isin(*allowed))
+def violations(rows: DataFrame, broken: dict[str, Column], unique: dict[str, list[str]] | None = None) -> DataFrame:
+    """(rule, n_violations) of all rules of one table, from one pass over it.
 
-
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).count().filter("count > 1")
-
-
-def orphans(rows: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    return rows.join(parent.select(key).distinct(), key, "left_anti")
-
-
-def quality_report(rules: dict[str, DataFrame]) -> DataFrame:
-    report = None
-    for name, bad in rules.items():
-        row = rule_violations(name, bad)
-        report = row if report is None else report.unionByName(row)
+    ``broken`` names conditions that no row may meet, ``unique`` keys that no two rows may share; each
+    shared key counts once. A row gives one entry per broken rule and one per key, and one aggregate
+    counts them all. Rows with a null in a key share it with others that have the same nulls.
+    """
+    unique = unique or {}
+    entry = lambda rule, key: F.struct(F.lit(rule).alias("rule"), key.alias("key"))
+    none = F.lit(None).cast("string")
+    entries = [F.when(condition, entry(rule, none)) for rule, condition in broken.items()]
+    entries += [entry(rule, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})) for rule, keys in unique.items()]
+    found = rows.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    counted = found.groupBy("rule", "key").agg(F.count("*").alias("n"))
+    shared = F.when(F.col("n") > 1, 1).otherwise(0)
+    totals = counted.groupBy("rule").agg(F.sum(F.when(F.col("rule").isin(*unique), shared).otherwise(F.col("n"))).alias("n"))
+    rules = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(r) for r in [*broken, *unique]])).alias("rule"))
+    return rules.join(totals, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_violations"))
+
+
+def orphans(rule: str, rows: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """(rule, n_violations): rows whose key the parent table doesn't have."""
+    bad = rows.select(key).join(parent.select(key), key, "left_anti")
+    return bad.agg(F.count("*").alias("n_violations")).select(F.lit(rule).alias("rule"), "n_violations")
+
+
+def quality_report(parts: list[DataFrame]) -> DataFrame:
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
     return report
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from newsweave import params as P
-from newsweave.functions import text as X
+from newsweave.functions import text as X, urls as U
 from newsweave.functions.times import round_half_up
 from newsweave.operators import ingest as I, lifecycle as L, material as M, scoring as SC, topics as TP
-from newsweave.operators import vectors as VC
+from newsweave.operators import retention as R, vectors as VC
 from newsweave.plans import views as V
 from newsweave.plans.ingest_plans import hashed
 from newsweave.plans.registry import plan
 from newsweave.plans.topic_plans import Vectors
-from newsweave.sinks import materialize
+from newsweave.sinks import materialize, work_path
 
 HOUR = 3600
 seconds = F.unix_timestamp
@@ -581,6 +583,46 @@ def retention_sweep(c):
     )
 
 
+SWEPT_AT = V.NOW + 7 * HOUR
+
+
+def _swept(name: str, rows: str, at: str, days: int) -> str:
+    day = f"date_trunc('day', make_timestamp(CAST({at} AS BIGINT) * 1000000))"
+    edge = SWEPT_AT - days * V.DAY
+    first = edge // V.DAY * V.DAY
+    return f"""SELECT '{name}' AS table_name, strftime({day}, '%Y-%m-%d') AS day, count(*) AS n_before,
+      count(*) FILTER (WHERE {at} >= {edge}) AS n_after, min({at}) >= {edge} AS same_files,
+      CASE WHEN max({at}) < {first} THEN 'dropped' WHEN min({at}) < {edge} THEN 'rewritten' ELSE 'kept' END AS what FROM {rows} GROUP BY 1, 2"""
+
+
+@plan(
+    "retention_delete",
+    _swept("items", "v_items", "fetched_s", 10) + " UNION ALL " + _swept("runs", "(SELECT floor(epoch(ts)) AS at_s FROM events)", "at_s", 30),
+)
+def retention_delete(c):
+    """Two tables laid out by day and swept; files of the days that stay are the files that were there."""
+    now = datetime(1970, 1, 1) + timedelta(seconds=SWEPT_AT)
+    tables = {
+        "items": (c.items.select("doc_id", "source_id", "url", "title", "fetched_at"), "fetched_at", 10),
+        "runs": (c.events.select("event_id", "user_id", F.date_trunc("second", "ts").alias("ts")), "ts", 30),
+    }
+    parts = []
+    for name, (rows, at, days) in tables.items():
+        path = work_path(c.spark, f"by-day-{name}")
+        R.write_by_day(rows, at, path)
+        before = materialize(R.day_files(c.spark, path, at), "files-before")
+        done = R.sweep(c.spark, path, at, now, days)
+        report = R.sweep_report(before, R.day_files(c.spark, path, at))
+        within = lambda days: F.col("day").isin(*days) if days else F.lit(False)
+        parts.append(
+            report.select(
+                F.lit(name).alias("table_name"), F.date_format("day", "yyyy-MM-dd").alias("day"), "n_before", "n_after", "same_files",
+                F.when(within(done["dropped"]), "dropped").when(within(done["rewritten"]), "rewritten").otherwise("kept").alias("what"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
 @plan(
     "retention_cascade",
     f"""WITH it AS (SELECT doc_id FROM v_items WHERE fetched_s >= {V.NOW - 10 * V.DAY}),
@@ -610,18 +652,17 @@ def retention_cascade(c):
     UNION ALL SELECT 'source id unique', count(*) FROM (SELECT source_id FROM v_sources GROUP BY 1 HAVING count(*) > 1)""",
 )
 def dq_report(c):
-    rows = hashed(c)
-    return L.quality_report(
-        {
-            "source angle": L.not_in(c.sources, "angle", P.ANGLES[:3]),
-            "item url unique": L.repeated(rows, ["url_hash"]),
-            "item content unique per source": L.repeated(rows, ["source_id", "content_hash"]),
-            "item publish time": c.items.filter(F.col("published_at").isNull()),
-            "article status": L.not_in(c.articles, "status", ("draft", "published", "rejected")),
-            "label has document": L.orphans(c.table("labels"), c.new, "doc_id"),
-            "source id unique": L.repeated(c.sources, ["source_id"]),
-        }
-    )
+    items = L.violations(
+        c.items.select(
+            "source_id", "published_at", U.url_fingerprint(U.canonical_url(F.col("url"))).alias("url_hash"),
+            X.content_fingerprint(F.col("title"), F.col("content")).alias("content_hash"),
+        ),
+        {"item publish time": F.col("published_at").isNull()},
+        {"item url unique": ["url_hash"], "item content unique per source": ["source_id", "content_hash"]},
+    )
+    sources = L.violations(c.sources, {"source angle": L.not_in("angle", P.ANGLES[:3])}, {"source id unique": ["source_id"]})
+    articles = L.violations(c.articles, {"article status": L.not_in("status", ("draft", "published", "rejected"))})
+    return L.quality_report([items, sources, articles, L.orphans("label has document", c.table("labels"), c.new, "doc_id")])
 
 
 # --- decisions --------------------------------------------------------------------------------------------

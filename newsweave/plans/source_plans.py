@@ -165,7 +165,7 @@ def jsonld_fields(c):
     pages = c.spread("documents").select(
         "doc_id", joined('<script type="application/ld+json">', safe, "</script>").alias("html")
     )
-    nodes = H.jsonld_nodes(F.col("html"), H.deepest_graph(pages))
+    nodes = H.jsonld_nodes(F.col("html"))
     found = pages.select("doc_id", nodes.alias("nodes"))
     return found.select(
         "doc_id", F.md5(H.article_body(F.col("nodes"))).alias("body_md5"), H.linked_date(F.col("nodes")).alias("published")

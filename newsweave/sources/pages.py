@@ -19,9 +19,7 @@ def extract_articles(
     then the known containers; the first with enough words is the text.
     """
     html, url = F.col("html"), F.col("url")
-    staged = pages.withColumn("_meta", H.meta_tags(html)).withColumn(
-        "_nodes", H.jsonld_nodes(html, H.deepest_graph(pages))
-    )
+    staged = pages.withColumn("_meta", H.meta_tags(html)).withColumn("_nodes", H.jsonld_nodes(html))
     metas, nodes = F.col("_meta"), F.col("_nodes")
     meta = lambda *names: H.meta_content(metas, names)
     chosen = H.choose_text(

@@ -1,6 +1,7 @@
 """Literal cases for the column functions."""
 
 import hashlib
+import json
 from datetime import datetime, timezone
 
 import pytest
@@ -337,3 +338,22 @@ def test_linked_data_is_opened_to_its_end(spark):
 def test_printed_date_is_found_behind_a_long_menu(value):
     page = "<p>" + "meni " * 4000 + "</p><p>Objavljeno: 05.09.2026. 10:00</p>"
     assert value(H.visible_publish_date, page, utc(2026, 9, 6)) is not None
+
+
+def test_a_deeply_nested_graph_costs_its_own_page_only(spark):
+    def page(depth):
+        node = json.dumps({"@type": "NewsArticle", "articleBody": WORDS, "datePublished": "2026-09-01"})
+        for i in range(depth):
+            node = f'{{"@graph": [{{"name": "n{i}"}}, {node}]}}'
+        return f'<script type="application/ld+json">{node}</script>'
+
+    def plan(frame):
+        return frame._jdf.queryExecution().analyzed().toString()
+
+    fields = lambda pages: pages.select("id", H.article_body(H.jsonld_nodes(F.col("html"))).alias("body"), H.linked_date(H.jsonld_nodes(F.col("html"))).alias("at"))
+    flat = spark.createDataFrame([(0, page(0)), (1, page(3)), (2, "<p>none</p>"), (3, None)], "id INT, html STRING")
+    deep = spark.createDataFrame([(0, page(0)), (1, page(3)), (2, "<p>none</p>"), (4, page(400))], "id INT, html STRING")
+    assert len(plan(fields(flat))) == len(plan(fields(deep)))
+    assert {r["id"]: (r["body"], r["at"]) for r in fields(deep).collect()} == {
+        0: (WORDS, "2026-09-01"), 1: (WORDS, "2026-09-01"), 2: ("", None), 4: (WORDS, "2026-09-01")}
+    assert {r["id"] for r in fields(flat).collect()} == {0, 1, 2, 3}
