@@ -269,16 +269,40 @@ def assign_to_topics(c):
 _LEVELS = [0.30, 0.38, 0.50, 0.62]
 
 
-@plan(
-    "threshold_sweep",
-    f"""WITH b AS (SELECT doc_id, max(similarity) AS best FROM v_pairs WHERE text_sim >= 0.15 AND similarity >= 0.3 GROUP BY 1),
-    j AS (SELECT t AS threshold, count(*) FILTER (WHERE best >= t) AS joined FROM b, (SELECT unnest([{', '.join(f'{t}::DOUBLE' for t in _LEVELS)}]) AS t) GROUP BY 1)
-    SELECT threshold, joined, (SELECT count(*) FROM v_new) - joined AS opened FROM j""",
-)
+
+
+def _sweep_sql() -> str:
+    """The loop at each threshold, over the pairs that count there."""
+    ctes, parts = [], []
+    for i, t in enumerate(_LEVELS):
+        ctes.append(
+            f"""s{i} AS MATERIALIZED (SELECT DISTINCT doc_id FROM sp WHERE text_sim >= {t / 2!r} AND similarity >= {t!r}),
+    e{i} AS MATERIALIZED (SELECT a, list(b) AS earlier, row_number() OVER (ORDER BY a_s, a) AS k FROM ip WHERE text_sim >= {t / 2!r} AND similarity >= {t!r}
+      AND a NOT IN (SELECT doc_id FROM s{i}) AND b NOT IN (SELECT doc_id FROM s{i}) GROUP BY a, a_s),
+    w{i}(k, followers) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+      SELECT e.k, CASE WHEN len(list_filter(e.earlier, lambda x: NOT list_contains(w.followers, x))) > 0 THEN list_append(w.followers, e.a) ELSE w.followers END
+      FROM w{i} w JOIN e{i} e ON e.k = w.k + 1)"""
+        )
+        parts.append(
+            f"""SELECT {t!r}::DOUBLE AS threshold, (SELECT count(*) FROM s{i}) AS joined_stored,
+      (SELECT len(followers) FROM w{i} ORDER BY k DESC LIMIT 1) AS joined_new,
+      (SELECT count(*) FROM v_new) - (SELECT count(*) FROM s{i}) - (SELECT len(followers) FROM w{i} ORDER BY k DESC LIMIT 1) AS opened"""
+        )
+    return f"""WITH RECURSIVE sp AS MATERIALIZED (SELECT doc_id, text_sim, similarity FROM v_pairs WHERE text_sim >= 0.15),
+    nu AS MATERIALIZED (SELECT u.* FROM v_unit u JOIN v_new USING (doc_id)),
+    ip AS MATERIALIZED (SELECT a, b, text_sim, floor((text_sim * 0.8 + entity_sim * 0.2) * 1000000 + 0.5) / 1000000 AS similarity, a_s FROM (
+      SELECT d.a, d.b, ta.item_s AS a_s, floor(dot / 1e10 + 0.5) / 1e6 AS text_sim, {_overlap('i.names', 't.names')} AS entity_sim
+      FROM (SELECT u.doc_id AS a, v.doc_id AS b, CAST(sum(u.w * v.w) AS BIGINT) AS dot FROM nu u JOIN nu v ON u.term = v.term AND u.doc_id <> v.doc_id GROUP BY 1, 2) d
+      JOIN v_timed ta ON ta.doc_id = d.a JOIN v_timed tb ON tb.doc_id = d.b LEFT JOIN v_names i ON i.doc_id = d.a LEFT JOIN v_names t ON t.doc_id = d.b
+      WHERE (tb.item_s, d.b) < (ta.item_s, d.a))),
+    {", ".join(ctes)}
+    {" UNION ALL ".join(parts)}"""
+
+
+@plan("threshold_sweep", _sweep_sql())
 def threshold_sweep(c):
     v = Vectors(c)
-    pairs = TP.item_topic_pairs(v.nodes(v.new), v.topic_nodes(), min(_LEVELS), 0.2)
-    return TP.threshold_sweep(pairs, v.new.agg(F.count("*").alias("n_items")), _LEVELS)
+    return TP.threshold_sweep(v.nodes(v.new), v.topic_nodes(), _LEVELS)
 
 
 # All items against all earlier items, then the sequential loop over the similar pairs.
