@@ -27,7 +27,7 @@ LEVELS, OUT_IDS = 8, 1 << 21
 COUNTS = "chunk string, n long"
 SEGMENTED = "chunk string, n long, ids binary, decoded string"
 CODED = "doc_id long, same long, first boolean, code string, rare array<string>"
-ANSWERED = "doc_id long, same long, at int, ids binary"
+ANSWERED = "named long, same long, at int, ids binary"
 ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
@@ -258,7 +258,7 @@ def _answerer(path: str):
                     last, known = chunk, next(segmented)
                 out.append(known)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["same"], batch["at"], pa.array(out, pa.binary())], names=["doc_id", "same", "at", "ids"]
+                [batch["named"], batch["same"], batch["at"], pa.array(out, pa.binary())], names=["named", "same", "at", "ids"]
             )
 
     return answer
@@ -345,11 +345,10 @@ def encode(docs: DataFrame, model_path: str, most: int = FREQUENT) -> DataFrame:
     texts = texts.select("doc_id", F.xxhash64("text").alias("same"), "text")
     sent = _send(docs.sparkSession, frequent_chunks(texts.select("text"), model_path, most), model_path)
     coded = texts.mapInArrow(_coder(model_path, *sent), CODED)
-    asked = coded.filter("first").select("doc_id", "same", F.posexplode("rare").alias("at", "chunk"))
+    # Equal texts have equal ids, so a null id may share answers with the one that stands for it here.
+    coded = coded.withColumn("named", F.coalesce("doc_id", F.lit(-(2**63))))
+    asked = coded.filter("first").select("named", "same", F.posexplode("rare").alias("at", "chunk"))
     answered = asked.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_answerer(model_path), ANSWERED)
-    answers = answered.groupBy("doc_id", "same").agg(F.collect_set(F.struct("at", "ids")).alias("answers"))
-    answers = answers.withColumnsRenamed({"doc_id": "doc", "same": "text"})
-    met = coded.select("doc_id", "same", "code").join(
-        answers, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("same") == F.col("text")), "left"
-    )
+    answers = answered.groupBy("named", "same").agg(F.collect_set(F.struct("at", "ids")).alias("answers"))
+    met = coded.select("doc_id", "named", "same", "code").join(answers, ["named", "same"], "left")
     return met.select("doc_id", "code", "answers").mapInArrow(_joiner(model_path, *sent), ENCODED)
