@@ -66,7 +66,7 @@ QUALITY = f"""WITH {_STATS},
     count(*) FILTER (WHERE NOT good) AS n_bad, count(*) FILTER (WHERE NOT good AND value > cutoff) AS k_bad FROM x GROUP BY 1, 2, 3, 4),
   p AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - (CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END)
     - (CASE WHEN n = j THEN 0 ELSE lgamma(n - j + 1) END) + j * ln({_ALPHA}) + (n - j) * ln(1 - {_ALPHA})))) AS p,
-    {quality.DELTA} / ((SELECT greatest(1, count(DISTINCT lang)) FROM n) * {len(quality.RULES)}) AS level FROM n),
+    {quality.DELTA} / ((SELECT greatest(1, count(*)) FROM (SELECT DISTINCT lang FROM n)) * {len(quality.RULES)}) AS level FROM n),
   o AS (SELECT *, bool_and(n > 0 AND p <= level) OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM p),
   h AS (SELECT lang, rule, min(cutoff) AS cutoff FROM o WHERE ok AND k_bad > 0 AND k_bad * n >= {quality.LIFT} * k * n_bad GROUP BY 1, 2),
   v AS (SELECT doc_id, bool_or(e.value > h.cutoff) AS rejected FROM (SELECT doc_id, lang, {_rules()} AS e FROM s) z

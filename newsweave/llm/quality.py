@@ -135,7 +135,8 @@ def choose_thresholds(
         F.count_if(~F.col("good")).alias("n_bad"),
         F.count_if(~F.col("good") & hit).alias("k_bad"),
     )
-    strata = F.greatest(F.count_distinct("stratum"), F.lit(1))
+    # In a struct null is counted as the stratum that it is.
+    strata = F.greatest(F.count_distinct(F.struct("stratum")), F.lit(1))
     shares = counts.agg((F.lit(delta) / (strata * len(rules))).alias("level"))
     graded = counts.crossJoin(F.broadcast(shares)).withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha / len(rules)))
     in_order = Window.partitionBy("stratum", "rule").orderBy("step")

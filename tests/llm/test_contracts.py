@@ -490,6 +490,24 @@ def test_cut_offs_need_evidence(spark):
     assert got == {("en", 1): True, ("en", 0): False, ("xx", 1): True, ("xx", 0): True}
 
 
+def test_a_null_stratum_counts_in_the_correction(spark):
+    """Good rows rejected in the only stratum: one more stratum, null or not, halves what its tests may spend."""
+    measure = [("rule", "CAST(x AS DOUBLE)", [5.0])]
+    rows = [(i, "en", 9 if i < 3 else 1, False) for i in range(900)] + [(1000 + i, "en", 9, False) for i in range(20)]
+    other = lambda name: [(2000 + i, name, 1, False) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1) for i in range(900)] + [(1000 + i, 0) for i in range(20)] + [(2000 + i, 1) for i in range(10)], "doc_id long, quality int")
+    schema = "doc_id long, stratum string, x int, base_failed boolean"
+    tail = spark.range(1).select(quality.binomial_tail(F.lit(3).cast("long"), F.lit(900).cast("long"), 0.01).alias("p")).first()["p"]
+
+    def cut(more, delta):
+        stats = spark.createDataFrame(rows + more, schema)
+        return quality.choose_thresholds(stats, labels, 0.01, delta, 1.0, measure).count()
+
+    assert cut([], tail * 1.5) == 1
+    assert cut(other("de"), tail * 1.5) == cut(other(None), tail * 1.5) == 0
+    assert cut(other("de"), tail * 2.5) == cut(other(None), tail * 2.5) == 1
+
+
 @pytest.mark.parametrize("sf, name", [(SF, n) for n in sorted(CHECKS)] + [("/root/testdata/sf0.1", "op10_quality_rules")])
 def test_query_equals_its_sql(spark, sf, name):
     import parity
