@@ -10,7 +10,7 @@ from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsweave.sinks import materialize
+from newsweave.sinks import child_folders, materialize, remove_folders
 
 DAY = "day"
 
@@ -35,14 +35,12 @@ def read_by_day(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 def day_folders(spark: SparkSession, path: str) -> dict[date | None, str]:
     """Folders of a table by their day, from a listing of its root; no file is opened."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     found: dict[date | None, str] = {}
-    for status in files.listStatus(root):
-        name = status.getPath().getName()
-        if status.isDirectory() and name.startswith(f"{DAY}="):
+    for folder in child_folders(spark, path):
+        name = folder.rpartition("/")[2]
+        if name.startswith(f"{DAY}="):
             value = name[len(DAY) + 1 :]
-            found[None if value.startswith("__HIVE") else date.fromisoformat(value)] = status.getPath().toString()
+            found[None if value.startswith("__HIVE") else date.fromisoformat(value)] = folder
     return found
 
 
@@ -56,7 +54,7 @@ def sweep(spark: SparkSession, path: str, at: str, now: datetime, days: int) ->
     limit = now.replace(tzinfo=timezone.utc) - timedelta(days=days)
     folders = day_folders(spark, path)
     over = sorted(d for d in folders if d is not None and d < limit.date())
-    _remove(spark, [folders[d] for d in over])
+    remove_folders(spark, [folders[d] for d in over])
     rewritten: list[date] = []
     boundary = limit.date()
     if boundary in folders:
@@ -66,18 +64,12 @@ def sweep(spark: SparkSession, path: str, at: str, now: datetime, days: int) ->
             kept = materialize(rows.filter(F.col(at) >= edge), "boundary-day")
             rewritten.append(boundary)
             if kept.isEmpty():
-                _remove(spark, [folders[boundary]])
+                remove_folders(spark, [folders[boundary]])
             else:
                 kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(path)
     return {"dropped": over, "rewritten": rewritten}
 
 
-def _remove(spark: SparkSession, folders: list[str]) -> None:
-    for folder in folders:
-        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def day_files(spark: SparkSession, path: str, at: str) -> DataFrame:
     """(day, file, n): rows of every file, for reports that compare a table before and after a sweep."""
     rows = read_by_day(spark, path, f"{at} TIMESTAMP").select(DAY, F.col("_metadata.file_name").alias("file"), F.col(at))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsweave import params as P
 from newsweave.plans import views as V
 from newsweave.plans.registry import CHECKS, plan
 from newsweave.plans import editorial_plans, ingest_plans, topic_plans  # noqa: F401  (their checks are reused below)
@@ -131,12 +132,59 @@ def stream_results(c):
     return requests.join(answers, ["conv_id", "turn"], "left")
 
 
-@plan("stream_topics")
+# Three batches by time; a topic is in play for twelve days after its last item.
+CUTS = [V.NOW - 20 * V.DAY, V.NOW - 9 * V.DAY]
+WINDOW_DAYS = 12
+
+
+def _stream_topics_sql() -> str:
+    """One run of the job per batch, its weights from its own items, against what the runs before it left."""
+    names = "SELECT topic_id, list_distinct(list(lower(entity))) AS names FROM v_top_entities JOIN {links} USING (doc_id) GROUP BY 1"
+    bounds = [None, *CUTS, None]
+    ctes = []
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        p = f"b{k}_"
+        after = "" if low is None else f" AND item_s >= {low}"
+        until = "" if high is None else f" AND item_s < {high}"
+        seen = "".join(f" UNION ALL SELECT topic_id, doc_id FROM b{j}_done" for j in range(k))
+        units = "".join(f" UNION ALL SELECT * FROM b{j}_unit" for j in range(k))
+        ctes.append(
+            f"""{p}now AS MATERIALIZED (SELECT max(item_s) - {WINDOW_DAYS * V.DAY} AS start_s FROM v_timed WHERE true{until}),
+    {p}fr AS MATERIALIZED (SELECT doc_id, item_s FROM v_timed, {p}now
+      WHERE item_s >= start_s{after}{until} AND length(title) >= 20 AND NOT {topic_plans.MULTI_SQL}),
+    {p}tf AS MATERIALIZED (SELECT v_tf.* FROM v_tf JOIN {p}fr USING (doc_id)),
+    {p}raw AS MATERIALIZED (SELECT doc_id, term, CAST(floor((1 + ln(tf)) * (ln(((SELECT greatest(1, count(*)) FROM {p}fr) + 1) / (df + 1)) + 1) * 100000 + 0.5) AS BIGINT) AS raw
+      FROM {p}tf JOIN (SELECT term, count(*) AS df FROM {p}tf GROUP BY 1) USING (term)),
+    {p}unit AS MATERIALIZED (SELECT r.doc_id, term, CAST(floor(raw * 100000000 / sqrt(ss) + 0.5) AS BIGINT) AS w
+      FROM {p}raw r JOIN (SELECT doc_id, CAST(sum(raw * raw) AS BIGINT) AS ss FROM {p}raw GROUP BY 1) n USING (doc_id)),
+    {p}seen AS MATERIALIZED (SELECT 0::BIGINT AS topic_id, 0::BIGINT AS doc_id WHERE false{seen}),
+    {p}units AS MATERIALIZED (SELECT 0::BIGINT AS doc_id, '' AS term, 0::BIGINT AS w WHERE false{units}),
+    {p}pool_start AS MATERIALIZED (SELECT topic_id, min(item_s) AS start_s FROM {p}seen JOIN v_timed USING (doc_id) GROUP BY 1
+      HAVING max(item_s) >= (SELECT start_s FROM {p}now)),
+    {p}links AS MATERIALIZED (SELECT * FROM {p}seen JOIN {p}pool_start USING (topic_id)),
+    {p}mean AS MATERIALIZED (SELECT topic_id, term, CAST(floor(sum(w) / any_value(size) + 0.5) AS BIGINT) AS raw FROM {p}units JOIN {p}links USING (doc_id)
+      JOIN (SELECT topic_id, count(*) AS size FROM {p}links GROUP BY 1) USING (topic_id) GROUP BY 1, 2 HAVING raw > 0),
+    {p}pool_unit AS MATERIALIZED (SELECT topic_id, term, CAST(floor(raw * 100000000 / sqrt(ss) + 0.5) AS BIGINT) AS w
+      FROM {p}mean JOIN (SELECT topic_id, CAST(sum(raw * raw) AS BIGINT) AS ss FROM {p}mean GROUP BY 1) USING (topic_id)),
+    {p}pool_names AS MATERIALIZED ({names.format(links=p + "links")}),
+    {topic_plans._run_ctes(p, p + "unit", p + "pool")}"""
+        )
+    union = " UNION ALL ".join(f"SELECT {k} AS batch, * FROM b{k}_done" for k in range(len(bounds) - 1))
+    return f"WITH RECURSIVE {', '.join(ctes)} {union}"
+
+
+@plan("stream_topics", _stream_topics_sql())
 def stream_topics(c):
     tables = J.TopicTables(c.spark)
-    items = c.timed.select("doc_id", "title", "content", "item_at")
-    run_to_end(J.assign_topics(landed(items, "item_at", 1), tables), c.spark)
-    return tables.links.read().select("doc_id", "topic_id", "similarity")
+    items = materialize(c.timed.select("doc_id", "title", "content", "item_at"), "timed")
+    landing = Landing(c.spark, items.schema, items.count(), len(CUTS) + 1)
+    seconds = F.unix_timestamp("item_at")
+    bounds = [None, *CUTS, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = items if low is None else items.filter(seconds >= low)
+        landing.put(part if high is None else part.filter(seconds < high))
+    run_to_end(J.assign_topics(landing.stream(), tables, P.TopicParams(window_hours=24 * WINDOW_DAYS)), c.spark)
+    return tables.links.read().filter("batch >= 0").select(F.col("batch").cast("int").alias("batch"), "doc_id", "topic_id", "similarity", "is_new")
 
 
 @plan(
@@ -170,6 +218,5 @@ for stream, batch in (
     ("stream_breaker", "breaker_replay"),
     ("stream_changes", "unchanged_docs"),
     ("stream_reviews", "expire_reviews"),
-    ("stream_topics", "rebuild_topics"),
 ):
     CHECKS[stream] = CHECKS[batch]

@@ -397,48 +397,54 @@ def _run_pairs(unit: str, key: str, other: str, other_key: str, names: str, othe
     WHERE text_sim >= {cut} AND similarity >= {least}"""
 
 
-@plan(
-    "cluster_run",
-    f"""WITH RECURSIVE fr AS MATERIALIZED (SELECT doc_id, item_s FROM v_run JOIN v_timed USING (doc_id)),
-    fu AS MATERIALIZED (SELECT u.* FROM v_unit u JOIN fr USING (doc_id)),
-    ps AS MATERIALIZED ({_run_pairs("fu", "doc_id", "v_pool_unit", "topic_id", "v_names", "v_pool_names", 0.38, 0.19)}),
-    pn AS MATERIALIZED (SELECT p.*, x.item_s AS a_s, y.item_s AS b_s FROM ({_run_pairs("fu", "doc_id", "fu", "doc_id", "v_names", "v_names", 0.38, 0.19)}) p
-      JOIN fr x ON x.doc_id = p.a JOIN fr y ON y.doc_id = p.b WHERE (y.item_s, p.b) < (x.item_s, p.a)),
-    nb AS MATERIALIZED (SELECT a, list(b) AS earlier, row_number() OVER (ORDER BY any_value(a_s), a) AS k
-      FROM pn WHERE a NOT IN (SELECT a FROM ps) GROUP BY a),
-    step(k, followers) AS (
-      SELECT CAST(0 AS BIGINT), coalesce((SELECT list(DISTINCT a) FROM ps), CAST([] AS BIGINT[]))
+def _run_ctes(p: str, unit: str, pool: str) -> str:
+    """One run of the job as CTEs with a prefix: the items of ``fr`` against the topics of ``pool``, then the merge."""
+    return f"""{p}fu AS MATERIALIZED (SELECT u.* FROM {unit} u JOIN {p}fr USING (doc_id)),
+    {p}ps AS MATERIALIZED ({_run_pairs(f"{p}fu", "doc_id", f"{pool}_unit", "topic_id", "v_names", f"{pool}_names", 0.38, 0.19)}),
+    {p}pn AS MATERIALIZED (SELECT p.*, x.item_s AS a_s, y.item_s AS b_s FROM ({_run_pairs(f"{p}fu", "doc_id", f"{p}fu", "doc_id", "v_names", "v_names", 0.38, 0.19)}) p
+      JOIN {p}fr x ON x.doc_id = p.a JOIN {p}fr y ON y.doc_id = p.b WHERE (y.item_s, p.b) < (x.item_s, p.a)),
+    {p}nb AS MATERIALIZED (SELECT a, list(b) AS earlier, row_number() OVER (ORDER BY any_value(a_s), a) AS k
+      FROM {p}pn WHERE a NOT IN (SELECT a FROM {p}ps) GROUP BY a),
+    {p}step(k, followers) AS (
+      SELECT CAST(0 AS BIGINT), coalesce((SELECT list(DISTINCT a) FROM {p}ps), CAST([] AS BIGINT[]))
       UNION ALL
-      SELECT nb.k, CASE WHEN len(list_filter(nb.earlier, lambda e: NOT list_contains(step.followers, e))) > 0
-        THEN list_append(step.followers, nb.a) ELSE step.followers END FROM step JOIN nb ON nb.k = step.k + 1),
-    f AS MATERIALIZED (SELECT unnest(followers) AS doc_id FROM (SELECT followers FROM step ORDER BY k DESC LIMIT 1)),
-    op AS (SELECT a, b, similarity, false AS is_new, start_s AS b_s FROM ps JOIN v_pool_start ON topic_id = b
-      UNION ALL SELECT a, b, similarity, true, b_s FROM pn WHERE a IN (SELECT doc_id FROM f) AND b NOT IN (SELECT doc_id FROM f)),
-    g AS MATERIALIZED (SELECT a AS doc_id, b AS topic_id, similarity, is_new FROM op
+      SELECT nb.k, CASE WHEN len(list_filter(nb.earlier, lambda e: NOT list_contains({p}step.followers, e))) > 0
+        THEN list_append({p}step.followers, nb.a) ELSE {p}step.followers END FROM {p}step JOIN {p}nb nb ON nb.k = {p}step.k + 1),
+    {p}f AS MATERIALIZED (SELECT unnest(followers) AS doc_id FROM (SELECT followers FROM {p}step ORDER BY k DESC LIMIT 1)),
+    {p}op AS (SELECT a, b, similarity, false AS is_new, start_s AS b_s FROM {p}ps JOIN {pool}_start ON topic_id = b
+      UNION ALL SELECT a, b, similarity, true, b_s FROM {p}pn WHERE a IN (SELECT doc_id FROM {p}f) AND b NOT IN (SELECT doc_id FROM {p}f)),
+    {p}g AS MATERIALIZED (SELECT a AS doc_id, b AS topic_id, similarity, is_new FROM {p}op
         QUALIFY row_number() OVER (PARTITION BY a ORDER BY similarity DESC, is_new, b_s, b) = 1
-      UNION ALL SELECT doc_id, doc_id, 1.0, true FROM fr WHERE doc_id NOT IN (SELECT doc_id FROM f)),
-    nl AS MATERIALIZED (SELECT topic_id, doc_id, item_s FROM g JOIN fr USING (doc_id) WHERE is_new),
-    nm AS MATERIALIZED (SELECT topic_id, term, CAST(floor(sum(w) / any_value(size) + 0.5) AS BIGINT) AS raw FROM v_unit JOIN nl USING (doc_id)
-      JOIN (SELECT topic_id, count(*) AS size FROM nl GROUP BY 1) USING (topic_id) GROUP BY 1, 2 HAVING raw > 0),
-    nu AS MATERIALIZED (SELECT topic_id, term, CAST(floor(raw * 100000000 / sqrt(ss) + 0.5) AS BIGINT) AS w
-      FROM nm JOIN (SELECT topic_id, CAST(sum(raw * raw) AS BIGINT) AS ss FROM nm GROUP BY 1) USING (topic_id)),
-    nn AS MATERIALIZED (SELECT topic_id, list_distinct(list(lower(entity))) AS names FROM v_top_entities JOIN nl USING (doc_id) GROUP BY 1),
-    ns AS MATERIALIZED (SELECT topic_id, min(item_s) AS start_s FROM nl GROUP BY 1),
-    ms AS MATERIALIZED ({_run_pairs("nu", "topic_id", "v_pool_unit", "topic_id", "nn", "v_pool_names", 0.3, 0.15)}),
-    mn AS MATERIALIZED (SELECT p.*, x.start_s AS a_s, y.start_s AS b_s FROM ({_run_pairs("nu", "topic_id", "nu", "topic_id", "nn", "nn", 0.3, 0.15)}) p
-      JOIN ns x ON x.topic_id = p.a JOIN ns y ON y.topic_id = p.b WHERE (y.start_s, p.b) < (x.start_s, p.a)),
-    mb AS MATERIALIZED (SELECT a, list(b) AS earlier, row_number() OVER (ORDER BY any_value(a_s), a) AS k
-      FROM mn WHERE a NOT IN (SELECT a FROM ms) GROUP BY a),
-    merge(k, gone) AS (
-      SELECT CAST(0 AS BIGINT), coalesce((SELECT list(DISTINCT a) FROM ms), CAST([] AS BIGINT[]))
+      UNION ALL SELECT doc_id, doc_id, 1.0, true FROM {p}fr WHERE doc_id NOT IN (SELECT doc_id FROM {p}f)),
+    {p}nl AS MATERIALIZED (SELECT topic_id, doc_id, item_s FROM {p}g JOIN {p}fr USING (doc_id) WHERE is_new),
+    {p}nm AS MATERIALIZED (SELECT topic_id, term, CAST(floor(sum(w) / any_value(size) + 0.5) AS BIGINT) AS raw FROM {unit} JOIN {p}nl USING (doc_id)
+      JOIN (SELECT topic_id, count(*) AS size FROM {p}nl GROUP BY 1) USING (topic_id) GROUP BY 1, 2 HAVING raw > 0),
+    {p}nu AS MATERIALIZED (SELECT topic_id, term, CAST(floor(raw * 100000000 / sqrt(ss) + 0.5) AS BIGINT) AS w
+      FROM {p}nm JOIN (SELECT topic_id, CAST(sum(raw * raw) AS BIGINT) AS ss FROM {p}nm GROUP BY 1) USING (topic_id)),
+    {p}nn AS MATERIALIZED (SELECT topic_id, list_distinct(list(lower(entity))) AS names FROM v_top_entities JOIN {p}nl USING (doc_id) GROUP BY 1),
+    {p}ns AS MATERIALIZED (SELECT topic_id, min(item_s) AS start_s FROM {p}nl GROUP BY 1),
+    {p}ms AS MATERIALIZED ({_run_pairs(f"{p}nu", "topic_id", f"{pool}_unit", "topic_id", f"{p}nn", f"{pool}_names", 0.3, 0.15)}),
+    {p}mn AS MATERIALIZED (SELECT p.*, x.start_s AS a_s, y.start_s AS b_s FROM ({_run_pairs(f"{p}nu", "topic_id", f"{p}nu", "topic_id", f"{p}nn", f"{p}nn", 0.3, 0.15)}) p
+      JOIN {p}ns x ON x.topic_id = p.a JOIN {p}ns y ON y.topic_id = p.b WHERE (y.start_s, p.b) < (x.start_s, p.a)),
+    {p}mb AS MATERIALIZED (SELECT a, list(b) AS earlier, row_number() OVER (ORDER BY any_value(a_s), a) AS k
+      FROM {p}mn WHERE a NOT IN (SELECT a FROM {p}ms) GROUP BY a),
+    {p}merge(k, gone) AS (
+      SELECT CAST(0 AS BIGINT), coalesce((SELECT list(DISTINCT a) FROM {p}ms), CAST([] AS BIGINT[]))
       UNION ALL
-      SELECT mb.k, CASE WHEN len(list_filter(mb.earlier, lambda e: NOT list_contains(merge.gone, e))) > 0
-        THEN list_append(merge.gone, mb.a) ELSE merge.gone END FROM merge JOIN mb ON mb.k = merge.k + 1),
-    mf AS MATERIALIZED (SELECT unnest(gone) AS topic_id FROM (SELECT gone FROM merge ORDER BY k DESC LIMIT 1)),
-    mo AS (SELECT a, b, start_s AS b_s, 0 AS fresh FROM ms JOIN v_pool_start ON topic_id = b
-      UNION ALL SELECT a, b, b_s, 1 FROM mn WHERE a IN (SELECT topic_id FROM mf) AND b NOT IN (SELECT topic_id FROM mf)),
-    mt AS (SELECT a, b FROM mo QUALIFY row_number() OVER (PARTITION BY a ORDER BY fresh, b_s, b) = 1)
-    SELECT g.doc_id, coalesce(mt.b, g.topic_id) AS topic_id, g.similarity, g.is_new FROM g LEFT JOIN mt ON mt.a = g.topic_id AND g.is_new""",
+      SELECT mb.k, CASE WHEN len(list_filter(mb.earlier, lambda e: NOT list_contains({p}merge.gone, e))) > 0
+        THEN list_append({p}merge.gone, mb.a) ELSE {p}merge.gone END FROM {p}merge JOIN {p}mb mb ON mb.k = {p}merge.k + 1),
+    {p}mf AS MATERIALIZED (SELECT unnest(gone) AS topic_id FROM (SELECT gone FROM {p}merge ORDER BY k DESC LIMIT 1)),
+    {p}mo AS (SELECT a, b, start_s AS b_s, 0 AS fresh FROM {p}ms JOIN {pool}_start ON topic_id = b
+      UNION ALL SELECT a, b, b_s, 1 FROM {p}mn WHERE a IN (SELECT topic_id FROM {p}mf) AND b NOT IN (SELECT topic_id FROM {p}mf)),
+    {p}mt AS (SELECT a, b FROM {p}mo QUALIFY row_number() OVER (PARTITION BY a ORDER BY fresh, b_s, b) = 1),
+    {p}done AS MATERIALIZED (SELECT g.doc_id, coalesce(mt.b, g.topic_id) AS topic_id, g.similarity, g.is_new FROM {p}g g LEFT JOIN {p}mt mt ON mt.a = g.topic_id AND g.is_new)"""
+
+
+@plan(
+    "cluster_run",
+    f"""WITH RECURSIVE fr AS MATERIALIZED (SELECT doc_id, item_s FROM v_run JOIN v_timed USING (doc_id)),
+    {_run_ctes("", "v_unit", "v_pool")}
+    SELECT * FROM done""",
 )
 def cluster_run(c):
     """The job over the last four days, whose items have no link yet, against topics that have an article."""

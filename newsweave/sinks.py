@@ -44,6 +44,20 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly below a path, on whatever store it is; no file is opened."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().toString() for s in files.listStatus(root) if s.isDirectory()]
+
+
+def remove_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Remove folders that this library wrote."""
+    for folder in folders:
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_report(report: DataFrame, path: str, by: str | None = None) -> None:
     """A report as JSON lines, in one folder per topic or source when ``by`` names it.
 

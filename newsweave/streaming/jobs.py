@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from newsweave import params as P
-from newsweave.functions import times as T
+from newsweave.functions import text as X, times as T
 from newsweave.operators import ingest as I, topics as TP, vectors as VC
-from newsweave.sinks import materialize
+from newsweave.sinks import child_folders, materialize, remove_folders, work_path
 from newsweave.streaming import keyed as K
 from newsweave.streaming.tables import BatchTable
 
@@ -107,58 +107,131 @@ def match_responses(requests: DataFrame, responses: DataFrame, hours: int = 24)
     ).drop("answers")
 
 
-LINKS = "doc_id BIGINT, topic_id BIGINT, similarity DOUBLE, item_at TIMESTAMP, entities ARRAY<STRING>"
-POSTINGS = "topic_id BIGINT, doc_id BIGINT, term STRING, w BIGINT"
+LINKS = "doc_id BIGINT, topic_id BIGINT, similarity DOUBLE, is_new BOOLEAN"
 
 
 class TopicTables:
-    """What incremental topic assignment keeps: member links and the members' vectors."""
+    """What incremental topic assignment keeps: links, and the topics in play as sums over their members.
 
-    def __init__(self, spark, links: BatchTable | None = None, postings: BatchTable | None = None):
-        self.links = links or BatchTable(spark, LINKS, name="topic-links")
-        self.postings = postings or BatchTable(spark, POSTINGS, name="topic-postings")
+    Links are only written. The sums are one version per batch, of the topics that the window still
+    reaches; a batch reads the version before it and the oldest versions go, so neither the work nor the
+    state grows with the stream's age.
+    """
+
+    SUMS = {
+        "terms": "topic_id BIGINT, term STRING, total BIGINT",
+        "names": "topic_id BIGINT, name STRING, entity STRING",
+        "topics": "topic_id BIGINT, size BIGINT, first_item_at TIMESTAMP, last_item_at TIMESTAMP",
+    }
 
-    def nodes(self, before: int, frequencies: DataFrame) -> DataFrame:
-        links = self.links.read(before)
-        vectors = self.postings.read(before).select("doc_id", "term", "w")
-        means = VC.centroids(vectors, links)
-        times = links.groupBy("topic_id").agg(F.min("item_at").alias("first_item_at"))
-        return TP.topic_nodes(means, frequencies, TP.topic_entities(links), times)
+    def __init__(self, spark, links: BatchTable | None = None, path: str | None = None):
+        self.spark = spark
+        self.links = links or BatchTable(spark, LINKS, name="topic-links")
+        self.path = path or work_path(spark, "topic-sums")
+
+    def _folder(self, part: str, batch_id: int) -> str:
+        return f"{self.path}/{part}/version={batch_id}"
+
+    def read(self, part: str, before: int) -> DataFrame:
+        """The version of the batch before; none before the first."""
+        if before == 0:
+            return self.spark.createDataFrame([], self.SUMS[part])
+        return self.spark.read.schema(self.SUMS[part]).parquet(self._folder(part, before - 1))
+
+    def write(self, part: str, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(self._folder(part, batch_id))
+
+    def forget(self, batch_id: int) -> None:
+        """Drop the version that no repeated batch can ask for any more."""
+        if batch_id >= 2:
+            remove_folders(self.spark, [self._folder(part, batch_id - 2) for part in self.SUMS])
+
+    def versions(self) -> list[int]:
+        return sorted(int(f.rpartition("=")[2]) for f in child_folders(self.spark, f"{self.path}/topics"))
+
+
+def _topic_sums(links: DataFrame, postings: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
+    """What a batch's members add to the sums of their topics."""
+    members = links.select("doc_id", "topic_id")
+    named = nodes.select("doc_id", "item_at", "entities").join(members, "doc_id")
+    return {
+        "terms": postings.join(members, "doc_id").groupBy("topic_id", "term").agg(F.sum("w").alias("total")),
+        "names": named.select("topic_id", F.explode("entities").alias("entity"))
+        .groupBy("topic_id", F.lower("entity").alias("name")).agg(F.min("entity").alias("entity")),
+        "topics": named.groupBy("topic_id").agg(
+            F.count("*").alias("size"), F.min("item_at").alias("first_item_at"), F.max("item_at").alias("last_item_at")
+        ),
+    }
+
+
+def _added(before: DataFrame, new: DataFrame, part: str) -> DataFrame:
+    both = before.unionByName(new)
+    if part == "terms":
+        return both.groupBy("topic_id", "term").agg(F.sum("total").alias("total"))
+    if part == "names":
+        return both.groupBy("topic_id", "name").agg(F.min("entity").alias("entity"))
+    return both.groupBy("topic_id").agg(
+        F.sum("size").alias("size"), F.min("first_item_at").alias("first_item_at"), F.max("last_item_at").alias("last_item_at")
+    )
 
 
 def assign_topics(
-    stream: DataFrame, tables: TopicTables, tp: P.TopicParams = P.TopicParams()
+    stream: DataFrame, tables: TopicTables, tp: P.TopicParams = P.TopicParams(), closed: DataFrame | None = None
 ) -> DataStreamWriter:
-    """Items(doc_id, title, content, item_at) to topics, batch by batch.
+    """Items(doc_id, title, content, item_at) to topics, batch by batch, each batch as one run of the job.
 
-    Each batch is compared with the topics of the batches before it, opens the
-    topics it needs and adds its members. Weights come from the batch itself.
+    A batch's items of the window whose title describes one event are grouped with the topics in play and
+    with each other, and what is new is merged as in ``cluster_run``. In play are the topics of earlier
+    batches whose last item the window reaches and that ``closed`` (topic_id) doesn't name, read anew by
+    each batch. Weights come from the batch. An item that is delivered again within the window is dropped
+    by the stream's own state.
     """
+    hours = F.expr(f"INTERVAL {tp.window_hours} HOURS")
 
     def assign(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(batch.select("doc_id", "title", "content", "item_at"), "batch-items")
+        latest = rows.agg(F.max("item_at").alias("now"))
+        last = tables.read("topics", batch_id).agg(F.max("last_item_at").alias("now"))
+        start = latest.unionByName(last).agg((F.max("now") - hours).alias("start"))
+        alive = materialize(
+            tables.read("topics", batch_id).join(F.broadcast(start)).filter(F.col("last_item_at") >= F.col("start")).drop("start"),
+            "live-topics",
+        )
+        before = {
+            part: tables.read(part, batch_id).join(alive.select("topic_id"), "topic_id", "left_semi") for part in ("terms", "names")
+        } | {"topics": alive}
         fresh = materialize(
-            batch.select("doc_id", "title", "content", "item_at").join(
-                tables.links.read(batch_id).select("doc_id"), "doc_id", "left_anti"
-            ),
-            "batch-items",
+            rows.join(F.broadcast(start)).filter(F.col("item_at") >= F.col("start")).drop("start")
+            .filter((F.length("title") >= tp.min_title_chars) & ~X.is_multi_event(F.col("title"))),
+            "fresh-items",
         )
         if fresh.isEmpty():
-            return
-        postings = materialize(VC.item_postings(fresh), "batch-postings")
-        nodes = materialize(TP.item_nodes(fresh, postings), "batch-nodes")
-        topics = None
-        if batch_id > 0:
-            frequencies = postings.select("term", "df").distinct()
-            topics = materialize(tables.nodes(batch_id, frequencies), "stored-topics")
-        grouped = materialize(TP.group_items(nodes, topics, tp), "batch-topics")
-        links = grouped.join(nodes.select("doc_id", "item_at", "entities"), "doc_id").select(
-            "doc_id", "topic_id", "similarity", "item_at", "entities"
-        )
-        members = postings.join(grouped.select("doc_id", "topic_id"), "doc_id").select(
-            "topic_id", "doc_id", "term", "w"
-        )
-        # The links decide which items count as done, so they are written last.
-        tables.postings.write(members, batch_id)
-        tables.links.write(links, batch_id)
-
-    return stream.writeStream.foreachBatch(assign)
+            added = before
+        else:
+            postings = materialize(VC.item_postings(fresh), "batch-postings")
+            nodes = materialize(TP.item_nodes(fresh, postings), "batch-nodes")
+            stored = materialize(_in_play(before, postings.select("term", "df").distinct(), closed), "stored-topics")
+            grouped = TP.group_items(nodes, stored, tp)
+            links = materialize(TP.merge_groups(grouped, nodes, postings, stored, tp), "batch-topics")
+            added = {part: _added(before[part], new, part) for part, new in _topic_sums(links, postings, nodes).items()}
+            tables.links.write(links.select("doc_id", "topic_id", "similarity", "is_new"), batch_id)
+        for part, sums in added.items():
+            tables.write(part, sums.select(*[c.split()[0] for c in tables.SUMS[part].split(", ")]), batch_id)
+        tables.forget(batch_id)
+
+    once = stream.withWatermark("item_at", f"{tp.window_hours} hours").dropDuplicatesWithinWatermark(["doc_id"])
+    return once.writeStream.foreachBatch(assign)
+
+
+def _in_play(sums: dict[str, DataFrame], frequencies: DataFrame, closed: DataFrame | None) -> DataFrame:
+    """Nodes of the topics that items may join, from their sums."""
+    topics = sums["topics"]
+    if closed is not None:
+        topics = topics.join(closed.select("topic_id"), "topic_id", "left_anti")
+    means = (
+        sums["terms"].join(topics.select("topic_id", "size"), "topic_id")
+        .select("topic_id", "term", F.floor(F.col("total") / F.col("size") + 0.5).cast("bigint").alias("raw"))
+        .filter("raw > 0")
+    )
+    names = sums["names"].groupBy("topic_id").agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    return TP.topic_nodes(means, frequencies, names, topics.select("topic_id", "first_item_at"))

@@ -162,6 +162,34 @@ def test_topics_over_batches(spark, tmp_path):
     assert tables.links.read().count() == 5
 
 
+def test_topics_leave_the_state_with_the_window(spark, tmp_path):
+    from test_topics import REPORTS, items
+
+    batches = [items(spark, [(10 * i + r[0], *r[1:]) for r in part], hours=24 * 2 * i) for i, part in enumerate([REPORTS[:2], REPORTS[2:4], REPORTS[:1], REPORTS[1:2]])]
+    rows = batches[0].union(batches[1]).union(batches[2]).union(batches[3]).select("doc_id", "title", "content", "item_at")
+    tables = J.TopicTables(spark)
+    closed = spark.createDataFrame([(21,)], "topic_id BIGINT")
+    window = J.P.TopicParams(window_hours=3 * 24)
+    run_to_end(J.assign_topics(in_files(rows, tmp_path / "in", 4, "item_at", [2, 2, 1, 1]), tables, window, closed), spark)
+    found = {r["doc_id"]: r["topic_id"] for r in tables.links.read().collect()}
+    # The story goes on while the window reaches its last item; a closed topic takes nothing more.
+    assert found == {1: 1, 2: 1, 13: 1, 14: 14, 21: 1, 32: 1}
+    last = tables.versions()
+    assert len(last) <= 2  # no version is kept that no batch can read
+    live = {r["topic_id"]: r["size"] for r in tables.read("topics", last[-1] + 1).collect()}
+    assert live == {1: 5}
+
+
+def test_a_closed_topic_takes_no_items(spark, tmp_path):
+    from test_topics import REPORTS, items
+
+    rows = items(spark, REPORTS[:1]).union(items(spark, REPORTS[1:2], hours=1)).select("doc_id", "title", "content", "item_at")
+    tables = J.TopicTables(spark)
+    closed = spark.createDataFrame([(1,)], "topic_id BIGINT")
+    run_to_end(J.assign_topics(in_files(rows, tmp_path / "in", 2, "item_at"), tables, closed=closed), spark)
+    assert {r["doc_id"]: r["topic_id"] for r in tables.links.read().collect()} == {1: 1, 2: 2}
+
+
 def test_a_stopped_stream_goes_on_where_it_was(spark, corpus, tmp_path):
     schema = K.BREAKER
     source, table, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
