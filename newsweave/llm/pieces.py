@@ -23,11 +23,13 @@ FREQUENT, FREQUENT_CHARS = 1 << 20, 64
 COUNTED, RECENT = 1 << 19, 100_000
 #: Counts are told apart by this many levels an octave; ids that are put out together.
 LEVELS, OUT_IDS = 8, 1 << 21
+#: Bytes of the place that goes before a rare chunk's ids.
+PLACE = 4
 
 COUNTS = "chunk string, n long"
 SEGMENTED = "chunk string, n long, ids binary, decoded string"
-CODED = "doc_id long, same long, first boolean, code string, rare array<string>"
-ANSWERED = "named long, same long, at int, ids binary"
+CODED = "doc_id long, same long, first boolean, code binary, rare array<string>"
+ANSWERED = "named long, same long, answer binary"
 ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
@@ -206,18 +208,31 @@ def _send(spark: SparkSession, table: DataFrame, path: str) -> tuple[str, Broadc
 # --- documents ----------------------------------------------------------------------------
 
 
-def _letters(numbers: np.ndarray) -> str:
-    """Numbers as characters, past the surrogates, which can't be written: frequent ones take a byte or two."""
-    return np.where(numbers < 0xD800, numbers, numbers + 0x800).astype("<u4").tobytes().decode("utf-32-le")
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 21 in seven bits a byte, the low ones first: frequent chunks take a byte or two."""
+    sizes = 1 + (numbers >= 1 << 7) + (numbers >= 1 << 14)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for place in range(3):
+        own = sizes > place
+        more = np.where(sizes[own] > place + 1, 0x80, 0)
+        out[(ends - sizes)[own] + place] = (numbers[own] >> 7 * place & 0x7F) | more
+    return out.tobytes()
 
 
-def _numbers(code: str) -> np.ndarray:
-    points = np.frombuffer(code.encode("utf-32-le"), "<u4").astype(np.int64)
-    return np.where(points < 0xD800, points, points - 0x800)
+def _numbers(code: bytes) -> np.ndarray:
+    octets = np.frombuffer(code, np.uint8).astype(np.int64)
+    ends = np.flatnonzero(octets < 0x80)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    numbers = octets[starts] & 0x7F
+    for place in (1, 2):
+        own = ends - starts >= place
+        numbers[own] |= (octets[starts[own] + place] & 0x7F) << 7 * place
+    return numbers
 
 
 def _coder(path: str, name: str, sent: Broadcast):
-    """Documents as characters for frequent chunks, with the rare ones spelled out."""
+    """Documents as numbers of frequent chunks, with the rare ones spelled out."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number, asked = chunker(path).split, _frequent(name, sent).number.get, {}
@@ -229,12 +244,12 @@ def _coder(path: str, name: str, sent: Broadcast):
             for text in batch["text"].to_pylist():
                 chunks = split(text)
                 numbers = np.array([number(c, 0) for c in chunks], np.int64)
-                codes.append(_letters(numbers))
+                codes.append(_packed(numbers))
                 rare.append([chunks[i] for i in np.flatnonzero(numbers == 0).tolist()])
             if len(asked) > RECENT:
                 asked.clear()
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["same"], pa.array(first, pa.bool_()), pa.array(codes, pa.string()),
+                [batch["doc_id"], batch["same"], pa.array(first, pa.bool_()), pa.array(codes, pa.binary()),
                  pa.array(rare, pa.list_(pa.string()))],
                 names=["doc_id", "same", "first", "code", "rare"],
             )
@@ -243,7 +258,7 @@ def _coder(path: str, name: str, sent: Broadcast):
 
 
 def _answerer(path: str):
-    """Ids of rare chunks that stream in order, each distinct one segmented once."""
+    """Place and ids of rare chunks that stream in order, each distinct one segmented once."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, width = chunker(path), _width(path)
@@ -253,12 +268,12 @@ def _answerer(path: str):
             new = [c for c, before in zip(chunks, [last, *chunks]) if c != before]
             segmented = iter([np.array(i, width).tobytes() for i in own.encode(new)])
             out = []
-            for chunk in chunks:
+            for chunk, at in zip(chunks, batch["at"].to_pylist()):
                 if chunk != last:
                     last, known = chunk, next(segmented)
-                out.append(known)
+                out.append(at.to_bytes(PLACE, "little") + known)
             yield pa.RecordBatch.from_arrays(
-                [batch["named"], batch["same"], batch["at"], pa.array(out, pa.binary())], names=["named", "same", "at", "ids"]
+                [batch["named"], batch["same"], pa.array(out, pa.binary())], names=["named", "same", "answer"]
             )
 
     return answer
@@ -273,9 +288,9 @@ def _joiner(path: str, name: str, sent: Broadcast):
         for batch in batches:
             # All rare chunks of the batch in order of row and place, decoded in one call.
             rows = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(batch["answers"]), 0))
-            flat = batch["answers"].flatten()
-            order = np.lexsort((flat.field("at").to_numpy(zero_copy_only=False), rows))
-            answers = [np.frombuffer(i, width) for i in flat.field("ids").take(pa.array(order)).to_pylist()]
+            flat = batch["answers"].flatten().to_pylist()
+            at = np.frombuffer(b"".join(a[:PLACE] for a in flat), f"<u{PLACE}")
+            answers = [np.frombuffer(flat[i], width, offset=PLACE) for i in np.lexsort((at, rows)).tolist()]
             spelled = own.decode([a.tolist() for a in answers])
             docs, parts, texts, held, at = [], [], [], 0, 0
             for doc, code in zip(batch["doc_id"].to_pylist(), batch["code"].to_pylist()):
@@ -332,8 +347,8 @@ def encode(docs: DataFrame, model_path: str, most: int = FREQUENT) -> DataFrame:
     """``doc_id, ids, decoded`` of every row: the ids with an end id, and the text that they decode to.
 
     Each distinct chunk is segmented once: frequent ones first, at most ``most`` of 64 characters at most,
-    whose ids are broadcast; then the rest, which meet by chunk in order. Documents travel as one
-    character per frequent chunk and are joined by id and a hash of the text with the ids of their rare
+    whose ids are broadcast; then the rest, which meet by chunk in order. Documents travel as the
+    packed numbers of their frequent chunks and are joined by id and a hash of the text with the ids of their rare
     chunks, which fill the gaps by position. Nothing is collected beyond a document; the frequent part of
     the table is what the driver sees.
 
@@ -349,6 +364,6 @@ def encode(docs: DataFrame, model_path: str, most: int = FREQUENT) -> DataFrame:
     coded = coded.withColumn("named", F.coalesce("doc_id", F.lit(-(2**63))))
     asked = coded.filter("first").select("named", "same", F.posexplode("rare").alias("at", "chunk"))
     answered = asked.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_answerer(model_path), ANSWERED)
-    answers = answered.groupBy("named", "same").agg(F.collect_set(F.struct("at", "ids")).alias("answers"))
+    answers = answered.groupBy("named", "same").agg(F.collect_set("answer").alias("answers"))
     met = coded.select("doc_id", "named", "same", "code").join(answers, ["named", "same"], "left")
     return met.select("doc_id", "code", "answers").mapInArrow(_joiner(model_path, *sent), ENCODED)
