@@ -55,7 +55,7 @@ def place(sizes: DataFrame, targets: DataFrame, block_words: int = BLOCK_WORDS,
     """
     chunks = -(-sizes.count() // chunk_docs) or 1
     mixed = sizes.join(targets, same(sizes, targets, "source")).drop(targets["source"])
-    mixed = mixed.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(chunks)).cast("int"))
+    mixed = mixed.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "version"), F.lit(chunks)).cast("int"))
     run = Window.partitionBy("src", "chunk").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "version")
     placed = mixed.withColumn("rank", F.row_number().over(run)).withColumn(
         "begin", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
@@ -131,7 +131,7 @@ def pieces(placed: DataFrame, chunks: DataFrame, block_words: int = BLOCK_WORDS)
     )
 
 
-def mix(docs: DataFrame, seed: int = 0, **options):
+def mix(docs: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS, **options):
     """The placed documents and the pieces the mix takes of them, joined to slots by block number.
 
     ``docs`` needs doc_id, text and source. Null texts have no words and nothing is taken of
@@ -143,15 +143,45 @@ def mix(docs: DataFrame, seed: int = 0, **options):
     )
     placed, chunks = place(sizes, source_targets(sizes, **options), seed=seed)
     # Both sides are large, whatever their sources' sizes suggest.
-    return placed, pieces(placed, chunks).join(draw_slots(chunks, seed=seed).hint("merge"), ["src", "block"])
+    slots = draw_slots(chunks, shard_slots, seed)
+    return placed, pieces(placed, chunks).join(slots.hint("merge"), ["src", "block"])
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target of its source, taken."""
+    """One row per row of ``docs``: doc_id, size, source_size, target of its source, taken, n_shards (that hold its words)."""
     placed, used = mix(docs, **options)
-    taken = used.groupBy("src", "chunk", "rank").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
+    taken = used.groupBy("src", "chunk", "rank").agg(
+        F.sum(F.col("to") - F.col("from")).alias("taken"), F.size(F.collect_set("shard")).cast("long").alias("n_shards")
+    )
     found = placed.join(taken, ["src", "chunk", "rank"], "left")
-    return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    nothing = F.lit(0).cast("long")
+    return found.select(
+        "doc_id", "size", "source_size", "target",
+        F.coalesce("taken", nothing).alias("taken"), F.coalesce("n_shards", nothing).alias("n_shards"),
+    )
+
+
+def mixed_shards(docs: DataFrame, **options) -> DataFrame:
+    """The mix as output shards: a row per slot of a shard and piece of a document in its block.
+
+    Columns: shard, slot_order (pseudorandom, orders a shard's slots), src, number (the slot), doc_id, from, to (words of
+    the document), text (those words joined by one space). Slots chose their shards by themselves, so a shard's count of
+    slots by source is a multinomial draw. Write it with ``partitionBy("shard")`` to get a folder per shard.
+    Rows repeated in id and text give the same words, so one of them lends its text.
+    """
+    tagged = docs.select("doc_id", F.xxhash64(whole_text()).alias("version"), whole_text().alias("text"))
+    texts = tagged.dropDuplicates(["doc_id", "version"])
+    placed, used = mix(docs, **options)
+    parts = used.join(placed.select("src", "chunk", "rank", "doc_id", "version"), ["src", "chunk", "rank"])
+    cuts = parts.groupBy("doc_id", "version").agg(F.collect_list(F.struct("shard", "src", "number", "from", "to")).alias("cuts"))
+    joined = texts.join(cuts.hint("shuffle_hash"), same(texts, cuts, "doc_id", "version")).select(
+        texts["doc_id"], words(F.col("text")).alias("words"), F.explode("cuts").alias("cut")
+    )
+    cut = F.slice("words", (F.col("cut.from") + 1).cast("int"), (F.col("cut.to") - F.col("cut.from")).cast("int"))
+    return joined.select(
+        "cut.shard", F.xxhash64("cut.shard", "cut.src", "cut.number").alias("slot_order"), "cut.src", "cut.number", "doc_id",
+        "cut.from", "cut.to", F.array_join(cut, " ").alias("text"),
+    )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
