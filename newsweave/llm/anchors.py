@@ -25,6 +25,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 SUPPORT = 1e-3
 #: Rows of one hash that a task compares; larger groups are compared by digests of their windows.
 MAX_GROUP = 20_000
+#: Bits of the broadcast filter of repeated hashes (16 MB), words of 64 bits in one of its rows.
+FILTER_BITS, ROW_WORDS = 1 << 27, 64
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -85,14 +87,36 @@ def gram_rows(docs: DataFrame, grams: Callable[[], Callable[[str], Iterator[tupl
     return keyed(docs).mapInPandas(run, GRAMS)
 
 
+def maybe_repeated(grams: DataFrame, bits: int = FILTER_BITS, row_words: int = ROW_WORDS) -> DataFrame:
+    """Grams without nearly all of those whose hash is met once.
+
+    The hashes alone are counted first, and those met again set their bit in a filter of ``bits``
+    bits, whatever the size of the table, which is broadcast. Grams whose bit isn't set go before
+    their rows travel. What passes has to be counted: a full filter keeps single hashes too.
+    """
+    slot = F.pmod("h", F.lit(bits))
+    row, word, bit = F.expr(f"h_slot div {row_words * 64}"), F.expr(f"h_slot div 64 % {row_words}"), F.col("h_slot") % 64
+    again = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(slot.alias("h_slot"))
+    words = again.groupBy(row.alias("row"), word.cast("int").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("set")
+    )
+    rows = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "set"))).alias("sets"))
+    places = F.sequence(F.lit(0), F.lit(row_words - 1))
+    rows = rows.select("row", F.transform(places, lambda i: F.coalesce(F.try_element_at("sets", i), F.lit(0).cast("long"))).alias("sets"))
+    rows = materialize(rows, "filter")
+    slotted = grams.withColumn("h_slot", slot).withColumn("row", row)
+    met = F.getbit(F.get("sets", word.cast("int")), bit.cast("int")) == 1
+    return slotted.join(F.broadcast(rows), "row").filter(met).drop("row", "h_slot", "sets")
+
+
 def repeated(grams: DataFrame, support: float = SUPPORT, most: int = MAX_GROUP) -> tuple[DataFrame, DataFrame]:
     """Grams whose hash occurs again, apart: those of groups one task can compare, and those of larger ones.
 
     The most frequent hashes are found by a Misra-Gries summary, counted exactly and broadcast
-    (at most 1 / support of them), so their rows are never brought together. The other hashes
-    are shuffled once and counted.
+    (at most 1 / support of them), so their rows are never brought together. Of the other hashes
+    those that may occur again are shuffled once and counted.
     """
-    grams = materialize(grams, "grams")
+    grams = maybe_repeated(materialize(grams, "grams"))
     spotted = grams.freqItems(["h"], support).select(F.explode("h_freqItems").alias("h"))
     counts = grams.join(F.broadcast(spotted), "h", "left_semi").groupBy("h").count()
     heavy = materialize(counts.filter(F.col("count") > most).select("h"), "heavy")
