@@ -10,7 +10,7 @@ from newsweave.plans.registry import CHECKS, plan
 from newsweave.plans import editorial_plans, ingest_plans, topic_plans  # noqa: F401  (their checks are reused below)
 from newsweave.sinks import materialize, work_path
 from newsweave.streaming import jobs as J, keyed as K
-from newsweave.streaming.tables import BatchTable, Landing, landed, run_to_end, slices_of
+from newsweave.streaming.tables import BatchTable, DayTable, Landing, landed, run_to_end, slices_of
 
 
 @plan("stream_dedup", "SELECT DISTINCT url, etag FROM v_fetches")
@@ -57,9 +57,11 @@ def stream_late_data(c):
     GROUP BY 1, 2""",
 )
 def stream_velocity(c):
-    sink = BatchTable(c.spark, "user_id BIGINT, start_s BIGINT, n BIGINT", name="velocity")
+    sink = DayTable(
+        c.spark, "user_id BIGINT, start_s BIGINT, n BIGINT", ["user_id", "start_s"], "start_s div 86400", name="velocity"
+    )
     run_to_end(J.sliding_counts(landed(c.events.select("user_id", "ts"), "ts"), "user_id", sink), c.spark)
-    return sink.latest(["user_id", "start_s"])
+    return sink.read()
 
 
 @plan("stream_breaker")

@@ -44,6 +44,11 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
 def child_folders(spark: SparkSession, path: str) -> list[str]:
     """Folders directly below a path, on whatever store it is; no file is opened."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,7 +13,7 @@ from newsweave.functions import text as X, times as T
 from newsweave.operators import ingest as I, topics as TP, vectors as VC
 from newsweave.sinks import child_folders, materialize, remove_folders, work_path
 from newsweave.streaming import keyed as K
-from newsweave.streaming.tables import BatchTable
+from newsweave.streaming.tables import BatchTable, DayTable
 
 
 def deduplicate(stream: DataFrame, keys: list[str], sink: BatchTable) -> DataStreamWriter:
@@ -58,8 +58,11 @@ def valid_recent_items(stream: DataFrame, now: Column, hours: int) -> DataFrame:
     )
 
 
-def sliding_counts(stream: DataFrame, key: str, sink: BatchTable) -> DataStreamWriter:
-    """Items per key in sliding six-hour windows; the newest batch of a window holds its count."""
+def sliding_counts(stream: DataFrame, key: str, sink: BatchTable | DayTable) -> DataStreamWriter:
+    """Items per key in sliding six-hour windows; the newest batch of a window holds its count.
+
+    A ``DayTable`` over (key, start_s) holds the newest counts only and rewrites the days a batch touches.
+    """
     hours = P.VELOCITY_HOURS
     counted = (
         stream.withWatermark("ts", f"{hours} hours")

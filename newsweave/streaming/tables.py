@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from newsweave.sinks import work_path
+from newsweave.sinks import child_folders, folder_exists, materialize, remove_folders, work_path
 
 
 class BatchTable:
@@ -42,6 +42,50 @@ class BatchTable:
         )
 
 
+class DayTable:
+    """The newest row of every key, laid out by day.
+
+    ``day`` is SQL over the key columns that gives a whole number. A batch reads and writes only the days
+    its rows belong to, each as a new version beside the one before, which a repeated batch starts from
+    again; older versions go. What a batch costs hangs on those days and not on the stream's age.
+    """
+
+    def __init__(self, spark: SparkSession, schema: str, keys: list[str], day: str, path: str | None = None, name: str = "days"):
+        self.spark, self.schema, self.keys = spark, schema, keys
+        self.day = F.coalesce(F.expr(day).cast("bigint"), F.lit(-1))
+        self.path = path or work_path(spark, name)
+        self.columns = spark.createDataFrame([], schema).columns
+
+    def versions(self) -> dict[int, dict[int, str]]:
+        """Folders by day and batch."""
+        if not folder_exists(self.spark, self.path):
+            return {}
+        days = {int(f.rpartition("day=")[2]): f for f in child_folders(self.spark, self.path) if "/day=" in f}
+        return {d: {int(v.rpartition("batch=")[2]): v for v in child_folders(self.spark, f)} for d, f in days.items()}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows = materialize(rows.select(*self.columns).withColumn("day", self.day), "day-rows")
+        touched = {r["day"] for r in rows.select("day").distinct().collect()}
+        if not touched:
+            return
+        held = {d: {b: f for b, f in found.items() if b < batch_id} for d, found in self.versions().items() if d in touched}
+        before = self._rows([found[max(found)] for found in held.values() if found])
+        kept = before.join(rows, [before[k].eqNullSafe(rows[k]) for k in self.keys], "left_anti").withColumn("day", self.day)
+        (
+            kept.unionByName(rows).withColumn("batch", F.lit(batch_id)).write.partitionBy("day", "batch")
+            .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        )
+        remove_folders(self.spark, [f for found in held.values() for b, f in found.items() if b < max(found)])
+
+    def read(self) -> DataFrame:
+        return self._rows([found[max(found)] for found in self.versions().values() if found])
+
+
 def read_table_stream(spark: SparkSession, folder: str, name: str, **options) -> DataFrame:
     """Stream over the files of one table, stored as one file or as a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema

@@ -213,3 +213,29 @@ def test_items_are_appended_under_both_keys_over_batches(spark, tmp_path):
     sink = BatchTable(spark, schema)
     run_to_end(J.append_items(in_files(frame, tmp_path / "in", 3, "doc_id"), sink), spark)
     assert sorted(r["doc_id"] for r in sink.read().collect()) == [1, 3, 4]
+
+
+def test_day_table_writes_only_the_days_a_batch_touches(spark):
+    from newsweave.sinks import work_path
+    from newsweave.streaming.tables import DayTable
+
+    path = work_path(spark, "days-test")
+    schema = "user_id BIGINT, start_s BIGINT, n BIGINT"
+    table = DayTable(spark, schema, ["user_id", "start_s"], "start_s div 86400", path)
+    assert table.read().count() == 0
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    table.write(frame([(1, 10, 1), (2, 20, 1), (None, 20, 4), (1, 86400, 2)]), 0)
+    first = table.versions()
+    table.write(frame([(1, 10, 5), (None, 20, 6), (3, 30, 1)]), 1)
+    expected = {(1, 10, 5), (2, 20, 1), (None, 20, 6), (3, 30, 1), (1, 86400, 2)}
+    assert {tuple(r) for r in table.read().collect()} == expected and table.read().count() == 5
+    assert table.versions()[1] == first[1]
+    # The same batch again, as after a failure, starts from the version before it.
+    table.write(frame([(1, 10, 5), (None, 20, 6), (3, 30, 1)]), 1)
+    assert {tuple(r) for r in table.read().collect()} == expected and table.read().count() == 5
+    table.write(frame([(9, 11, 1)]), 2)
+    table.write(frame([]), 3)
+    # Another session's table over the same folder goes on.
+    again = DayTable(spark, schema, ["user_id", "start_s"], "start_s div 86400", path)
+    assert {tuple(r) for r in again.read().collect()} == expected | {(9, 11, 1)}
+    assert sorted(again.versions()[0]) == [1, 2] and sorted(again.versions()[1]) == [0]
