@@ -69,6 +69,12 @@ def doc_id() -> Column:
 GRAMS = "id_key long, version long, h long, lo int, more int"
 
 
+def checked_width(length: int, gram: int) -> None:
+    """An error for passages whose runs don't fit into the bits that an anchor's row has for them."""
+    if not 0 <= length - gram < 1024:
+        raise ValueError(f"a passage may be 0 to 1023 longer than its gram; got {length} and {gram}")
+
+
 def gram_rows(docs: DataFrame, grams: Callable[[], Callable[[str], Iterator[tuple]]]) -> DataFrame:
     """One row per anchor of every text; ``grams()`` makes the function that finds them."""
 

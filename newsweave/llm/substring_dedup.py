@@ -199,6 +199,7 @@ def repeated_spans(
     sent to the one shard that can hold its windows. Passages of anchors with more than ``most``
     rows are compared across all tasks by digests.
     """
+    A.checked_width(length, gram)
     rows, heavy = A.repeated(A.gram_rows(docs, _finder(length, gram)), support, most)
 
     def passages(of: DataFrame) -> DataFrame:

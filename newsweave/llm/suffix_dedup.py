@@ -233,6 +233,7 @@ def repeated_spans(
     leading gram never straddle ranges, except those of more than ``most`` rows: these are
     compared across all tasks by digests of their passages and windows.
     """
+    A.checked_width(length, gram)
     rows, heavy = A.repeated(A.gram_rows(docs, _finder(length, gram)), support, most)
     contexts = A.with_texts(docs, A.per_document(rows, "place")).mapInPandas(_contexts(length, gram), CONTEXTS)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

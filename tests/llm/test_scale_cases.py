@@ -3,9 +3,10 @@
 import random
 import string
 
+import pytest
 from pyspark.sql import functions as F
 
-from newsweave.llm import anchors, mixing, secrets
+from newsweave.llm import anchors, mixing, secrets, substring_dedup, suffix_dedup
 
 
 def _entropy_spans(spark, texts):
@@ -96,3 +97,12 @@ def test_rows_without_an_id_are_spread_over_chunks(spark):
     placed, _ = mixing.place(sizes, mixing.source_targets(sizes), chunk_docs=40)
     counts = [r["count"] for r in placed.groupBy("chunk").count().collect()]
     assert sum(counts) == 400 and len(counts) == 10 and max(counts) < 90
+
+
+def test_passages_too_long_for_an_anchor_row_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for module in (suffix_dedup, substring_dedup):
+        with pytest.raises(ValueError):
+            module.repeated_spans(docs, length=5000)
+        with pytest.raises(ValueError):
+            module.repeated_spans(docs, length=4, gram=8)
