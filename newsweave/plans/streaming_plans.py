@@ -201,7 +201,7 @@ def stream_resume(c):
 
     What was read is remembered also where nothing of it was applied.
     """
-    slices = slices_of(c.attempts, "ts", 2)
+    slices = slices_of(c.attempts, "ts", 2, exact=True)
     landing = Landing(c.spark, c.attempts.schema, c.attempts.count(), 2)
     read = BatchTable(c.spark, "run BIGINT, event_id BIGINT, applied BOOLEAN", name="offsets-read")
     offsets = work_path(c.spark, "offsets")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from newsweave.operators import ingest as I, lifecycle as L
 from newsweave.plans.corpus import Corpus
 from newsweave.streaming import jobs as J, keyed as K
-from newsweave.streaming.tables import BatchTable, run_to_end
+from newsweave.streaming.tables import BatchTable, run_to_end, slices_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -239,3 +239,11 @@ def test_day_table_writes_only_the_days_a_batch_touches(spark):
     again = DayTable(spark, schema, ["user_id", "start_s"], "start_s div 86400", path)
     assert {tuple(r) for r in again.read().collect()} == expected | {(9, 11, 1)}
     assert sorted(again.versions()[0]) == [1, 2] and sorted(again.versions()[1]) == [0]
+
+
+def test_exact_slices_are_cut_at_the_rank(spark):
+    n = 1_000_001
+    log = spark.range(n).select(F.timestamp_seconds(F.pmod(F.col("id") * 7919, F.lit(n)) / 3).alias("ts"))
+    assert [part.count() for part in slices_of(log, "ts", 4, exact=True)] == [250001, 250000, 250000, 250000]
+    ties = spark.range(90).select(F.timestamp_seconds(F.floor(F.col("id") / 40)).alias("ts"))
+    assert [part.count() for part in slices_of(ties, "ts", 2, exact=True)] == [80, 10]
