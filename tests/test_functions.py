@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from newsweave import params as P
 from newsweave.functions import html as H, text as X, times as T, urls as U
 
 
@@ -357,3 +358,13 @@ def test_a_deeply_nested_graph_costs_its_own_page_only(spark):
     assert {r["id"]: (r["body"], r["at"]) for r in fields(deep).collect()} == {
         0: (WORDS, "2026-09-01"), 1: (WORDS, "2026-09-01"), 2: ("", None), 4: (WORDS, "2026-09-01")}
     assert {r["id"] for r in fields(flat).collect()} == {0, 1, 2, 3}
+
+
+def test_folding_finds_every_letter_on_its_own(value):
+    for letter, plain in (*zip(P.CYRILLIC_SINGLE, P.LATIN_SINGLE), *P.CYRILLIC_DIGRAPHS):
+        assert value(X.to_latin, f"a{letter}b") == f"a{plain}b"
+    for letter, plain in (*zip(P.DIACRITIC_SINGLE, P.ASCII_SINGLE), *P.DIACRITIC_DIGRAPHS):
+        assert value(X.fold_diacritics, f"é{letter}") == f"é{plain}"
+    assert value(X.match_key, "Élan Џеп 12") == "élan dzep 12"
+    for ending in P.SUFFIXES:
+        assert value(X.stem, "brdn" + ending) == "brdn"
