@@ -14,7 +14,6 @@ from newsweave.operators import retention as R, vectors as VC
 from newsweave.plans import views as V
 from newsweave.plans.ingest_plans import hashed
 from newsweave.plans.registry import plan
-from newsweave.plans.topic_plans import Vectors
 from newsweave.sinks import materialize, work_path
 
 HOUR = 3600
@@ -354,19 +353,15 @@ SELECT topic_id, string_agg(entity, ', ' ORDER BY rank) AS line FROM (
     WHERE t.size >= 3 AND t.distinct_sources >= 3 AND t.distinct_angles >= 2""",
 )
 def prompt_material(c):
-    v = Vectors(c)
     # Only topics that pass are written: everything below is worked out for their members alone.
     passing = materialize(SC.with_gates(c.rollup).filter("passes").select("topic_id", "title_sample"), "passing")
     members = c.members.join(passing.select("topic_id"), "topic_id", "left_semi").withColumn(
         "word_count", X.count_words(F.col("content"))
     )
-    own = members.select("doc_id")
     links = c.links.join(passing.select("topic_id"), "topic_id", "left_semi")
-    ranked = TP.topic_keywords(
-        members,
-        VC.centroids(v.postings.join(own, "doc_id", "left_semi"), links),
-        VC.surface_forms(c.items.join(own, "doc_id", "left_semi")),
-    )
+    means = VC.centroids(VC.item_weights(c.items), links)
+    heaviest = materialize(TP.heaviest_terms(means), "heaviest-terms")
+    ranked = TP.topic_keywords(members, heaviest, TP.keyword_spellings(members, heaviest))
     keywords = ranked.groupBy("topic_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k")
     ).select("topic_id", F.transform("k", lambda s: s["keyword"]).alias("keywords"))
