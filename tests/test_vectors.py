@@ -63,3 +63,12 @@ def test_spellings_of_heaviest_terms_only_give_the_same_keywords(items):
     assert {(topic[r.doc_id], r.term) for r in spelled.collect()} == kept
     rows = lambda m, s: sorted(map(str, TP.topic_keywords(items, m, s).collect()))
     assert rows(heaviest, spelled) == rows(means, V.surface_forms(items))
+
+
+def test_titles_from_placed_weights_are_the_same_without_another_join_by_item(items):
+    links, weights = items.select("topic_id", "doc_id"), V.item_weights(items)
+    placed = V.member_weights(weights, links)
+    assert sorted(map(str, V.centroids(placed, None).collect())) == sorted(map(str, V.centroids(weights, links).collect()))
+    means = V.centroids(weights, links)
+    rows = lambda w: sorted(map(str, TP.topic_titles(items, w, means).collect()))
+    assert rows(placed) == rows(weights)
