@@ -173,6 +173,20 @@ def test_merge_goes_to_the_earliest_and_never_joins_two_stored(spark):
     assert [tuple(r) for r in merged.collect()] == [(2, 100)]
 
 
+def test_a_stored_topic_keeps_its_id_when_a_new_one_of_that_id_is_absorbed(spark):
+    old = items(spark, [REPORTS[0], (50, *REPORTS[3][1:])], hours=-5)
+    new = items(spark, [(2, *REPORTS[1][1:]), (4, *REPORTS[3][1:])])
+    frame = old.unionByName(new).withColumn("fetched_at", F.col("item_at"))
+    links = spark.createDataFrame([(100, 1), (2, 50)], "topic_id BIGINT, doc_id BIGINT")
+    topics = spark.createDataFrame(
+        [(t, "covered", START - timedelta(hours=5)) for t in (100, 2)], "topic_id BIGINT, status STRING, last_item_at TIMESTAMP"
+    )
+    tp = P.TopicParams(window_hours=48, join_threshold=0.9, merge_threshold=0.1)
+    run = TP.cluster_run(frame, links, topics, F.lit(START), tp)
+    # Item 2 opens topic 2, which goes to topic 100; item 4 joins the stored topic 2, which stays.
+    assert {r["doc_id"]: (r["topic_id"], r["is_new"]) for r in run.collect()} == {2: (100, True), 4: (2, False)}
+
+
 def test_title_of_a_topic_is_never_a_round_up_when_another_exists(spark):
     rows = [
         (1, "a", "agencija", "Prva važna vest o poplavi; druga važna vest o požaru", "poplava poplava nasip reka", START),
