@@ -1,15 +1,21 @@
 """Jobs that keep state per key in the state store, with event-time timers.
 
-A batch reads its own rows and the state of the keys in it, nothing that earlier batches wrote. Rows may
+A batch reads its own rows and the state of their keys, nothing that earlier batches wrote. Rows may
 come late by ``lateness``: what is younger than the watermark stays in the state one by one, so that a
 late row takes its place in time; what is older is kept as totals. Rows later than that are dropped by
 the watermark. A key's rows of one batch pass through one task, so the trigger bounds them.
+
+A call into Python and the frames around it cost far more than a key's work, so keys share their calls:
+they are dealt into ``BUCKETS`` by hash, a bucket is one entry of the state store, and its keys keep their
+own state and timers in it. Calls and frames then no longer grow with the keys.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,24 +23,101 @@ from newsweave import params as P
 from newsweave.operators import lifecycle as L
 
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
+# What numpy takes for a missing time.
+NO_TIME = np.iinfo("int64").min
+
+
+# Entries of the state store; a stream keeps the number it was started with in its state.
+BUCKETS = 1024
+# The keys of a bucket as JSON: [key, state or null, timer in milliseconds or null].
+BUCKET_STATE = "bucket_keys STRING"
+
+
+class KeyState:
+    """One key's state and timer within its bucket, used as a group's state is."""
+
+    def __init__(self, value, watermark_ms: int, timed_out: bool = False):
+        self.value, self.timer, self.watermark_ms, self.hasTimedOut = value, None, watermark_ms, timed_out
+
+    @property
+    def exists(self) -> bool:
+        return self.value is not None
+
+    @property
+    def get(self) -> tuple:
+        return tuple(self.value)
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+    def remove(self) -> None:
+        self.value = self.timer = None
+
+    def getCurrentWatermarkMs(self) -> int:
+        return self.watermark_ms
+
+    def setTimeoutTimestamp(self, ms: int) -> None:
+        self.timer = ms
+
 
+def _keyed(rows: DataFrame, key: str, names: list[str], run, output: str, lateness: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rows(key, ts, ...) through ``run(key, rows, state)``, which yields rows of ``output``.
+
+    A key's rows are tuples of ``names`` in order of the first two; ``us`` is their time in microseconds.
+    Other whole numbers than ``us`` travel as text, so that a missing one doesn't make the others inexact.
+    """
+    types = dict(rows.dtypes)
+    whole = [n for n in [key, *names] if types.get(n) in ("bigint", "int")]
+    fields = [field.split() for field in output.split(", ")]
+
+    def column(values: list, kind: str):
+        if kind == "TIMESTAMP":
+            return np.array([NO_TIME if v is None else v for v in values], dtype="int64").view("datetime64[us]")
+        return pd.array(values, dtype="Int64") if kind == "BIGINT" else values
+
+    def call(_, frames, state):
+        watermark = state.getCurrentWatermarkMs()
+        kept = {k: (v, t) for k, v, t in json.loads(state.get[0])} if state.exists else {}
+        came: dict = {}
+        if not state.hasTimedOut:
+            for k, row in _columns(frames, key, names, whole):
+                came.setdefault(k, []).append(row)
+        # Keys without rows whose time is over.
+        over = [k for k, (_, timer) in kept.items() if timer is not None and timer < watermark and k not in came]
+        found = []
+        for k in [*came, *over]:
+            own = KeyState(kept.pop(k, (None,))[0], watermark, k not in came)
+            found += run((int(k) if key in whole and k is not None else k,), sorted(came.get(k, ()), key=lambda r: r[:2]), own)
+            if own.exists:
+                kept[k] = (own.value, own.timer)
+        if kept:
+            state.update((json.dumps([(k, *v) for k, v in kept.items()]),))
+            timers = [timer for _, timer in kept.values() if timer is not None]
+            if timers:
+                state.setTimeoutTimestamp(min(timers))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame({name: column([r[i] for r in found], kind) for i, (name, kind) in enumerate(fields)})
 
-def _keyed(rows: DataFrame, key: str, run, output: str, state: str, lateness: str) -> DataFrame:
-    """Rows(key, ts, ...) through ``run(key, rows, state)``; ``us`` is their time in microseconds."""
     return (
         rows.withColumn("us", F.unix_micros("ts"))
         .withWatermark("ts", lateness)
-        .groupBy(key)
-        .applyInPandasWithState(run, output, state, "update", "EventTimeTimeout")
+        .withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        .select("bucket", "ts", *[F.col(n).cast("string" if n in whole else {**types, "us": "bigint"}[n]) for n in [key, *names]])
+        .groupBy("bucket")
+        .applyInPandasWithState(call, output, BUCKET_STATE, "update", "EventTimeTimeout")
     )
 
 
-def _columns(frames: Iterator[pd.DataFrame], names: list[str]) -> list[tuple]:
-    """A key's rows of this batch in order of the first two names, without the wide frame around them."""
-    rows: list[tuple] = []
+def _columns(frames: Iterator[pd.DataFrame], key: str, names: list[str], whole: list[str]) -> Iterator[tuple]:
+    """(key, row) of a bucket's rows of this batch, without the wide frame around them."""
     for frame in frames:
-        rows += zip(*(frame[n].tolist() for n in names))
-    return sorted(rows, key=lambda r: r[:2])
+        keys = [None if k is None or k != k else k for k in frame[key].tolist()]
+        values = [
+            [None if v is None or v != v else int(v) for v in frame[n].tolist()] if n in whole else frame[n].tolist() for n in names
+        ]
+        yield from zip(keys, zip(*values))
 
 
 def _set_timer(state, us: int) -> bool:
@@ -46,14 +129,10 @@ def _set_timer(state, us: int) -> bool:
     return True
 
 
-def _moment(us: int | None):
-    return None if us is None else pd.Timestamp(us, unit="us")
-
-
 # --- circuit breaker ------------------------------------------------------------------------
 
 BREAKER = "source_id BIGINT, failures BIGINT, last_failure_at TIMESTAMP, disabled_until TIMESTAMP, enabled BOOLEAN"
-BREAKER_STATE = "ok_us BIGINT, ok_id BIGINT, old BIGINT, last_us BIGINT, times ARRAY<BIGINT>, ids ARRAY<BIGINT>"
+# A key's state: time and id of the last success, failures that are totals, last failure, times and ids of the others.
 
 
 def breaker_runs(attempts: DataFrame, breaker: P.BreakerParams = P.BreakerParams(), lateness: str = "2 hours") -> DataFrame:
@@ -65,17 +144,17 @@ def breaker_runs(attempts: DataFrame, breaker: P.BreakerParams = P.BreakerParams
     """
     off, most = breaker.disable_hours * HOUR_US, breaker.max_failures
 
-    def run(key, frames, state):
+    def run(key, rows, state):
         if state.hasTimedOut:
             ok_us, ok_id, old, last, times, ids = state.get
             state.update((ok_us, ok_id, old, last, times, ids))
-            yield _breaker_row(key[0], old + len(times), last, last + off, True)
+            yield key[0], old + len(times), last, last + off, True
             return
         ok, old, last, failed = (-1, -1), 0, None, []
         if state.exists:
             ok_us, ok_id, old, last, times, ids = state.get
             ok, failed = (ok_us, ok_id), list(zip(times, ids))
-        for us, event, fine in _columns(frames, ["us", "event_id", "ok"]):
+        for us, event, fine in rows:
             if not fine:
                 failed.append((us, event))
             elif (us, event) > ok:
@@ -89,16 +168,10 @@ def breaker_runs(attempts: DataFrame, breaker: P.BreakerParams = P.BreakerParams
         state.update((*ok, old + len(failed) - len(kept), last, [us for us, _ in kept], [i for _, i in kept]))
         until = last + off if count >= most else None
         waits = until is not None and _set_timer(state, until)
-        yield _breaker_row(key[0], count, last, until, not waits)
-
-    return _keyed(attempts.select("source_id", "event_id", "ok", "ts"), "source_id", run, BREAKER, BREAKER_STATE, lateness)
+        yield key[0], count, last, until, not waits
 
-
-def _breaker_row(source, failures, last, until, enabled) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"source_id": [source], "failures": [failures], "last_failure_at": [_moment(last)],
-         "disabled_until": [_moment(until)], "enabled": [enabled]}
-    )
+    rows = attempts.select("source_id", "event_id", "ok", "ts")
+    return _keyed(rows, "source_id", ["us", "event_id", "ok"], run, BREAKER, lateness)
 
 
 # --- change tracking ------------------------------------------------------------------------
@@ -107,10 +180,7 @@ CHANGES = (
     "url STRING, n_fetches BIGINT, n_unchanged BIGINT, last_changed_at TIMESTAMP, last_etag BIGINT, "
     "last_seen_at TIMESTAMP, idle BOOLEAN"
 )
-CHANGES_STATE = (
-    "n BIGINT, same BIGINT, changed_us BIGINT, etag BIGINT, seen_us BIGINT, "
-    "times ARRAY<BIGINT>, ids ARRAY<BIGINT>, etags ARRAY<BIGINT>"
-)
+# A key's state: the totals of ``_walk``; times, ids and versions of the younger fetches.
 
 
 def change_states(fetches: DataFrame, idle_days: int = 90, lateness: str = "2 hours") -> DataFrame:
@@ -120,7 +190,7 @@ def change_states(fetches: DataFrame, idle_days: int = 90, lateness: str = "2 ho
     """
     idle = idle_days * DAY_US
 
-    def run(key, frames, state):
+    def run(key, rows, state):
         if state.hasTimedOut:
             n, same, changed, etag, seen, *recent = state.get
             totals = _walk((n, same, changed, etag, seen), list(zip(*recent)))
@@ -131,8 +201,7 @@ def change_states(fetches: DataFrame, idle_days: int = 90, lateness: str = "2 ho
         if state.exists:
             *totals, times, ids, etags = state.get
             totals, recent = tuple(totals), list(zip(times, ids, etags))
-        rows = _columns(frames, ["us", "event_id", "etag"])
-        recent = sorted([*recent, *((us, i, None if e is None or e != e else int(e)) for us, i, e in rows)], key=lambda r: r[:2])
+        recent = sorted([*recent, *rows], key=lambda r: r[:2])
         settled = state.getCurrentWatermarkMs() * 1000
         cut = next((at for at, r in enumerate(recent) if r[0] >= settled), len(recent))
         totals, kept = _walk(totals, recent[:cut]), recent[cut:]
@@ -141,7 +210,8 @@ def change_states(fetches: DataFrame, idle_days: int = 90, lateness: str = "2 ho
         _set_timer(state, now[4] + idle)
         yield _change_row(key[0], now, False)
 
-    return _keyed(fetches.select("url", "event_id", "etag", "ts"), "url", run, CHANGES, CHANGES_STATE, lateness)
+    rows = fetches.select("url", "event_id", "etag", "ts")
+    return _keyed(rows, "url", ["us", "event_id", "etag"], run, CHANGES, lateness)
 
 
 def _walk(totals: tuple, rows: list[tuple]) -> tuple:
@@ -156,19 +226,15 @@ def _walk(totals: tuple, rows: list[tuple]) -> tuple:
     return n, same, changed, etag, seen
 
 
-def _change_row(url, totals, idle) -> pd.DataFrame:
+def _change_row(url, totals, idle) -> tuple:
     n, same, changed, etag, seen = totals
-    frame = pd.DataFrame(
-        {"url": [url], "n_fetches": [n], "n_unchanged": [same], "last_changed_at": [_moment(changed)],
-         "last_etag": [etag], "last_seen_at": [_moment(seen)], "idle": [idle]}
-    )
-    return frame.astype({"last_etag": "Int64"})
+    return url, n, same, changed, etag, seen, idle
 
 
 # --- reviews ----------------------------------------------------------------------------------
 
 REVIEWS = "article_id STRING, status STRING, sent_at TIMESTAMP, decided_at TIMESTAMP"
-REVIEWS_STATE = "sent_us BIGINT, times ARRAY<BIGINT>, ids ARRAY<BIGINT>, decisions ARRAY<STRING>, status STRING"
+# A key's state: when it was sent; times, ids and decisions that wait for that; status.
 
 
 def review_events(queue: DataFrame, presses: DataFrame, chat_id: str) -> DataFrame:
@@ -189,7 +255,7 @@ def review_states(log: DataFrame, hours: int = P.REVIEW_TIMEOUT_HOURS, lateness:
     """
     limit = hours * HOUR_US
 
-    def run(key, frames, state):
+    def run(key, rows, state):
         sent, held, status = None, [], None
         if state.exists:
             sent, times, ids, decisions, status = state.get
@@ -197,9 +263,9 @@ def review_states(log: DataFrame, hours: int = P.REVIEW_TIMEOUT_HOURS, lateness:
         if state.hasTimedOut:
             state.remove()
             if sent is not None and status == "pending":
-                yield _review_row(key[0], "expired", sent, None)
+                yield key[0], "expired", sent, None
             return
-        for us, event, decision in _columns(frames, ["us", "event_id", "decision"]):
+        for us, event, decision in rows:
             if decision is None or decision != decision:
                 sent = us if sent is None else sent
             else:
@@ -219,13 +285,7 @@ def review_states(log: DataFrame, hours: int = P.REVIEW_TIMEOUT_HOURS, lateness:
             status = "expired" if status == "pending" else status
             state.remove()
         if status != before:
-            yield _review_row(key[0], status, sent, first[0] if first else None)
+            yield key[0], status, sent, first[0] if first else None
 
     rows = log.select("article_id", "event_id", "decision", "ts")
-    return _keyed(rows, "article_id", run, REVIEWS, REVIEWS_STATE, lateness)
-
-
-def _review_row(article, status, sent, decided) -> pd.DataFrame:
-    return pd.DataFrame(
-        {"article_id": [article], "status": [status], "sent_at": [_moment(sent)], "decided_at": [_moment(decided)]}
-    )
+    return _keyed(rows, "article_id", ["us", "event_id", "decision"], run, REVIEWS, lateness)

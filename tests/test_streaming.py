@@ -90,6 +90,31 @@ def test_a_late_fetch_counts_where_it_belongs_and_idle_addresses_are_forgotten(s
     assert {r["url"] for r in latest.filter("idle").collect()} == {"u", "v"}
 
 
+def test_keys_share_entries_of_the_state_store(spark, tmp_path):
+    ids = spark.range(6000).select(
+        F.when(F.col("id") % 3000 > 0, F.col("id") % 3000).alias("source_id"), F.col("id").alias("event_id"),
+        (F.col("id") % 7 == 0).alias("ok"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")).alias("ts"),
+    )
+    sink = BatchTable(spark, K.BREAKER)
+    query = J.track_breaker(in_files(ids, tmp_path / "in", 2, "ts"), sink).trigger(availableNow=True)
+    query = query.option("checkpointLocation", str(tmp_path / "offsets")).start()
+    query.awaitTermination()
+    assert max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) <= K.BUCKETS
+    columns = ("source_id", "failures", "disabled_until")
+    latest = as_set(sink.latest(["source_id"]).select(*columns))
+    known = ids.filter("source_id IS NOT NULL")
+    assert latest == as_set(I.breaker_state(known).select(*columns)) | {(None, 1, None)} and len(latest) == 3000
+
+
+def test_large_versions_stay_exact_beside_missing_ones(spark, tmp_path):
+    rows = [("u", 1, 9007199254740993, 0), ("u", 2, None, 1), ("u", 3, 9007199254740993, 2)]
+    frame = spark.createDataFrame(rows, "url STRING, event_id BIGINT, etag BIGINT, minute INT")
+    fetches = frame.withColumn("ts", F.expr("TIMESTAMP '2026-09-01 10:00:00'") + F.make_interval(mins="minute")).drop("minute")
+    sink = BatchTable(spark, K.CHANGES)
+    run_to_end(J.track_changes(in_files(fetches, tmp_path / "in", 1, "ts"), sink), spark)
+    assert [r["last_etag"] for r in sink.latest(["url"]).collect()] == [9007199254740993]
+
+
 def test_reviews(spark, corpus, tmp_path):
     queue = corpus.reviews.withColumn("article_id", F.col("article_id").cast("string")).cache()
     presses = corpus.decisions.select("event_id", "payload", "chat_id", "ts")
