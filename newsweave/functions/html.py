@@ -41,22 +41,31 @@ def tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b[^>]*>"), F.lit(0))
 
 
-def anchors(html: Column) -> Column:
-    """Links of the page in page order: struct(href, classes, title)."""
-    pattern = F.lit(r"(?is)(<a\b[^>]*>)(.*?)(?=</a>|<a\b|$)")
-    opened, inside = (F.regexp_extract_all(html, pattern, F.lit(g)) for g in (1, 2))
-    found = F.zip_with(
-        opened,
-        inside,
-        lambda tag, text: F.struct(
-            attribute(tag, "href").alias("href"),
-            F.coalesce(attribute(tag, "class"), F.lit("")).alias("classes"),
-            X.strip_html(text).alias("title"),
+def anchor_tags(html: Column) -> Column:
+    """Links of the page in page order: struct(href, classes, inside), the last being the markup they enclose."""
+    opening = r"<a\b[^>]*>"
+    whole = F.regexp_extract_all(html, F.lit(rf"(?is){opening}.*?(?=</a>|<a\b|$)"), F.lit(0))
+    found = F.transform(
+        F.transform(
+            whole,
+            lambda x: F.struct(F.regexp_extract(x, rf"(?is)^{opening}", 0).alias("tag"), x.alias("whole")),
+        ),
+        lambda x: F.struct(
+            attribute(x["tag"], "href").alias("href"),
+            F.coalesce(attribute(x["tag"], "class"), F.lit("")).alias("classes"),
+            F.substring(x["whole"], F.length(x["tag"]) + 1, F.length(x["whole"])).alias("inside"),
         ),
     )
     return F.filter(found, lambda a: a["href"].isNotNull())
 
 
+def anchors(html: Column) -> Column:
+    """Links of the page in page order: struct(href, classes, title)."""
+    return F.transform(
+        anchor_tags(html), lambda a: F.struct(a["href"], a["classes"], X.strip_html(a["inside"]).alias("title"))
+    )
+
+
 def feed_links(html: Column, base: Column) -> Column:
     """Absolute addresses of the feeds a page announces."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsweave import params as P
 from newsweave.functions import html as H, text as X, urls as U
+from newsweave.functions.core import let
 
 
 def extract_articles(
@@ -63,30 +64,47 @@ def harvest_links(listings: DataFrame, rules: DataFrame) -> DataFrame:
     links must carry (null: any) and how many links of all its listings a source may take. Links
     must stay on the site of the homepage or of the listing. Each listing is cut to the budget
     inside its row, so a source brings at most that many links per listing to its window.
+
+    Links are read out of the markup before the rules are joined, so no markup travels, and once: the
+    outer explode keeps Spark from pushing a test for empty lists, with all that makes them, below the
+    join. Titles are cleaned for the links that are left.
     """
-    joined = listings.join(rules, "source_id")
-    matching = F.filter(
+    linked = F.filter(
         F.transform(
-            H.anchors(F.col("html")),
-            lambda a: F.struct(U.canonical_url(a["href"], F.col("url")).alias("link"), a["title"].alias("title"), a["classes"].alias("classes")),
+            H.anchor_tags(F.col("html")),
+            lambda a: F.struct(U.canonical_url(a["href"], F.col("url")).alias("link"), a["inside"], a["classes"]),
         ),
-        lambda a: a["link"].isNotNull()
-        & F.rlike(U.path(a["link"]), F.col("link_pattern"))
-        & (F.col("link_class").isNull() | F.array_contains(F.split(a["classes"], r"\s+"), F.col("link_class")))
-        & U.same_site(a["link"], F.col("homepage"), F.col("url")),
+        lambda a: a["link"].isNotNull(),
     )
-    first = F.filter(
-        "_found", lambda a, i: ~F.exists(F.slice("_found", 1, i), lambda b: b["link"] == a["link"])
+    placed = F.transform(
+        linked,
+        lambda a: F.struct(
+            a["link"], a["inside"], a["classes"], U.path(a["link"]).alias("path"), U.root_domain(a["link"]).alias("domain")
+        ),
+    )
+    read = listings.select("source_id", "listing_id", U.root_domain(F.col("url")).alias("_here"), placed.alias("_links"))
+    joined = read.join(rules.withColumn("_home", U.root_domain(F.col("homepage"))), "source_id")
+    matching = F.filter(
+        "_links",
+        lambda a: F.rlike(a["path"], F.col("link_pattern"))
+        & (F.col("link_class").isNull() | F.array_contains(F.split(a["classes"], r"\s+"), F.col("link_class")))
+        & (a["domain"] != "")
+        & ((a["domain"] == F.col("_home")) | (a["domain"] == F.col("_here"))),
     )
-    picked = joined.withColumn("_found", matching).withColumn("_first", F.slice(first, F.lit(1), F.col("max_links")))
-    offered = picked.select("source_id", "listing_id", "max_links", F.posexplode("_first").alias("_at", "a"))
+    # Sorted by link, the first of each run is the link's first place in the page.
+    by_link = F.sort_array(F.transform(matching, lambda a, i: F.struct(a["link"], i.alias("i"), a["inside"])))
+    first = let(by_link, lambda s: F.filter(s, lambda a, k: (k == 0) | (F.get(s, k - 1)["link"] != a["link"])))
+    in_page = F.sort_array(F.transform(first, lambda a: F.struct(a["i"], a["link"], a["inside"])))
+    offered = joined.select(
+        "source_id", "listing_id", "max_links", F.posexplode_outer(F.slice(in_page, F.lit(1), F.col("max_links"))).alias("_at", "a")
+    ).filter(F.col("a").isNotNull())
     order = F.struct("listing_id", "_at")
     links = offered.groupBy("source_id", F.col("a.link").alias("link")).agg(
-        F.min_by("a.title", order).alias("title"), F.min(order).alias("_order"), F.first("max_links").alias("max_links")
+        F.min_by("a.inside", order).alias("inside"), F.min(order).alias("_order"), F.first("max_links").alias("max_links")
     )
     by_source = Window.partitionBy("source_id").orderBy("_order")
     ranked = links.withColumn("position", F.row_number().over(by_source) - 1)
-    return ranked.filter("position < max_links").select("source_id", "position", "link", "title")
+    return ranked.filter("position < max_links").select("source_id", "position", "link", X.strip_html(F.col("inside")).alias("title"))
 
 
 def section_statistics(

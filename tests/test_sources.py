@@ -120,6 +120,17 @@ def test_harvest_links_by_class_and_rule(spark):
     assert got == [("p", "https://p.example/a/1"), ("q", "https://q.example/b/3")]
 
 
+def test_links_are_read_out_of_the_markup_once(spark):
+    html = "".join(f"<a class=c href=/vest/{i % 40}>Naslov {i} &amp; <b>{i}</b></A>" for i in range(90)) + "<a href=/vest/kraj>kraj"
+    frame = spark.createDataFrame([("d", 1, "https://d.example/", html)], "source_id STRING, listing_id INT, url STRING, html STRING")
+    rules = spark.createDataFrame([("d", "https://d.example/", "^/vest", None, 50)], RULES)
+    links = pages.harvest_links(frame, rules)
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    rows = [(r["link"], r["title"]) for r in links.orderBy("position").collect()]
+    expected = [(f"https://d.example/vest/{i}", f"Naslov {i} & {i}") for i in range(40)]
+    assert rows == [*expected, ("https://d.example/vest/kraj", "kraj")]
+
+
 def test_section_statistics(spark):
     links = spark.createDataFrame(
         [("s", i, u) for i, u in enumerate(
