@@ -72,3 +72,13 @@ def test_titles_from_placed_weights_are_the_same_without_another_join_by_item(it
     means = V.centroids(weights, links)
     rows = lambda w: sorted(map(str, TP.topic_titles(items, w, means).collect()))
     assert rows(placed) == rows(weights)
+
+
+def test_an_items_rows_travel_as_one_per_task(spark):
+    rows = [(i, f"Naslov vesti broj{i % 7}", " ".join(f"reč{chr(97 + j % 26)}{chr(97 + i % 5)}" for j in range(60))) for i in range(40)]
+    items = spark.createDataFrame(rows, "doc_id BIGINT, title STRING, content STRING")
+    postings = V.item_postings(items, frequent=20)
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    # By item rows are exchanged once, gathered; the windows find them there.
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "partial_collect_list(term" in plan
+    assert sorted(map(str, postings.collect())) == sorted(map(str, V.item_postings(items).collect()))
