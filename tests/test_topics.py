@@ -1,6 +1,7 @@
 """Similarity join and topic grouping against plain loops."""
 
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -100,6 +101,14 @@ def test_grouping_equals_the_sequential_loop(spark, monkeypatch, meetings, salt)
     assert len({t for t, _ in expected.values()}) < len(expected) - 20
 
 
+def test_looking_up_which_terms_are_spread_shuffles_no_posting(spark, monkeypatch):
+    monkeypatch.setattr(S, "MEETINGS_PER_SALT", 3)
+    single = TP.distinct_nodes(nodes_of(corpus(spark, 40, seed=5))).cache()
+    for side in S._spread(S._postings(single, "l", 0.1), S._postings(single, "r", 0.1)):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and not re.search(r"Exchange hashpartitioning\(term#\d+, lane", plan)
+
+
 def test_exact_copies_at_one_instant_form_one_topic(spark):
     rows = [(i, f"s{i}", "agencija", "Požar na planini gasi se", "vatrogasci gase veliki požar na planini", START) for i in range(40)]
     nodes = nodes_of(spark.createDataFrame(rows, SCHEMA))
